@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, packing, simhash, substrings, token_counts
+from . import decontamination, embeddings, language, packing, simhash, substrings, token_counts
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.decontaminate(docs, items, window=8, least_items=2))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(substrings.without_repeats(table(spark, sf_dir, "documents"), window=20))
 
