@@ -97,8 +97,8 @@ def fit(labelled: DataFrame, rows_per_language: int = 4000, words_per_language:
     return LanguageModel(languages, log_table(tables.get(0, []), languages), {n: log_table(tables[n], languages) for n in tables if n})
 
 
-def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score) of every whole text; one narrow pass.
+def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """(row, lang_pred, score): each row of ``docs`` as a struct beside the language of its whole text; one narrow pass.
 
     A null text, one without a letter, or a model without languages gives ``und`` and 0. Ties go to the first
     language by name. Repeated rows give repeated results, an empty table an empty one.
@@ -127,10 +127,10 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
                 best = int(total[:width].argmax())
                 names.append(model.languages[best])
                 scores.append(1 / float(np.exp((total[:width] - total[best]) / math.sqrt(total[width])).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(text_col, F.lit("")).alias("text"))
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -140,4 +140,5 @@ def held_out(id_col: str = "doc_id"):
 def identify(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for ``docs`` (doc_id, text, lang), learnt from rows that aren't held out."""
     model = fit(docs.where(~F.coalesce(held_out(), F.lit(False))), **options)
-    return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    found = with_language(docs.select("doc_id", "text"), model)
+    return found.select("row.doc_id", held_out("row.doc_id").alias("held_out"), "lang_pred", "score")

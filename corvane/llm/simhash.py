@@ -68,9 +68,11 @@ def radii(bits: int, distance: int, segments: int) -> list[tuple[int, int, int]]
     return out
 
 
-def near_pairs(prints: DataFrame, distance: int = 4, segments: int = 3, fp: str = "fp") -> DataFrame:
+def near_pairs(prints: DataFrame, distance: int = 4, segments: int = 3, fp: str = "fp", accepted: int | None = None) -> DataFrame:
     """(fp_a, fp_b) with fp_a < fp_b for every two different values of ``fp`` within ``distance`` bits, whole.
 
+    ``accepted`` (from ``distance`` on) also lets through those further apart that the same probes meet.
+
     The table holds each distinct fingerprint under each of its segments' values; the probes enumerate the Hamming
     ball around each segment. Of two segments that differ by a mask only the one with the mask's lowest bit
     unset probes, which halves the probes. The complete distance is verified inside the join, so candidates that
@@ -91,7 +93,7 @@ def near_pairs(prints: DataFrame, distance: int = 4, segments: int = 3, fp: str
     probes = balls[0]
     for ball in balls[1:]:
         probes = probes.unionByName(ball)
-    match = (probes.segment == table.segment) & (probes.key == table.key) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= distance) & (~F.col("same") | (F.col("fp") < F.col("other"))) & (F.col("fp") != F.col("other"))
+    match = (probes.segment == table.segment) & (probes.key == table.key) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= (accepted or distance)) & (~F.col("same") | (F.col("fp") < F.col("other"))) & (F.col("fp") != F.col("other"))
     return probes.join(table, match).select(F.least("fp", "other").alias("fp_a"), F.greatest("fp", "other").alias("fp_b")).distinct()
 
 
@@ -111,5 +113,54 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, segmen
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 5, accepted: int = 14, seeds: tuple[int, ...] = (42, 43, 44), small: int = 500_000) -> DataFrame:
+    """(doc_id, component_id) of documents whose sets of word shingles have a Jaccard similarity of ``similarity`` or more.
+
+    For each seed a fingerprint and a search of its own; pairs within ``accepted`` bits are verified on the whole
+    texts. Documents of equal fingerprints under all seeds are one candidate class: each is held against the first of
+    its class, others against the classes' first documents, so no group is expanded into pairs. Sides under
+    ``small`` rows are broadcast, larger ones shuffled. Only documents with a partner come back.
+    """
+    names = ["fp", *(f"fp{k}" for k in range(1, len(seeds)))]
+    prints = written(fingerprints(docs, shingle, seeds), "fingerprints")
+    first = written(prints.groupBy(*names).agg(F.min("doc_id").alias("first")), "first")
+    pairs = prints.join(first, names).where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    for name in names:
+        low = first.groupBy(name).agg(F.min("first").alias("low"))  # equal under this seed, not under all
+        pairs = pairs.unionByName(first.join(low, name).where("first <> low").select(F.col("low").alias("a"), F.col("first").alias("b")))
+        near = near_pairs(first, distance, 3, name, accepted)
+        a, b = low.select(F.col(name).alias("fp_a"), F.col("low").alias("a")), low.select(F.col(name).alias("fp_b"), F.col("low").alias("b"))
+        pairs = pairs.unionByName(near.join(a, "fp_a").join(b, "fp_b").select("a", "b"))
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    involved = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "involved")
+    texts = within(docs.select("doc_id", "text"), involved, "left_semi", small)
+    sets = written(texts.mapInArrow(lambda batches: shingle_sets(batches, shingle), "doc_id long, shingles array<long>"), "shingles")
+    x, y = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    common = F.size(F.array_intersect("x", "y"))
+    links = pairs.join(x, "a").join(y, "b").where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+    found = connected_components(links)
+    return found.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+
+
+def within(docs: DataFrame, ids: DataFrame, how: str, small: int) -> DataFrame:
+    """A semi or anti join by doc_id; ``ids`` is broadcast if it has ``small`` rows at most, else both sides are shuffled."""
+    return docs.join(F.broadcast(ids) if ids.count() <= small else ids, "doc_id", how)
+
+
+def shingle_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, shingles): the 64-bit hashes of a text's different shingles; none for a text without words."""
+    import xxhash
+
+    digest = xxhash.xxh3_64_intdigest
+    for batch in batches:
+        out = []
+        for text in batch.column(1):
+            joined, starts, ends = words_and_bounds(text.as_py() or "")
+            n = len(starts)
+            spans = zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist()) if n >= shingle else [(0, len(joined))]
+            out.append(np.array(list({digest(joined[a:b]) for a, b in spans}), np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+
+
 def as_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
