@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embeddings, language, packing, pii, simhash, substrings, token_counts
+from . import decontamination, embeddings, language, packing, pii, simhash, substrings, token_counts, toxicity
 from .common import table
 
 
@@ -32,6 +32,14 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+def op6_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The categories are those that labels has: low quality first, then toxic, which may lean on it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    chain = toxicity.fit(docs.join(labels, "doc_id"), ["low_quality", "toxic"])
+    return toxicity.classify(docs, chain).withColumn("toxic", F.col("p_toxic") >= 0.5)
+
+
 def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.pseudonymize(table(spark, sf_dir, "documents"), key=pii.SAMPLE_KEY)
     return found.select("row.doc_id", "private.text", F.size("private.spans").cast("long").alias("n_private"), F.array_join(F.array_sort("private.spans.kind"), ",").alias("kinds"))
