@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embeddings, language, packing, pii, simhash, substrings, token_counts, toxicity
+from . import decontamination, embeddings, language, packing, pii, quality, simhash, substrings, token_counts, toxicity
 from .common import table
 
 
@@ -40,6 +40,12 @@ def op6_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, chain).withColumn("toxic", F.col("p_toxic") >= 0.5)
 
 
+def op7_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    trusted = docs.join(table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    return quality.classify(docs, trusted)
+
+
 def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.pseudonymize(table(spark, sf_dir, "documents"), key=pii.SAMPLE_KEY)
     return found.select("row.doc_id", "private.text", F.size("private.spans").cast("long").alias("n_private"), F.array_join(F.array_sort("private.spans.kind"), ",").alias("kinds"))
