@@ -61,14 +61,14 @@ def definition_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.distinct()
 
 
-@query(f"{FE}, w AS (SELECT src, dst FROM file_edges UNION SELECT dst, src FROM file_edges), r AS (SELECT 3::BIGINT AS id, 0 AS depth UNION SELECT w.dst, r.depth + 1 FROM r JOIN w ON w.src = r.id WHERE r.depth < 2) SELECT id, min(depth) AS depth FROM r GROUP BY 1")
+@query(f"{FE}, w AS (SELECT src, dst FROM file_edges UNION SELECT dst, src FROM file_edges), r AS (SELECT id, 0 AS depth FROM files WHERE id < 20 UNION SELECT w.dst, r.depth + 1 FROM r JOIN w ON w.src = r.id WHERE r.depth < 2) SELECT id, min(depth) AS depth FROM r GROUP BY 1")
 def file_bfs_depth2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.reached(view(spark, sf_dir, "file_edges"), numbers(spark, [3]), 2, both=True)
+    return G.reached(view(spark, sf_dir, "file_edges"), numbers(spark, list(range(20))), 2, both=True)
 
 
-@query(f"{FE}, w AS (SELECT src, dst FROM file_edges UNION SELECT dst, src FROM file_edges), r AS (SELECT 3::BIGINT AS id, 0 AS depth UNION SELECT w.dst, r.depth + 1 FROM r JOIN w ON w.src = r.id WHERE r.depth < 2), m AS (SELECT id, min(depth) AS depth FROM r GROUP BY 1), o AS (SELECT m.id, depth, strlen(content) AS size, coalesce(sum(CASE WHEN depth > 0 THEN strlen(content) ELSE 0 END) OVER (ORDER BY depth, m.id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bytes_before FROM m JOIN files f ON f.id = m.id) SELECT id, depth, size, CAST(bytes_before AS BIGINT) AS bytes_before, depth = 0 OR bytes_before < 12800 AS expands FROM o")
+@query(f"{FE}, w AS (SELECT src, dst FROM file_edges UNION SELECT dst, src FROM file_edges), r AS (SELECT id, 0 AS depth FROM files WHERE id < 20 UNION SELECT w.dst, r.depth + 1 FROM r JOIN w ON w.src = r.id WHERE r.depth < 2), m AS (SELECT id, min(depth) AS depth FROM r GROUP BY 1), o AS (SELECT m.id, depth, strlen(content) AS size, coalesce(sum(CASE WHEN depth > 0 THEN strlen(content) ELSE 0 END) OVER (ORDER BY depth, m.id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bytes_before FROM m JOIN files f ON f.id = m.id) SELECT id, depth, size, CAST(bytes_before AS BIGINT) AS bytes_before, depth = 0 OR bytes_before < 12800 AS expands FROM o")
 def file_bfs_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = G.reached(view(spark, sf_dir, "file_edges"), numbers(spark, [3]), 2, both=True)
+    found = G.reached(view(spark, sf_dir, "file_edges"), numbers(spark, list(range(20))), 2, both=True)
     sizes = view(spark, sf_dir, "files").select("id", F.octet_length("content").cast("long").alias("size"))
     return G.budgeted(found, sizes, 8000)
 
