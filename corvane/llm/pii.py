@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 ROUNDS = 10
 #: For tests and the registered queries only; real runs pass a key of their own.
@@ -203,4 +204,5 @@ def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0), private], ["row", "private"])
 
     rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, private struct<text:string,spans:array<struct<kind:string,start:int,end:int>>>")
+    private = StructType.fromDDL("private struct<text:string,spans:array<struct<kind:string,start:int,end:int>>>")
+    return rows.mapInArrow(run, StructType([rows.schema["row"], *private]))
