@@ -77,9 +77,8 @@ def protobuf_rows(files: DataFrame) -> DataFrame:
 def route_rows(files: DataFrame) -> DataFrame:
     """(file, framework, method, path) of routes that decorators and router calls declare, each once."""
     found = None
-    for framework, pattern in (("express", r"(?:app|router)\.(get|post|put|patch|delete)\(\s*['\"]([^'\"]+)"), ("fastapi", r"@(?:app|router)\.(get|post|put|patch|delete)\(\s*['\"]([^'\"]+)"), ("flask", r"@\w+\.(route)\(\s*['\"]([^'\"]+)")):
+    for framework, pattern in (("express", r"(?<![@\w])(?:app|router)\.(get|post|put|patch|delete)\(\s*['\"]([^'\"]+)"), ("fastapi", r"@(?:app|router)\.(get|post|put|patch|delete)\(\s*['\"]([^'\"]+)"), ("flask", r"@\w+\.(route)\(\s*['\"]([^'\"]+)")):
         each = files.select("file", F.explode(F.regexp_extract_all("text", F.lit(pattern), 0)).alias("m"))
-        rows = each.select("file", F.lit(framework).alias("framework"), F.upper(F.regexp_extract("m", pattern, 1)).alias("method"), F.regexp_extract("m", pattern, 2).alias("path"), F.col("m").startswith("@").alias("decorated"))
+        rows = each.select("file", F.lit(framework).alias("framework"), F.upper(F.regexp_extract("m", pattern, 1)).alias("method"), F.regexp_extract("m", pattern, 2).alias("path"))
         found = rows if found is None else found.unionByName(rows)
-    found = found.where((F.col("framework") != "express") | ~F.col("decorated"))
     return found.withColumn("method", F.when(F.col("method") == "ROUTE", "GET").otherwise(F.col("method"))).select("file", "framework", "method", "path").distinct()
