@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import code
 from ..functions import text as T
+from ..operators import evidence as E
 from ..operators import ranking as R
 from ..operators import retrieval as S
 from ..sources import registry as G
@@ -186,3 +187,69 @@ def canonical_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C4, F13."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return d.select(F.col("doc_id").alias("id"), T.canonical_fingerprint(F.col("source"), F.col("lang")).alias("fingerprint"))
+
+
+@query(f"SELECT e.vec_id AS id, round(list_sum(list_transform(range(1, 65), lambda i: CAST(e.embedding[i] AS DOUBLE) * CAST(q.embedding[i] AS DOUBLE))), 4) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.label = 3 ORDER BY 2 DESC, 1 LIMIT 20")
+def filtered_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S14."""
+    found = E.filtered_knn(vectors(spark, sf_dir), wanted(spark, sf_dir), {"label": 3}, 20)
+    return found.select("id", F.round("similarity", 4).alias("similarity"))
+
+
+@query("SELECT user_id % 40 AS queue, count(*) AS entries FROM events WHERE event_id % 10 = 0 GROUP BY 1 HAVING count(*) >= 25 OR max(event_id % 997) >= 990")
+def queues_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T-13."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 10 = 0")
+    return E.due(e.select((F.col("user_id") % 40).alias("queue"), (F.col("event_id") % 997).alias("age_seconds")), 25, 990)
+
+
+@query(f"{V} SELECT id, name FROM symbols ORDER BY id LIMIT 100")
+def capped_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G12."""
+    return E.capped(view(spark, sf_dir, "symbols").select("id", "name"), 100)[0]
+
+
+@query(f"{V} SELECT id, path FROM files WHERE id % 3 = 0 AND starts_with(path, 'src1') AND path LIKE '%.txt'")
+def incremental_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Here the roots are folders that start with src1."""
+    files = view(spark, sf_dir, "files").select("id", "path")
+    found = files.where("id % 3 = 0").where(F.startswith("path", F.lit("src1")))
+    return files.join(found.select("path"), "path", "left_semi").where(F.endswith("path", F.lit(".txt"))).select("id", "path")
+
+
+@query("SELECT doc_id AS id, doc_id % 2 = 0 AS timestamp_ok, doc_id % 3 <> 0 AS uuid_ok FROM documents")
+def identity_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms and the calendar."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"))
+    stamp = F.when(F.col("id") % 2 == 0, "2024-02-29T10:00:00Z").otherwise("2023-02-29T10:00:00Z")
+    uuid = F.when(F.col("id") % 3 != 0, "123e4567-e89b-42d3-a456-426614174000").otherwise("123e4567-e89b-72d3-a456-426614174000")
+    return d.select("id", F.coalesce(E.valid_timestamp(stamp), F.lit(False)).alias("timestamp_ok"), E.valid_uuid(uuid).alias("uuid_ok"))
+
+
+@query("SELECT source AS id, CASE WHEN max(doc_id) % 2 = 0 THEN 'table' ELSE 'side' END AS came_from FROM documents GROUP BY 1")
+def artifact_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D11 for many ids: the table's copy if it has one, else the side file's."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").agg(F.max("doc_id").alias("m"))
+    table = d.where("m % 2 = 0").select(F.col("source").alias("id"), F.lit("table").alias("came_from"), F.lit(0).alias("priority"))
+    both = table.unionByName(d.select(F.col("source").alias("id"), F.lit("side").alias("came_from"), F.lit(1).alias("priority")))
+    return both.groupBy("id").agg(F.min_by("came_from", "priority").alias("came_from"))
+
+
+@query(with_views("symbols", "file_edges") + " SELECT f.file_id, count(*) AS n FROM symbols f WHERE EXISTS (SELECT 1 FROM file_edges e WHERE e.src = f.file_id) AND NOT EXISTS (SELECT 1 FROM file_edges e WHERE e.dst = f.file_id) GROUP BY 1")
+def existence_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Semi and anti joins."""
+    symbols, edges = view(spark, sf_dir, "symbols"), view(spark, sf_dir, "file_edges")
+    return symbols.join(edges, symbols["file_id"] == edges["src"], "left_semi").join(edges, symbols["file_id"] == edges["dst"], "left_anti").groupBy("file_id").agg(F.count("*").alias("n"))
+
+
+@query(with_views("turns") + " SELECT id, CASE WHEN file_id > 0 THEN file_id ELSE -1 END AS anchor FROM turns WHERE session_id = 5")
+def turn_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D3: anchors of a session's turns; ids that aren't positive are none, -1 here."""
+    return view(spark, sf_dir, "turns").where("session_id = 5").select("id", F.when(F.col("file_id") > 0, F.col("file_id")).otherwise(-1).alias("anchor"))
+
+
+@query("SELECT doc_id AS id, length(text) AS n, left(text, 40) AS head FROM documents WHERE doc_id IN (1, 5, 9, 40)")
+def skeleton_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many files in one scan; the list reaches it as a filter."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.col("doc_id").isin(1, 5, 9, 40))
+    return d.select(F.col("doc_id").alias("id"), F.length("text").cast("long").alias("n"), F.substring("text", 1, 40).alias("head"))
