@@ -107,7 +107,7 @@ def candidate_rows(docs: DataFrame, window: int) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum(n[first])]).astype(np.int32) * TAIL
                 yield rows(key[first], doc[first], at[first], pa.Array.from_buffers(pa.binary(), int(first.sum()), [None, pa.py_buffer(offsets), pa.py_buffer(tails)]), None)
                 late = ~first
-                yield rows(key[late], doc[late], at[late], None, (1 << n[late]) - 1)
+                yield rows(mixed(doc[late].view(np.uint64), at[late].astype(np.uint64)), doc[late], at[late], None, (1 << n[late]) - 1)  # settled: these pass through any task
 
     def rows(key, doc, at, windows, mask) -> pa.RecordBatch:
         size = len(key)
