@@ -35,6 +35,16 @@ def identifiers_first(candidates: DataFrame, symbols: DataFrame, query: str, mos
     return exact.unionByName(rest).groupBy("id").agg(F.min("priority").alias("priority"), F.max("similarity").alias("similarity"))
 
 
+def name_coverage(scored: DataFrame, wanted: list[str], df: DataFrame, n: int) -> DataFrame:
+    """Functions and methods gain 0.009 ln(1 + (n + 1) / (df + 1)) for each wanted term in their name.
+
+    ``scored`` is (id, name, kind, score), ``df`` (term, df) the number of names with each term.
+    """
+    terms = scored.where(F.col("kind").isin("function", "method")).select("id", F.explode(F.array_distinct(T.lexical_terms(F.col("name")))).alias("term")).where(F.col("term").isin(*wanted))
+    gain = terms.join(df, "term", "left").groupBy("id").agg(F.sum(0.009 * F.log(1 + (n + 1) / (F.coalesce("df", F.lit(0)) + 1))).alias("gain"))
+    return scored.join(gain, "id", "left").withColumn("score", F.col("score") + F.coalesce("gain", F.lit(0.0))).drop("gain")
+
+
 def files_by_best(scored: DataFrame, terms: DataFrame, n: int) -> DataFrame:
     """(file_id, score): the best symbol of a file, plus 0.008 ln(1 + (n + 1) / (df + 1)) for each query term its symbols cover."""
     best = scored.groupBy("file_id").agg(F.max("score").alias("best"))

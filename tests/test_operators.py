@@ -25,6 +25,17 @@ def test_terms(spark):
     assert column(spark, T.truncated, "x" * 300) == "x" * 197 + "..."
 
 
+def test_query_terms(spark):
+    assert column(spark, T.query_terms, "como salvar the Estado, x2") == ["salvar", "save", "persist", "persistence", "estado", "state", "x2"]
+
+
+def test_name_coverage(spark):
+    scored = spark.createDataFrame([(1, "save_state", "function", 1.0), (2, "save_state", "class", 1.0), (3, "other", "method", 1.0)], "id long, name string, kind string, score double")
+    df = spark.createDataFrame([("save", 3), ("state", 1)], "term string, df long")
+    got = {r.id: r.score for r in ranking.name_coverage(scored, ["save", "gone"], df, 9).collect()}
+    assert math.isclose(got[1], 1 + 0.009 * math.log(1 + 10 / 4)) and got[2] == got[3] == 1.0
+
+
 def test_paths(spark):
     for path, yes in (("tests/a.py", True), ("src/test_a.py", True), ("src/a_test.go", True), ("a.spec.ts", True), ("src/attest.py", False), ("contest/a.py", False)):
         assert column(spark, T.is_test_path, path) is yes, path
