@@ -105,15 +105,13 @@ def normalized_name(name: Column) -> Column:
 
 
 def is_test_path(path: Column) -> Column:
-    """Test folders, test_ prefixes, _test and .test or .spec suffixes."""
-    low = F.lower(path)
-    return low.rlike(r"(^|/)(tests?|__tests__|spec)/") | low.rlike(r"(^|/)test_[^/]*$") | low.rlike(r"(_test|_spec|\.test|\.spec)\.[a-z0-9]+$")
+    """Test folders, files that begin with test_, and the suffixes that languages give tests."""
+    return path.rlike("/(tests?|__tests__|spec|testing)/") | path.rlike("(^|/)test_[^/]*$") | path.rlike(r"[._](test|spec)\.[^/]*$") | path.rlike(r"Tests?\.(java|kt|cs)$")
 
 
 def looks_like_test_path(path: Column) -> Column:
-    """P5: anything with test or spec in it."""
-    low = F.lower(path)
-    return low.contains("test") | low.contains("spec")
+    """P5: the looser rule of the call resolver."""
+    return F.lower(path).rlike(r"/test|^tests/|[._]test\.")
 
 
 def basename(path: Column) -> Column:
@@ -144,30 +142,49 @@ def url_path(url: Column) -> Column:
     return F.when(path == "", "/").otherwise(path)
 
 
+#: What a line of each level holds, the most severe first.
+LEVELS = (
+    ("fatal", "fatal|panic"),
+    ("error", "error|exception|failed|failure|can't |cannot "),
+    ("warn", "warn"),
+    ("debug", "debug"),
+    ("trace", "trace"),
+    ("info", "info|started |consumed "),
+)
+
+
 def log_level(line: Column) -> Column:
-    """the most severe level that the line names."""
-    low = F.lower(line)
+    """the first level whose marks the line holds."""
     out = F.lit("other")
-    for level, pattern in (("trace", r"\btrace\b"), ("debug", r"\bdebug\b"), ("info", r"\binfo\b"), ("warn", r"\bwarn(ing)?\b"), ("error", r"\berror\b"), ("fatal", r"\b(fatal|panic)\b")):
-        out = F.when(low.rlike(pattern), level).otherwise(out)
+    for level, marks in reversed(LEVELS):
+        out = F.when(F.lower(line).rlike(marks), level).otherwise(out)
     return out
 
 
 def normalized_message(line: Column) -> Column:
-    """numbers become #, so repeats of a message meet."""
-    return F.trim(F.regexp_replace(line, "[0-9]+", "#"))
+    """a line without its time and what stands before an early colon, numbers as #, 180 characters at most."""
+    bare = F.trim(line)
+    syslog = r"^[A-Z][a-z]{2}\s+\d+\s+\d\d:\d\d:\d\d\s+\S+\s+(?=.)"
+    bare = F.when(bare.rlike(syslog), F.regexp_replace(bare, syslog, "")).otherwise(F.regexp_replace(bare, r"^(?=.{20})\d...-..-..(?=[T ])[^ ]* [^ ]* ", ""))
+    bare = F.regexp_replace(bare, "^.{0,79}?: ", "")
+    return truncated(F.trim(F.regexp_replace(F.regexp_replace(bare, r"\b\d+\b", "#"), r"\s+", " ")), 180)
 
 
 def content_class(text: Column) -> Column:
-    """what a text is, judged by marks that its kind has."""
-    head = F.array_join(F.slice(F.split(text, "\n"), 1, 80), "\n")
+    """what a text is, judged by its first characters and by the marks of its first 80 lines."""
+    head = F.substring(text, 1, 4096)
+    control = F.length(head) - F.length(F.regexp_replace(head, r"[\x01-\x08\x0b\x0c\x0e-\x1a\x1c-\x1f]", ""))
+    lines = F.transform(F.slice(F.split(text, "\n"), 1, 80), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", "")))
+    count = lambda pattern: F.size(F.filter(lines, lambda x: x.rlike(pattern)))
+    whole = F.regexp_replace(text, r"^\s+|\s+$", "")
     return (
-        F.when(F.contains(text, F.lit("\u0000")), "binary")
-        .when(F.ltrim(head).rlike(r"^[\[{]"), "json")
-        .when(head.rlike(r"(?m)^(diff --git |@@ |\+\+\+ )"), "diff")
-        .when(F.size(F.regexp_extract_all(head, F.lit(r"(?i)\b(?:error|warn|info|debug)\b"), 0)) >= 3, "log")
-        .when(head.rlike(r"(?m)^(#{1,6} |```)"), "markdown")
-        .when(head.rlike(r"(?m)^\s*(def|class|import|function|return)\b.*[:;{(]"), "source")
+        F.when(F.coalesce(text, F.lit("")) == "", "text")
+        .when(F.contains(head, F.lit("\u0000")) | (control * 100 > F.length(head) * 5), "binary")
+        .when((whole.startswith("{") & whole.endswith("}")) | (whole.startswith("[") & whole.endswith("]")), "json")
+        .when(count(r"^(diff --git |@@ |\+\+\+|---)") >= 2, "diff")
+        .when(count(r"(?i)^\d{4}-\d\d-\d\d[T ]|[ \[](error|warn|info)\b") >= 2, "log")
+        .when(count(r"^(def |class |function |import |#include )|\) \{| => |return ") >= 1, "source")
+        .when(count(r"^(# |## |```|- )") >= 2, "markdown")
         .otherwise("text")
     )
 

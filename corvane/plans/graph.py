@@ -12,7 +12,7 @@ from .registry import query
 
 E = with_views("edges")
 FE = with_views("file_edges", "files")
-TEST = r"(regexp_matches(lower(path), '(^|/)(tests?|__tests__|spec)/') OR regexp_matches(lower(path), '(^|/)test_[^/]*$') OR regexp_matches(lower(path), '(_test|_spec|\.test|\.spec)\.[a-z0-9]+$'))"
+TEST = r"(regexp_matches(path, '/(tests?|__tests__|spec|testing)/') OR regexp_matches(path, '(^|/)test_[^/]*$') OR regexp_matches(path, '[._](test|spec)\.[^/]*$') OR regexp_matches(path, 'Tests?\.(java|kt|cs)$'))"
 DEGREE = "deg AS (SELECT id, sum(o) AS n_out, sum(i) AS n_in, count(*) AS degree FROM (SELECT src AS id, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) GROUP BY 1)"
 TARGETS = [3, 17, 42, 99, 150]
 

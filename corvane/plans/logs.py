@@ -11,7 +11,8 @@ from ..operators import pack as P
 from .registry import query
 
 LINE = "concat(strftime(ts, '%Y-%m-%d %H:%M:%S'), ' ', CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'click' THEN 'INFO' WHEN 'view' THEN 'debug' WHEN 'purchase' THEN 'Warning' ELSE 'note' END, ': user ', CAST(user_id AS VARCHAR), ' k ', CAST(event_id % 7 AS VARCHAR))"
-LEVEL = "CASE WHEN regexp_matches(lower(line), '\\b(fatal|panic)\\b') THEN 'fatal' WHEN regexp_matches(lower(line), '\\berror\\b') THEN 'error' WHEN regexp_matches(lower(line), '\\bwarn(ing)?\\b') THEN 'warn' WHEN regexp_matches(lower(line), '\\binfo\\b') THEN 'info' WHEN regexp_matches(lower(line), '\\bdebug\\b') THEN 'debug' WHEN regexp_matches(lower(line), '\\btrace\\b') THEN 'trace' ELSE 'other' END"
+LEVEL = "CASE WHEN regexp_matches(lower(line), 'fatal|panic') THEN 'fatal' WHEN regexp_matches(lower(line), 'error|exception|failed|failure|can''t |cannot ') THEN 'error' WHEN contains(lower(line), 'warn') THEN 'warn' WHEN contains(lower(line), 'debug') THEN 'debug' WHEN contains(lower(line), 'trace') THEN 'trace' WHEN regexp_matches(lower(line), 'info|started |consumed ') THEN 'info' ELSE 'other' END"
+MESSAGE = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(line), '^[0-9]...-..-.. [^ ]* ', ''), '^.{0,79}?: ', ''), '\\b[0-9]+\\b', '#', 'g'), '\\s+', ' ', 'g'))"
 TOK = "CAST((strlen(text) + 3) // 4 AS BIGINT)"
 
 
@@ -31,7 +32,7 @@ def log_level_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.level_histogram(lines(spark, sf_dir))
 
 
-@query(f"SELECT {LEVEL} AS level, trim(regexp_replace(line, '[0-9]+', '#', 'g')) AS message, count(*) AS n FROM (SELECT {LINE} AS line FROM events) GROUP BY 1, 2 HAVING count(*) >= 2")
+@query(f"SELECT {LEVEL} AS level, {MESSAGE} AS message, count(*) AS n FROM (SELECT {LINE} AS line FROM events) GROUP BY 1, 2 HAVING count(*) >= 2")
 def log_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.repeats(lines(spark, sf_dir))
 

@@ -25,6 +25,14 @@ def test_terms(spark):
     assert column(spark, T.truncated, "x" * 300) == "x" * 197 + "..."
 
 
+def test_log_lines_and_classes(spark):
+    assert column(spark, T.normalized_message, "2024-01-02 03:04:05.678 ERROR: user 5  at 0x1f 77") == "user # at 0x1f #"
+    assert column(spark, T.normalized_message, "Jan  2 03:04:05 host kernel: oom 12") == "oom #"
+    assert column(spark, T.log_level, "it cannot be") == "error"
+    for text, kind in (("", "text"), ('  {"a": 1}\n', "json"), ("diff --git a b\n@@ -1 +1 @@", "diff"), ("x [error] a\ny [info] b", "log"), ("import x", "source"), ("# t\n- a", "markdown"), ("a\x00b", "binary"), ("plain", "text")):
+        assert column(spark, T.content_class, text) == kind, text
+
+
 def test_query_terms(spark):
     assert column(spark, T.query_terms, "como salvar the Estado, x2") == ["salvar", "save", "persist", "persistence", "estado", "state", "x2"]
 
@@ -37,7 +45,7 @@ def test_name_coverage(spark):
 
 
 def test_paths(spark):
-    for path, yes in (("tests/a.py", True), ("src/test_a.py", True), ("src/a_test.go", True), ("a.spec.ts", True), ("src/attest.py", False), ("contest/a.py", False)):
+    for path, yes in (("src/tests/a.py", True), ("src/test_a.py", True), ("src/a_test.go", True), ("a.spec.ts", True), ("x/PayTests.java", True), ("src/attest.py", False), ("contest/a.py", False)):
         assert column(spark, T.is_test_path, path) is yes, path
     assert column(spark, T.url_host, "https://API.example.com:80/v1?q") == "api.example.com"
     assert column(spark, T.url_path, "https://a.b") == "/"
@@ -198,8 +206,8 @@ def test_digests_and_budget(spark):
 
 def test_logs(spark):
     lines = spark.createDataFrame([("FATAL x",), ("warning: y 1",), ("WARN y 2",), ("warning: y 2",), ("information",)], "line string")
-    assert {r.level: r.n for r in logs.level_histogram(lines).collect()} == {"fatal": 1, "warn": 3, "other": 1}
-    assert [(r.message, r.n) for r in logs.repeats(lines).collect()] == [("warning: y #", 2)]
+    assert {r.level: r.n for r in logs.level_histogram(lines).collect()} == {"fatal": 1, "warn": 3, "info": 1}
+    assert [(r.message, r.n) for r in logs.repeats(lines).collect()] == [("y #", 2)]
     diags = spark.createDataFrame([("a.ts(1,2): error TS1: m",), ("a.ts(3,4): error TS1: n",), ("b.cc:1:2: warning: unused [-Wunused]",), ("noise",)], "line string")
     assert {(r.file, r.code, r.severity, r.n) for r in logs.diagnostics(diags).collect()} == {("a.ts", "TS1", "error", 2), ("b.cc", "-Wunused", "warning", 1)}
     blocks = spark.createDataFrame([("s", i, x) for i, x in enumerate(["head", "=== RUN TestA", "ok", "=== RUN TestB", "--- FAIL: TestB"])], "source string, n int, line string")
