@@ -20,8 +20,8 @@ def enclosing(points: DataFrame, spans: DataFrame) -> DataFrame:
     return points.join(s, inside).groupBy(points["id"]).agg(F.min_by("owner", F.struct(size, "owner")).alias("owner"))
 
 
-def owners(spans: DataFrame) -> DataFrame:
-    """(id, owner), the smallest other span of the file that contains a span."""
-    o = spans.select(F.col("id").alias("owner"), F.col("file_id").alias("f"), F.col("start_line").alias("a"), F.col("end_line").alias("b"))
+def owners(spans: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+    """(id, owner), the smallest other span of the file that contains a span, of one of ``kinds`` if these are given."""
+    o = (spans.where(F.col("kind").isin(kinds)) if kinds else spans).select(F.col("id").alias("owner"), F.col("file_id").alias("f"), F.col("start_line").alias("a"), F.col("end_line").alias("b"))
     around = (spans["file_id"] == o["f"]) & (o["a"] <= spans["start_line"]) & (o["b"] >= spans["end_line"]) & (o["owner"] != spans["id"])
     return spans.join(o, around).groupBy("id").agg(F.min_by("owner", F.struct(F.col("b") - F.col("a"), "owner")).alias("owner"))

@@ -45,10 +45,13 @@ def name_coverage(scored: DataFrame, wanted: list[str], df: DataFrame, n: int) -
     return scored.join(gain, "id", "left").withColumn("score", F.col("score") + F.coalesce("gain", F.lit(0.0))).drop("gain")
 
 
-def files_by_best(scored: DataFrame, terms: DataFrame, n: int) -> DataFrame:
-    """(file_id, score): the best symbol of a file, plus 0.008 ln(1 + (n + 1) / (df + 1)) for each query term its symbols cover."""
+def files_by_best(scored: DataFrame, terms: DataFrame, n: int, operations: list[str] | None = None) -> DataFrame:
+    """(file_id, score): the best symbol of a file, plus 0.008 ln(1 + (n + 1) / (df + 1)) for each query term its symbols cover.
+
+    0.07 more if they cover two of the ``operations`` that the query names.
+    """
     best = scored.groupBy("file_id").agg(F.max("score").alias("best"))
-    covered = terms.select("file_id", "term", "df").distinct().groupBy("file_id").agg(F.sum(0.008 * F.log(1 + (n + 1) / (F.col("df") + 1))).alias("extra"))
+    covered = terms.select("file_id", "term", "df").distinct().groupBy("file_id").agg((F.sum(0.008 * F.log(1 + (n + 1) / (F.col("df") + 1))) + F.when(F.count_if(F.col("term").isin(operations or [""])) >= 2, 0.07).otherwise(0.0)).alias("extra"))
     return best.join(covered, "file_id", "left").select("file_id", (F.col("best") + F.coalesce("extra", F.lit(0.0))).alias("score"))
 
 

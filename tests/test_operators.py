@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import code
 from corvane.functions import text as T
-from corvane.operators import capability, contracts, dialogue, graph, journal, logs, pack, ranking, retrieval, sync
+from corvane.operators import capability, contracts, dialogue, graph, intervals, journal, kinds, logs, pack, ranking, retrieval, sync
 from corvane.sources import files as sources
 from corvane.streaming import twins
 
@@ -44,6 +44,23 @@ def test_name_coverage(spark):
     assert math.isclose(got[1], 1 + 0.009 * math.log(1 + 10 / 4)) and got[2] == got[3] == 1.0
 
 
+def test_kinds(spark):
+    symbols = spark.createDataFrame([(1, "method", "go"), (2, "variable", "go"), (3, "constant", "go"), (4, "constant", "typescript")], "id long, kind string, language string")
+    assert [r.id for r in kinds.embeddable(symbols).orderBy("id").collect()] == [1, 4]
+    assert [kinds.simple_name(n) for n in ("a::b", "a.b.c", "x#y", "z")] == ["b", "c", "y", "z"]
+    spans = spark.createDataFrame([(1, 1, 1, 50, "class"), (2, 1, 5, 20, "method"), (3, 1, 6, 8, "method"), (4, 2, 6, 7, "method")], "id long, file_id long, start_line int, end_line int, kind string")
+    assert {r.id: r.owner for r in intervals.owners(spans).collect()} == {2: 1, 3: 2}
+    assert {r.id: r.owner for r in intervals.owners(spans, kinds.OWNERS).collect()} == {2: 1, 3: 1}
+
+
+def test_operations_rank_files(spark):
+    scored = spark.createDataFrame([(1, 1.0), (2, 1.0)], "file_id long, score double")
+    terms = spark.createDataFrame([(1, "save", 1), (1, "load", 1), (2, "save", 1)], "file_id long, term string, df long")
+    got = {r.file_id: r.score for r in ranking.files_by_best(scored, terms, 9, ["save", "load"]).collect()}
+    each = 0.008 * math.log(1 + 10 / 2)
+    assert math.isclose(got[1], 1 + 2 * each + 0.07) and math.isclose(got[2], 1 + each)
+
+
 def test_paths(spark):
     for path, yes in (("src/tests/a.py", True), ("src/test_a.py", True), ("src/a_test.go", True), ("a.spec.ts", True), ("x/PayTests.java", True), ("src/attest.py", False), ("contest/a.py", False)):
         assert column(spark, T.is_test_path, path) is yes, path
