@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +59,20 @@ def in_runs(rows: Iterable, sizes: Iterable[int], most: int) -> Iterator[list]:
         yield run
 
 
+def within(docs: DataFrame, ids: DataFrame, how: str, small: int = 500_000) -> DataFrame:
+    """A semi or anti join by doc_id; ``ids`` is broadcast if it has ``small`` rows at most, else both sides are shuffled."""
+    return docs.join(F.broadcast(ids) if ids.count() <= small else ids, "doc_id", how)
+
+
+def text_runs(texts: pa.Array, most: int) -> Iterator[pa.Array]:
+    """``texts`` in consecutive slices of about ``most`` bytes, so a worker's memory doesn't follow the batch."""
+    low = 0
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    for run in in_runs(sizes, sizes, most):
+        yield texts.slice(low, len(run))
+        low += len(run)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b), component being its smallest reachable node.
 

@@ -14,7 +14,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from .common import text_runs
+
 UNKNOWN = "und"
+#: Bytes of text that a worker judges at once.
+RUN_BYTES = 12_000_000
 
 
 def words_of(chunk: str) -> list[str]:
@@ -32,13 +36,13 @@ def grams_of(word: str, n: int) -> list[str]:
 
 @dataclass
 class LanguageModel:
-    """Log frequencies by language: ``words`` and ``grams[n]`` map a string to a row of ``table``."""
+    """Log frequencies by language of known words and n-grams."""
 
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[int, dict[str, np.ndarray]]
+    words: dict[str, list[float]]
+    grams: dict[int, dict[str, list[float]]]
 
-    def scores(self, word: str) -> np.ndarray:
+    def scores(self, word: str) -> list[float]:
         """Log frequencies of a known word; else the mean over its known n-grams of the longest n that has any."""
         found = self.words.get(word)
         if found is not None:
@@ -46,11 +50,11 @@ class LanguageModel:
         for n in sorted(self.grams, reverse=True):
             known = [g for g in map(self.grams[n].get, grams_of(word, n)) if g is not None]
             if known:
-                return np.mean(known, axis=0)
-        return np.zeros(len(self.languages))
+                return [sum(column) / len(known) for column in zip(*known)]
+        return [0.0] * len(self.languages)
 
 
-def log_table(rows: list[tuple[str, str, int]], languages: list[str]) -> dict[str, np.ndarray]:
+def log_table(rows: list[tuple[str, str, int]], languages: list[str]) -> dict[str, list[float]]:
     """Smoothed log frequencies by language of (language, string, count)."""
     place = {x: k for k, x in enumerate(languages)}
     counts: dict[str, np.ndarray] = {}
@@ -58,7 +62,7 @@ def log_table(rows: list[tuple[str, str, int]], languages: list[str]) -> dict[st
         counts.setdefault(string, np.zeros(len(languages)))[place[language]] += n
     totals = sum(counts.values(), np.zeros(len(languages)))
     base = np.log(totals + 0.5 * (len(counts) + 1))
-    return {s: np.log(c + 0.5) - base for s, c in counts.items()}
+    return {s: (np.log(c + 0.5) - base).tolist() for s, c in counts.items()}
 
 
 def fit(labelled: DataFrame, rows_per_language: int = 4000, words_per_language: int = 10_000, grams_per_language: int = 4000, longest: int = 5) -> LanguageModel:
@@ -98,6 +102,30 @@ def fit(labelled: DataFrame, rows_per_language: int = 4000, words_per_language:
     return LanguageModel(languages, log_table(tables.get(0, []), languages), {n: log_table(tables[n], languages) for n in tables if n})
 
 
+def judged(model: LanguageModel, texts: pa.Array) -> tuple[list[str], list[float]]:
+    """The language and score of each text; a text's sums are those of its chunks, each different chunk scored once."""
+    width = len(model.languages)
+    parts = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+    chunks = parts.values.dictionary_encode()
+    rows = []  # log frequencies, and the number of words
+    for chunk in chunks.dictionary.to_pylist():
+        found = [model.scores(word) for word in words_of(chunk)]
+        rows.append([*(found[0] if len(found) == 1 else map(sum, zip(*found)) if found else [0.0] * width), len(found)])
+    table = np.array(rows, np.float64).reshape(-1, width + 1)
+    codes, bounds = chunks.indices.to_numpy(), parts.offsets.to_numpy()
+    names, scores = [], []
+    for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        total = table[codes[low:high]].sum(axis=0)
+        if not width or not total[width]:
+            names.append(UNKNOWN)
+            scores.append(0.0)
+            continue
+        best = int(total[:width].argmax())
+        names.append(model.languages[best])
+        scores.append(1 / float(np.exp((total[:width] - total[best]) / math.sqrt(total[width])).sum()))
+    return names, scores
+
+
 def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """(row, lang_pred, score): each row of ``docs`` as a struct beside the language of its whole text; one narrow pass.
 
@@ -108,29 +136,15 @@ def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        width = len(model.languages)
-        for batch in batches:
-            parts = pc.ascii_split_whitespace(batch.column(1).cast(pa.large_string()))
-            chunks = parts.values.dictionary_encode()
-            table = np.zeros((len(chunks.dictionary) + 1, width + 1))  # log frequencies, and the number of words
-            for k, chunk in enumerate(chunks.dictionary.to_pylist()):
-                for word in words_of(chunk):
-                    table[k, width] += 1
-                    table[k, :width] += model.scores(word)
-            codes, bounds = chunks.indices.to_numpy(), parts.offsets.to_numpy()
+        for whole in batches:
+            texts = pc.fill_null(whole.column(0).field(text_col), "")
             names, scores = [], []
-            for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                total = table[codes[low:high]].sum(axis=0)
-                if not width or not total[width]:
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                best = int(total[:width].argmax())
-                names.append(model.languages[best])
-                scores.append(1 / float(np.exp((total[:width] - total[best]) / math.sqrt(total[width])).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"])
-
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce(text_col, F.lit("")).alias("text"))
+            for part in text_runs(texts, RUN_BYTES):
+                for out, found in zip((names, scores), judged(model, part)):
+                    out.extend(found)
+            yield pa.RecordBatch.from_arrays([whole.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"])
+
+    rows = docs.select(F.struct("*").alias("row"))
     return rows.mapInArrow(run, StructType([rows.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 

@@ -19,11 +19,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import text_runs, written
 from .token_counts import ODD_SPACE, byte_alphabet
 
 #: The pre-tokenizer's pattern of the word-end vocabulary (fixed value).
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Bytes of text that a worker tokenizes at once.
+RUN_BYTES = 16_000_000
 
 
 class WordIds:
@@ -90,8 +92,8 @@ def token_pieces(docs: DataFrame, vocabulary_path: str, capacity: int, end_id: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, end, step = WordIds(shared.value), np.array([end_id], "<u4").tobytes(), capacity * 4
         for batch in batches:
-            rows = []
-            for doc, own in zip(batch.column(0).to_pylist(), ids.of(batch.column(1))):
+            rows, owns = [], (own for part in text_runs(batch.column(1), RUN_BYTES) for own in ids.of(part))
+            for doc, own in zip(batch.column(0).to_pylist(), owns):
                 tokens = own.tobytes() + end
                 rows += [(doc, k, k * capacity, len(part) // 4, zlib.crc32(part)) for k, part in enumerate(tokens[at : at + step] for at in range(0, len(tokens), step))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, (batch.column(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])

@@ -189,7 +189,7 @@ def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFra
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             texts, spans = [], []
-            for value in batch.column(1):
+            for value in batch.column(0).field(text_col):
                 text = value.as_py()
                 found = names.spans(text) if text else []
                 if found:
@@ -203,6 +203,6 @@ def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFra
             private = pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(spans, kind)], ["text", "spans"])
             yield pa.RecordBatch.from_arrays([batch.column(0), private], ["row", "private"])
 
-    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+    rows = docs.select(F.struct("*").alias("row"))
     private = StructType.fromDDL("private struct<text:string,spans:array<struct<kind:string,start:int,end:int>>>")
     return rows.mapInArrow(run, StructType([rows.schema["row"], *private]))
