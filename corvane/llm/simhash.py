@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, connected_components, written
+from .common import ASCII_LOWER, connected_components, within, written
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 #: Shingles whose bits are summed at once; bounds a worker's memory for very long texts.
@@ -68,32 +68,44 @@ def radii(bits: int, distance: int, segments: int) -> list[tuple[int, int, int]]
     return out
 
 
-def near_pairs(prints: DataFrame, distance: int = 4, segments: int = 3, fp: str = "fp", accepted: int | None = None) -> DataFrame:
+def near_pairs(prints: DataFrame, distance: int = 4, segments: int = 3, fp: str = "fp", accepted: int | None = None, stars: bool = False, apart: str | None = None) -> DataFrame:
     """(fp_a, fp_b) with fp_a < fp_b for every two different values of ``fp`` within ``distance`` bits, whole.
 
-    ``accepted`` (from ``distance`` on) also lets through those further apart that the same probes meet.
+    ``accepted`` (from ``distance`` on) also lets through those further apart that the same probes meet. ``stars``
+    keeps one fingerprint of each table slot, so the pairs are no more than the probes; ``apart`` names a column of
+    ``prints`` that has to differ, and is for a later search. One after the other they cover large groups of near copies
+    without listing their pairs.
 
     The table holds each distinct fingerprint under each of its segments' values; the probes enumerate the Hamming
     ball around each segment. Of two segments that differ by a mask only the one with the mask's lowest bit
     unset probes, which halves the probes. The complete distance is verified inside the join, so candidates that
     fail it are never rows.
     """
+    if stars and apart:
+        raise ValueError("stars and apart are for searches of their own")
     plan = radii(64, distance, segments)
-    distinct = prints.select(F.col(fp).alias("fp")).distinct()
+    distinct = prints.groupBy(F.col(fp).alias("fp")).agg(F.min(apart).alias("group")) if apart else prints.select(F.col(fp).alias("fp")).distinct()
+    mine, others = (["group"], [F.col("group").alias("other_group")]) if apart else ([], [])
 
     def key(shift: int, width: int) -> Column:
         return F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
 
-    table = distinct.select(F.col("fp").alias("other"), F.explode(F.array(*[F.struct(F.lit(k).alias("segment"), key(s, w).alias("key")) for k, (s, w, _) in enumerate(plan)])).alias("e")).select("other", "e.segment", "e.key")
+    table = distinct.select(F.col("fp").alias("other"), F.explode(F.array(*[F.struct(F.lit(k).alias("segment"), key(s, w).alias("key")) for k, (s, w, _) in enumerate(plan)])).alias("e"), *others).select("other", "e.segment", "e.key", *(["other_group"] if apart else []))
+    if stars:
+        table = table.groupBy("segment", "key").agg(F.min("other").alias("other"))
     balls = []
     for k, (shift, width, radius) in enumerate(plan):
         masks = [sum(1 << b for b in bits) for r in range(radius + 1) for bits in itertools.combinations(range(width), r)]
-        own = distinct.select("fp", F.lit(k).alias("segment"), key(shift, width).alias("own"), F.explode(F.array(*map(F.lit, masks)).cast("array<bigint>")).alias("mask"))
-        balls.append(own.where(F.expr("own & mask & -mask") == 0).select("fp", "segment", F.expr("own ^ mask").alias("key"), (F.col("mask") == 0).alias("same")))
+        own = distinct.select("fp", *mine, F.lit(k).alias("segment"), key(shift, width).alias("own"), F.explode(F.array(*map(F.lit, masks)).cast("array<bigint>")).alias("mask"))
+        if not stars:
+            own = own.where(F.expr("own & mask & -mask") == 0)
+        balls.append(own.select("fp", *mine, "segment", F.expr("own ^ mask").alias("key"), (F.col("mask") == 0).alias("same")))
     probes = balls[0]
     for ball in balls[1:]:
         probes = probes.unionByName(ball)
-    match = (probes.segment == table.segment) & (probes.key == table.key) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= (accepted or distance)) & (~F.col("same") | (F.col("fp") < F.col("other"))) & (F.col("fp") != F.col("other"))
+    match = (probes.segment == table.segment) & (probes.key == table.key) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= (accepted or distance)) & (F.col("fp") != F.col("other"))
+    match = match & (F.col("group") != F.col("other_group")) if apart else match
+    match = match if stars else match & (~F.col("same") | (F.col("fp") < F.col("other")))
     return probes.join(table, match).select(F.least("fp", "other").alias("fp_a"), F.greatest("fp", "other").alias("fp_b")).distinct()
 
 
@@ -125,28 +137,40 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     prints = written(fingerprints(docs, shingle, seeds), "fingerprints")
     first = written(prints.groupBy(*names).agg(F.min("doc_id").alias("first")), "first")
     pairs = prints.join(first, names).where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+
+    def searched(known: DataFrame, stars: bool) -> DataFrame:
+        """Candidate pairs of documents under all seeds; ``known`` is ``first`` with the component that each is in so far."""
+        out = None
+        for name in names:
+            low = known.groupBy(name).agg(F.min("first").alias("low"))
+            near = near_pairs(known, distance, 3, name, accepted, stars, None if stars else "component")
+            a, b = low.select(F.col(name).alias("fp_a"), F.col("low").alias("a")), low.select(F.col(name).alias("fp_b"), F.col("low").alias("b"))
+            each = near.join(a, "fp_a").join(b, "fp_b").select("a", "b")
+            out = each if out is None else out.unionByName(each)
+        return out
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that are similar enough, by the whole texts of the documents in them."""
+        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        involved = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "involved")
+        texts = within(docs.select("doc_id", "text"), involved, "left_semi", small)
+        sets = written(texts.mapInArrow(lambda batches: shingle_sets(batches, shingle), "doc_id long, shingles array<long>"), "shingles")
+        x, y = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+        common = F.size(F.array_intersect("x", "y"))
+        return written(pairs.join(x, "a").join(y, "b").where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
+
     for name in names:
         low = first.groupBy(name).agg(F.min("first").alias("low"))  # equal under this seed, not under all
         pairs = pairs.unionByName(first.join(low, name).where("first <> low").select(F.col("low").alias("a"), F.col("first").alias("b")))
-        near = near_pairs(first, distance, 3, name, accepted)
-        a, b = low.select(F.col(name).alias("fp_a"), F.col("low").alias("a")), low.select(F.col(name).alias("fp_b"), F.col("low").alias("b"))
-        pairs = pairs.unionByName(near.join(a, "fp_a").join(b, "fp_b").select("a", "b"))
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    involved = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "involved")
-    texts = within(docs.select("doc_id", "text"), involved, "left_semi", small)
-    sets = written(texts.mapInArrow(lambda batches: shingle_sets(batches, shingle), "doc_id long, shingles array<long>"), "shingles")
-    x, y = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    links = pairs.join(x, "a").join(y, "b").where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+    # one member of each table slot stands for the others at first; then only what is still apart is compared
+    links = verified(pairs.unionByName(searched(first, stars=True)))
+    so_far = connected_components(links)
+    known = first.join(so_far, first["first"] == so_far["node"], "left").select(*names, "first", F.coalesce("component", "first").alias("component"))
+    links = links.unionByName(verified(searched(written(known, "known"), stars=False)))
     found = connected_components(links)
     return found.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 
-def within(docs: DataFrame, ids: DataFrame, how: str, small: int) -> DataFrame:
-    """A semi or anti join by doc_id; ``ids`` is broadcast if it has ``small`` rows at most, else both sides are shuffled."""
-    return docs.join(F.broadcast(ids) if ids.count() <= small else ids, "doc_id", how)
-
-
 def shingle_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, shingles): the 64-bit hashes of a text's different shingles; none for a text without words."""
     import xxhash
