@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, embeddings, language, packing, pii, quality, simhash, substrings, token_counts, toxicity
-from .common import table
+from .common import table, within
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,13 +36,13 @@ def op6_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The categories are those that labels has: low quality first, then toxic, which may lean on it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
-    chain = toxicity.fit(docs.join(labels, "doc_id"), ["low_quality", "toxic"])
+    chain = toxicity.fit(docs, labels, ["low_quality", "toxic"])
     return toxicity.classify(docs, chain).withColumn("toxic", F.col("p_toxic") >= 0.5)
 
 
 def op7_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    trusted = docs.join(table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    trusted = within(docs, table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct(), "left_semi")
     return quality.classify(docs, trusted)
 
 

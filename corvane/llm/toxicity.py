@@ -11,9 +11,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import text_runs, written
 from .language import words_of
 
+#: Bytes of text that a worker judges at once.
+RUN_BYTES = 16_000_000
+
 
 @dataclass
 class Rows:
@@ -86,17 +89,19 @@ class Chain:
         return np.column_stack(out)
 
 
-def fit(labelled: DataFrame, categories: list[str], most_rows: int = 20_000, words_per_category: int = 2000, least_rows: int = 4, folds: int = 5) -> Chain:
-    """The chain of ``labelled`` (text and a 0/1 column for each category, in the chain's order).
+def fit(docs: DataFrame, labels: DataFrame, categories: list[str], most_rows: int = 20_000, words_per_category: int = 2000, least_rows: int = 4, folds: int = 5) -> Chain:
+    """The chain of ``docs`` (doc_id, text) with ``labels`` (doc_id and a 0/1 column for each category, in the chain's order).
 
-    Fitted on about ``most_rows`` rows, taken by a hash of their text: a documented bound. Features are the words
-    with the largest standardised log-odds for each category among those in ``least_rows`` rows or more. The
-    probabilities that a later model is trained on come from models that haven't seen the row (``folds`` folds).
-    Rows with a null text or label are left out; with no rows left every probability is a half.
+    Fitted on about ``most_rows`` labelled rows, taken by a hash of doc_id: a documented bound, and the reason why
+    the labels' side of the join may be broadcast. Features are the words with the largest standardised log-odds for
+    each category among those in ``least_rows`` rows or more. The probabilities that a later model is trained on come
+    from models that haven't seen the row (``folds`` folds). Rows with a null text or label are left out; with no rows
+    left every probability is a half.
     """
-    labelled = labelled.select(F.col("text"), *[F.col(c).cast("double").alias(f"y{k}") for k, c in enumerate(categories)]).dropna()
-    share = min(1.0, most_rows / max(1, labelled.count()))
-    chosen = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30))
+    labels = labels.select("doc_id", *[F.col(c).cast("double").alias(f"y{k}") for k, c in enumerate(categories)]).dropna()
+    share = min(1.0, most_rows / max(1, labels.count()))
+    some = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
+    chosen = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id")
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,6 +149,18 @@ def fit(labelled: DataFrame, categories: list[str], most_rows: int = 20_000, wor
     return Chain(list(categories), words, links)
 
 
+def judged(chain: Chain, texts: pa.Array) -> np.ndarray:
+    """The probabilities of each text (rows) and category; each different chunk is looked up once."""
+    parts = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+    chunks = parts.values.dictionary_encode()
+    of_chunk = [[i for i in map(chain.words.get, words_of(c)) if i is not None] for c in chunks.dictionary.to_pylist()]
+    hit = np.array([bool(x) for x in of_chunk], bool)
+    codes, bounds = chunks.indices.to_numpy(), parts.offsets.to_numpy()
+    ids = [sorted({i for c in own[hit[own]].tolist() for i in of_chunk[c]}) if len(own) else [] for own in (codes[a:b] for a, b in zip(bounds[:-1], bounds[1:]))]
+    flat = np.array([i for x in ids for i in x], np.int64)
+    return chain.probabilities(flat, np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64))
+
+
 def classify(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, p_<category> ...): the chain's probabilities for every whole text; one narrow pass.
 
@@ -155,14 +172,7 @@ def classify(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = shared.value
         for batch in batches:
-            parts = pc.ascii_split_whitespace(batch.column(1).cast(pa.large_string()))
-            chunks = parts.values.dictionary_encode()
-            of_chunk = [[i for i in map(chain.words.get, words_of(c)) if i is not None] for c in chunks.dictionary.to_pylist()]
-            hit = np.array([bool(x) for x in of_chunk], bool)
-            codes, bounds = chunks.indices.to_numpy(), parts.offsets.to_numpy()
-            ids = [sorted({i for c in own[hit[own]].tolist() for i in of_chunk[c]}) if len(own) else [] for own in (codes[a:b] for a, b in zip(bounds[:-1], bounds[1:]))]
-            flat = np.array([i for x in ids for i in x], np.int64)
-            p = chain.probabilities(flat, np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64))
+            p = np.concatenate([judged(chain, part) for part in text_runs(batch.column(1), RUN_BYTES)] or [np.zeros((0, len(names)))])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, k]) for k in range(p.shape[1]))], ["doc_id", *names])
 
     names = [f"p_{c}" for c in chain.categories]

@@ -258,13 +258,13 @@ def test_toxicity(spark):
         rng.shuffle(words)
         rows.append((i, " ".join(words), low, toxic))
     table = spark.createDataFrame(rows, "doc_id long, text string, low int, toxic int")
-    chain = toxicity.fit(table.where("doc_id < 300"), ["low", "toxic"])
+    chain = toxicity.fit(table, table.where("doc_id < 300"), ["low", "toxic"])
     more = spark.createDataFrame([(1000, None), (1001, "")], "doc_id long, text string")
     got = collected(toxicity.classify(table.select("doc_id", "text").unionByName(more), chain))
     for i, _, low, toxic in rows[300:]:
         assert (got[i]["p_low"] > 0.5, got[i]["p_toxic"] > 0.5) == (bool(low), bool(toxic))
     assert got[1000]["p_toxic"] == got[1001]["p_toxic"] < 0.5
-    none = toxicity.fit(empty(table), ["low", "toxic"])
+    none = toxicity.fit(table, empty(table), ["low", "toxic"])
     assert toxicity.classify(table, none).count() == 400
     assert toxicity.classify(empty(table), chain).count() == 0
 
