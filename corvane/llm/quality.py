@@ -12,12 +12,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import text_runs, written
 
 #: Symbols that stand before and behind each white-space-free chunk.
 START, END = "\x02", "\x03"
 #: n-grams of a model shard; a larger model is scored shard by shard, with one pass over the texts for each.
 SHARD = 1_000_000
+#: Bytes of text that a worker scores at once.
+RUN_BYTES = 16_000_000
 
 
 def grams(chunk: str, order: int) -> Iterator[str]:
@@ -87,6 +89,23 @@ def train(texts: DataFrame, order: int = 4) -> tuple[DataFrame, float]:
     return weights.groupBy("g").agg(F.sum("delta").alias("delta"), F.sum("bow").alias("bow")), math.log(unseen)
 
 
+class LastSymbol(dict):
+    """What a shard gives for the last symbol after those before it, remembered; ``base`` stands for an unseen symbol."""
+
+    def __init__(self, delta: dict[str, float], bow: dict[str, float], base: float):
+        super().__init__()
+        self.delta, self.bow, self.base = delta.get, bow.get, base
+
+    def __missing__(self, window: str) -> float:
+        if len(self) > SHARD:
+            self.clear()
+        total = self.delta(window[-1], self.base)
+        for n in range(2, len(window) + 1):
+            total += self.delta(window[-n:], 0.0) + self.bow(window[-n:-1], 0.0)
+        self[window] = total
+        return total
+
+
 def perplexities(docs: DataFrame, weights: DataFrame, unseen: float, order: int = 4, shard: int = SHARD) -> DataFrame:
     """(doc_id, symbols, perplexity) of every whole text; null where a text has no word.
 
@@ -105,24 +124,22 @@ def perplexities(docs: DataFrame, weights: DataFrame, unseen: float, order: int
         def run(batches: Iterator[pa.RecordBatch], k: int = k, shared=shared) -> Iterator[pa.RecordBatch]:
             names, delta, bow = shared.value
             delta, bow = dict(zip(names, delta.tolist())), {g: b for g, b in zip(names, bow.tolist()) if b}
-            from_delta, from_bow, base = delta.get, bow.get, 0.0 if k else unseen
+            last = LastSymbol(delta, bow, 0.0 if k else unseen)
 
             def score(chunk: str) -> float:
-                s, total = START + chunk + END, 0.0
-                for i in range(1, len(s)):
-                    for n in range(1, min(order, i + 1) + 1):
-                        total += from_delta(s[i - n + 1 : i + 1], base if n == 1 else 0.0)
-                        if n > 1:
-                            total += from_bow(s[i - n + 1 : i], 0.0)
-                return total
+                s = START + chunk + END
+                return sum([last[s[max(0, i - order + 1) : i + 1]] for i in range(1, len(s))])
 
             for batch in batches:
-                split = pc.ascii_split_whitespace(batch.column(1).cast(pa.large_string()))
-                chunks = split.values.dictionary_encode()
-                table = np.array([(score(c), len(c) + 1) if c else (0.0, 0) for c in chunks.dictionary.to_pylist()]).reshape(-1, 2)
-                codes, bounds = chunks.indices.to_numpy(), split.offsets.to_numpy()
-                sums = np.array([table[codes[a:b]].sum(axis=0) for a, b in zip(bounds[:-1], bounds[1:])]).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums[:, 0]), pa.array((0 * sums[:, 1] if k else sums[:, 1]).astype(np.int64))], ["doc_id", "score", "symbols"])
+                sums = []
+                for texts in text_runs(batch.column(1), RUN_BYTES):
+                    split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+                    chunks = split.values.dictionary_encode()
+                    table = np.array([(score(c), len(c) + 1) if c else (0.0, 0) for c in chunks.dictionary.to_pylist()]).reshape(-1, 2)
+                    codes, bounds = chunks.indices.to_numpy(), split.offsets.to_numpy()
+                    sums += [table[codes[a:b]].sum(axis=0) for a, b in zip(bounds[:-1], bounds[1:])]
+                found = np.array(sums).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found[:, 0]), pa.array((0 * found[:, 1] if k else found[:, 1]).astype(np.int64))], ["doc_id", "score", "symbols"])
 
         part = rows.mapInArrow(run, f"doc_id {kind}, score double, symbols long")
         parts = part if parts is None else parts.unionByName(part)
