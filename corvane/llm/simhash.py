@@ -125,29 +125,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, segmen
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 5, accepted: int = 14, seeds: tuple[int, ...] = (42, 43, 44), small: int = 500_000) -> DataFrame:
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 6, small: int = 500_000) -> DataFrame:
     """(doc_id, component_id) of documents whose sets of word shingles have a Jaccard similarity of ``similarity`` or more.
 
-    For each seed a fingerprint and a search of its own; pairs within ``accepted`` bits are verified on the whole
-    texts. Documents of equal fingerprints under all seeds are one candidate class: each is held against the first of
-    its class, others against the classes' first documents, so no group is expanded into pairs. Sides under
-    ``small`` rows are broadcast, larger ones shuffled. Only documents with a partner come back.
+    Documents of equal shingle sets (by 128 bits of hash) are linked to the first of them, which alone is searched
+    with. Candidates are those that share a band of min-hashes: a pair of similarity s meets with probability
+    1 - (1 - s**rows)**bands, 0.9977 at 0.8 and more above. All are verified on the sets of whole texts. One document
+    of each bucket is held against the others at first; then all pairs of a bucket that are in different components
+    are. Sides under ``small`` rows are broadcast, larger ones shuffled. Only documents with a partner come back.
     """
-    names = ["fp", *(f"fp{k}" for k in range(1, len(seeds)))]
-    prints = written(fingerprints(docs, shingle, seeds), "fingerprints")
-    first = written(prints.groupBy(*names).agg(F.min("doc_id").alias("first")), "first")
-    pairs = prints.join(first, names).where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-
-    def searched(known: DataFrame, stars: bool) -> DataFrame:
-        """Candidate pairs of documents under all seeds; ``known`` is ``first`` with the component that each is in so far."""
-        out = None
-        for name in names:
-            low = known.groupBy(name).agg(F.min("first").alias("low"))
-            near = near_pairs(known, distance, 3, name, accepted, stars, None if stars else "component")
-            a, b = low.select(F.col(name).alias("fp_a"), F.col("low").alias("a")), low.select(F.col(name).alias("fp_b"), F.col("low").alias("b"))
-            each = near.join(a, "fp_a").join(b, "fp_b").select("a", "b")
-            out = each if out is None else out.unionByName(each)
-        return out
+    signed = written(docs.select("doc_id", "text").mapInArrow(lambda batches: signatures(batches, shingle, bands, rows), "doc_id long, high long, low long, n int, keys array<long>"), "signatures")
+    first = signed.groupBy("high", "low").agg(F.min("doc_id").alias("first"))
+    same = written(signed.select("doc_id", "high", "low").join(first, ["high", "low"]).where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")), "same")
+    every = signed.join(same.select(F.col("b").alias("doc_id")), "doc_id", "left_anti").select("doc_id", "n", F.explode("keys").alias("key"))
+    buckets = every.groupBy("key").agg(F.count("*").alias("size"), F.min("doc_id").alias("star")).where("size > 1").select("key", "star")
+    members = written(every.join(buckets, "key"), "members")
+
+    def alike(n: Column, other: Column) -> Column:
+        return F.least(n, other) >= similarity * F.greatest(n, other)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of the pairs that are similar enough, by the whole texts of the documents in them."""
@@ -159,31 +154,57 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
         common = F.size(F.array_intersect("x", "y"))
         return written(pairs.join(x, "a").join(y, "b").where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
 
-    for name in names:
-        low = first.groupBy(name).agg(F.min("first").alias("low"))  # equal under this seed, not under all
-        pairs = pairs.unionByName(first.join(low, name).where("first <> low").select(F.col("low").alias("a"), F.col("first").alias("b")))
-    # one member of each table slot stands for the others at first; then only what is still apart is compared
-    links = verified(pairs.unionByName(searched(first, stars=True)))
+    links = same.unionByName(verified(members.where("doc_id <> star").select(F.col("star").alias("a"), F.col("doc_id").alias("b"))))
     so_far = connected_components(links)
-    known = first.join(so_far, first["first"] == so_far["node"], "left").select(*names, "first", F.coalesce("component", "first").alias("component"))
-    links = links.unionByName(verified(searched(written(known, "known"), stars=False)))
+    known = members.join(so_far, members["doc_id"] == so_far["node"], "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+    known = written(known, "known")
+    mixed = known.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
+    apart = written(known.join(mixed, "key"), "apart")
+    other = apart.select("key", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
+    met = (apart["key"] == other["key"]) & (apart["doc_id"] < other["b"]) & (apart["component"] != other["other"]) & alike(apart["n"], other["m"])
+    links = links.unionByName(verified(apart.join(other, met).select(F.col("doc_id").alias("a"), "b")))
     found = connected_components(links)
     return found.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 
-def shingle_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, shingles): the 64-bit hashes of a text's different shingles; none for a text without words."""
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The sorted 64-bit hashes of a text's different shingles; one of nothing for a text without words."""
     import xxhash
 
     digest = xxhash.xxh3_64_intdigest
+    joined, starts, ends = words_and_bounds(text or "")
+    n = len(starts)
+    spans = zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist()) if n >= shingle else [(0, len(joined))]
+    return np.array(sorted({digest(joined[a:b]) for a, b in spans}), np.uint64)
+
+
+def shingle_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, shingles): the hashes of each text's different shingles."""
+    for batch in batches:
+        out = [shingle_set(text.as_py(), shingle).view(np.int64) for text in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+
+
+def signatures(batches: Iterator[pa.RecordBatch], shingle: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, high, low, n, keys): two halves of a hash of a text's shingle set, its size, and a key for each band
+    of min-hashes, each the least value of the set under an odd multiplier and an offset of its own."""
+    import xxhash
+
+    rng = np.random.default_rng(42)
+    factors = rng.integers(0, 1 << 64, bands * rows, np.uint64) | np.uint64(1)
+    offsets = rng.integers(0, 1 << 64, bands * rows, np.uint64)
     for batch in batches:
         out = []
         for text in batch.column(1):
-            joined, starts, ends = words_and_bounds(text.as_py() or "")
-            n = len(starts)
-            spans = zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist()) if n >= shingle else [(0, len(joined))]
-            out.append(np.array(list({digest(joined[a:b]) for a, b in spans}), np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+            found = shingle_set(text.as_py(), shingle)
+            least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+            for at in range(0, len(found), 1024):
+                least = np.minimum(least, (factors[:, None] * found[None, at : at + 1024] + offsets[:, None]).min(axis=1))
+            keys = np.array([xxhash.xxh3_64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(bands, rows))], np.uint64)
+            halves = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64)
+            out.append((int(halves[0]), int(halves[1]), len(found), keys.view(np.int64)))
+        columns = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())))]
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *columns], ["doc_id", "high", "low", "n", "keys"])
 
 
 def as_hex(fp: Column) -> Column:

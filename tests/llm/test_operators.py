@@ -159,6 +159,14 @@ def test_similar_documents(docs, texts):
     assert {i: got.get(i, i) for i in range(len(texts))} == dict(enumerate(want))
 
 
+def test_similar_documents_apart_from_the_first_of_a_class(spark):
+    """One repeated shingle makes over half of each text, so fingerprints over repeats are all equal."""
+    junk, tails = "same " * 400, [" ".join(f"{c}{i}" for i in range(60)) for c in "abc"]
+    texts = [junk + tails[0], junk + tails[1], junk + tails[1], junk + tails[1] + " more", junk + tails[2], tails[2] + " more"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
+
+
 def test_substrings(docs, texts):
     for window in (5, 20):
         seen, want = set(), {}
