@@ -167,6 +167,18 @@ def test_similar_documents_apart_from_the_first_of_a_class(spark):
     assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
 
 
+def test_similar_documents_meet_at_the_threshold(spark):
+    """Pairs at Jaccard 0.805, just over the threshold, each of 300 words of which the last 32 differ."""
+    rows = []
+    for k in range(300):
+        shared = " ".join(f"w{k}x{i}" for i in range(268))
+        rows += [(2 * k + side, shared + "".join(f" {'ab'[side]}{k}x{i}" for i in range(32))) for side in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    assert all(doc // 2 == c // 2 for doc, c in found.items())
+    assert len(found) >= 0.99 * len(rows)
+
+
 def test_substrings(docs, texts):
     for window in (5, 20):
         seen, want = set(), {}
