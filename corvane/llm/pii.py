@@ -23,7 +23,7 @@ CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWX
 FORMS = re.compile(
     r"""(?P<email>(?<![\w.+-])[\w.+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?!\w))
     |(?<!\w)(?:api[_-]?key|access[_-]?key|token|secret|passw(?:or)?d|key)\s{0,3}[:=]\s{0,3}["']?(?P<secret>[A-Za-z0-9_+/=-]{16,})
-    |(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w))
+    |(?P<iban>(?<!\w)(?-i:[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?)(?!\w))
     |(?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\w/-]|\.\d))
     |(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))
     |(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
@@ -32,6 +32,15 @@ FORMS = re.compile(
     re.VERBOSE | re.IGNORECASE,
 )
 MAYBE = re.compile(r"\d|@|[:=]")
+#: How many letters and digits an IBAN has, by country.
+IBAN_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 
 
 class Feistel:
@@ -112,12 +121,14 @@ class Pseudonyms:
         return refilled(found, f"{compact[:2]}{check:02d}{body}")
 
     def date(self, found: str) -> str | None:
-        form = "%Y-%m-%d" if found[4] == "-" else f"%d{found[2]}%m{found[5]}%Y"
-        try:
-            day = datetime.datetime.strptime(found, form).date().toordinal()
-        except ValueError:
-            return None
-        if not FIRST_DAY <= day <= LAST_DAY:
+        day = None
+        for form in ["%Y-%m-%d"] if found[4] == "-" else [f"%d{found[2]}%m{found[5]}%Y", f"%m{found[2]}%d{found[5]}%Y"]:
+            try:
+                day = datetime.datetime.strptime(found, form).date().toordinal()
+                break
+            except ValueError:
+                continue
+        if day is None or not FIRST_DAY <= day <= LAST_DAY:
             return None
         day = FIRST_DAY + self.feistel.permuted(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date")
         moved = datetime.date.fromordinal(day)
@@ -160,6 +171,18 @@ class Pseudonyms:
         out = f"{value:0{len(found)}x}"
         return out.upper() if hexes[-1] == "F" else out
 
+    def ends(self, kind: str, found: str) -> list[int]:
+        """Where what was matched may end, in the order to try: a card or an IBAN may have taken what follows it."""
+        out = [len(found)]
+        if kind == "card":
+            # a hyphen ends only a number that has none itself; else it is part of a longer one
+            out += [i for i in range(len(found) - 1, 12, -1) if found[i] == " " or found[i] == "-" and "-" not in found[:i]]
+            out = [i for i in out if sum(map(str.isdigit, found[:i])) >= 13]
+        elif kind == "iban":
+            out += [i for i in range(len(found) - 1, 14, -1) if found[i] == " "]
+            out.sort(key=lambda i: i - found.count(" ", 0, i) != IBAN_LENGTHS.get(found[:2]))
+        return out
+
     def spans(self, text: str) -> list[tuple[int, int, str, str]]:
         """(start, end, kind, pseudonym) of all that is private in ``text``, from left to right."""
         if not MAYBE.search(text):
@@ -168,12 +191,14 @@ class Pseudonyms:
         while m := FORMS.search(text, at):
             kind = m.lastgroup
             found = m[kind]
-            new = getattr(self, kind)(found)
-            if new is None:
-                at = m.start(kind) + 1
-                continue
-            out.append((m.start(kind), m.end(kind), kind, new))
-            at = m.end()
+            start = m.start(kind)
+            for end in self.ends(kind, found):
+                if (new := getattr(self, kind)(found[:end])) is not None:
+                    out.append((start, start + end, kind, new))
+                    at = start + end
+                    break
+            else:
+                at = start + 1
         return out
 
 

@@ -376,3 +376,22 @@ def test_pii(spark):
     f = pii.Feistel(key)
     assert sorted(f.permuted(i, 777, "t") for i in range(777)) == list(range(777))
     assert pii.Feistel(b"other").text("4111", "card") != f.text("4111", "card") or pii.Feistel(b"other").text("9999", "x") != f.text("9999", "x")
+
+
+@pytest.mark.parametrize(
+    ("text", "private"),
+    [
+        ("pay ES91 2100 0418 4502 0005 1332 for it", ["ES91 2100 0418 4502 0005 1332"]),
+        ("AT611904300234573201 is his, SE4550000000058398257466 from us", ["AT611904300234573201", "SE4550000000058398257466"]),
+        ("BE68 5390 0754 7034 FROM US", ["BE68 5390 0754 7034"]),
+        ("card 4111 1111 1111 1111 123 ok", ["4111 1111 1111 1111"]),
+        ("card 4111-1111-1111-1111 12/25", ["4111-1111-1111-1111"]),
+        ("card 4111111111111111-123", ["4111111111111111"]),
+        ("part 4111-1111-1111-1111-123", []),
+        ("on 12/25/2024 and 25/12/2024, not 13/32/2024", ["12/25/2024", "25/12/2024"]),
+    ],
+)
+def test_pii_ends_where_the_value_does(text, private):
+    found = pii.Pseudonyms(b"k").spans(text)
+    assert [text[start:end] for start, end, _, _ in found] == private
+    assert all(len(new) == end - start and new != text[start:end] for start, end, _, new in found)
