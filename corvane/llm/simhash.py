@@ -132,7 +132,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     with. Candidates are those that share a band of min-hashes: a pair of similarity s meets with probability
     1 - (1 - s**rows)**bands, 0.9977 at 0.8 and more above. All are verified on the sets of whole texts. One document
     of each bucket is held against the others at first; then all pairs of a bucket that are in different components
-    are. Sides under ``small`` rows are broadcast, larger ones shuffled. Only documents with a partner come back.
+    are, but for those that have too few shingles outside their own component to be similar. Sides under ``small`` rows are broadcast, larger ones shuffled. Only documents with a partner come back.
     """
     signed = written(docs.select("doc_id", "text").mapInArrow(lambda batches: signatures(batches, shingle, bands, rows), "doc_id long, high long, low long, n int, keys array<long>"), "signatures")
     first = signed.groupBy("high", "low").agg(F.min("doc_id").alias("first"))
@@ -141,15 +141,15 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     buckets = every.groupBy("key").agg(F.count("*").alias("size"), F.min("doc_id").alias("star")).where("size > 1").select("key", "star")
     members = written(every.join(buckets, "key"), "members")
 
-    def alike(n: Column, other: Column) -> Column:
-        return F.least(n, other) >= similarity * F.greatest(n, other)
+    def sets_of(ids: DataFrame) -> DataFrame:
+        texts = within(docs.select("doc_id", "text"), ids, "left_semi", small)
+        return written(texts.mapInArrow(lambda batches: shingle_sets(batches, shingle), "doc_id long, shingles array<long>"), "shingles")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of the pairs that are similar enough, by the whole texts of the documents in them."""
         pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
         involved = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "involved")
-        texts = within(docs.select("doc_id", "text"), involved, "left_semi", small)
-        sets = written(texts.mapInArrow(lambda batches: shingle_sets(batches, shingle), "doc_id long, shingles array<long>"), "shingles")
+        sets = sets_of(involved)
         x, y = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
         common = F.size(F.array_intersect("x", "y"))
         return written(pairs.join(x, "a").join(y, "b").where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
@@ -160,8 +160,17 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     known = written(known, "known")
     mixed = known.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
     apart = written(known.join(mixed, "key"), "apart")
-    other = apart.select("key", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-    met = (apart["key"] == other["key"]) & (apart["doc_id"] < other["b"]) & (apart["component"] != other["other"]) & alike(apart["n"], other["m"])
+    # what a document has in common with one of another component is among the shingles that are in several components
+    ids = written(apart.select("doc_id", "component").distinct(), "ids")
+    each = sets_of(ids.select("doc_id")).join(ids, "doc_id").select("doc_id", "component", F.explode("shingles").alias("shingle"))
+    across = each.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("shingle")
+    shared = each.join(across, "shingle").groupBy("doc_id").agg(F.count("*").alias("shared"))
+    shared = shared.join(apart.groupBy("doc_id").agg(F.collect_list("key").alias("keys")), "doc_id")
+    apart = written(apart.join(shared, "doc_id").where(F.col("shared") >= similarity * F.col("n")), "shared")
+    other = apart.select(F.col("key").alias("bucket"), F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("shared").alias("also"), F.col("keys").alias("their"))
+    enough = F.least("shared", "also") * (1 + similarity) + 1e-6 >= similarity * (F.col("n") + F.col("m"))
+    met = (F.col("key") == F.col("bucket")) & (F.col("doc_id") < F.col("b")) & (F.col("component") != F.col("other")) & enough
+    met = met & (F.array_min(F.array_intersect("keys", "their")) == F.col("key"))  # each pair once, however many buckets it shares
     links = links.unionByName(verified(apart.join(other, met).select(F.col("doc_id").alias("a"), "b")))
     found = connected_components(links)
     return found.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
