@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir; a folder of this process where that is unset."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='corvane-')}")
-    return df.checkpoint()
+from ..storage import checkpointed as cut
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -56,14 +48,21 @@ def budgeted(found: DataFrame, sizes: DataFrame, budget_tokens: int) -> DataFram
     return found.join(sizes, "id").withColumn("bytes_before", F.coalesce(F.sum(F.when(F.col("depth") > 0, F.col("size")).otherwise(0)).over(before), F.lit(0))).withColumn("expands", (F.col("depth") == 0) | (F.col("bytes_before") < limit))
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component), the smallest id connected; isolated nodes are their own. Large-star and small-star rounds."""
-    now = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, component) for every node of ``edges`` (a, b), component being its smallest reachable node.
+
+    Alternating large-star and small-star steps (Kiveris et al., 2014): rows never outgrow the edges, each
+    step is an aggregate and an equi-join, and the rounds grow with the logarithm of a component's size.
+    Empty edges give an empty table; self-loops and repeated edges are harmless.
+    """
+    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
+        # large star: larger neighbours go to the smallest of a node and its neighbours
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # small star: a node and its smaller neighbours go to the smallest of these
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         pairs = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
         now = cut(large.join(low, "a").select(F.explode(pairs).alias("e")).select("e.a", "e.b").where("a <> b").distinct())
@@ -71,7 +70,13 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         if state == before:
             break
         before = state
-    roots = now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
+    ends = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("component")), F.struct(F.col("b").alias("node"), F.col("b").alias("component")))
+    return now.select(F.explode(ends).alias("e")).groupBy("e.node").agg(F.min("e.component").alias("component"))
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component), the smallest id connected by edges (src, dst); isolated nodes are their own."""
+    roots = connected(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))).withColumnRenamed("node", "id")
     return nodes.select("id").join(roots, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,25 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-def shared(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='corvane-')}"
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+from ..storage import new_path
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """All that is available now, run through to a Parquet table; in append mode each batch is written once, by its number."""
-    spark = stream.sparkSession
-    out = shared(spark, "stream")
-    schema = stream.schema
+    """All that is available now, run through to Parquet tables, each batch written once by its number.
+
+    In complete mode a batch holds the whole result, so the last one is read; in append mode all are.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+    out, numbers = new_path(spark, "stream"), []
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/{'all' if mode == 'complete' else f'batch={number}'}")
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        numbers.append(number)
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", shared(spark, "offsets")).trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", new_path(spark, "offsets")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(out)
+    if not numbers:
+        return spark.createDataFrame([], schema)
+    read = [max(numbers)] if mode == "complete" else sorted(set(numbers))
+    return spark.read.schema(schema).parquet(*[f"{out}/batch={n}" for n in read])
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
