@@ -179,22 +179,52 @@ def test_similar_documents_meet_at_the_threshold(spark):
     assert len(found) >= 0.99 * len(rows)
 
 
-def test_substrings(docs, texts):
-    for window in (5, 20):
-        seen, want = set(), {}
-        for i, t in enumerate(texts):
-            words = re.findall("[^\x20\x09-\x0d]+", t or "")
-            gone = [False] * len(words)
-            for k in range(len(words) - window + 1):
-                key = tuple(words[k : k + window])
-                if key in seen:
-                    gone[k : k + window] = [True] * window
-                seen.add(key)
-            kept = " ".join(w for w, g in zip(words, gone) if not g)
-            want[i] = (len(words), sum(gone), hashlib.sha256(kept.encode()).hexdigest())
-        got = collected(substrings.digest(substrings.without_repeats(docs, window)))
-        assert {i: (r["n_words"], r["n_removed"], r["kept_sha256"]) for i, r in got.items()} == want
-    assert substrings.without_repeats(empty(docs)).count() == 0
+def brute_repeats(rows, window):
+    """What each of the rows (doc_id, text) keeps, in the order of the rows."""
+    first, out = {}, []
+    for doc, text in sorted(rows, key=lambda r: r[0]):
+        words = re.findall("[^\x20\x09-\x0d]+", text or "")
+        for k in range(len(words) - window + 1):
+            first.setdefault(tuple(words[k : k + window]), (doc, k))
+            first[tuple(words[k : k + window])] = min(first[tuple(words[k : k + window])], (doc, k))
+    gone = defaultdict(set)
+    for doc, text in rows:
+        words = re.findall("[^\x20\x09-\x0d]+", text or "")
+        for k in range(len(words) - window + 1):
+            if first[tuple(words[k : k + window])] < (doc, k):
+                gone[doc] |= set(range(k, k + window))
+    for doc, text in rows:
+        words = re.findall("[^\x20\x09-\x0d]+", text or "")
+        kept = [w for k, w in enumerate(words) if k not in gone[doc]]
+        out.append((doc, len(words), len(words) - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize(("window", "shortest"), [(5, 10), (20, 10), (20, 3), (24, 3), (21, 2)])
+def test_substrings(docs, texts, window, shortest):
+    """One level, two, and more of them; PASSAGE and a long text repeat."""
+    got = substrings.digest(substrings.without_repeats(docs, window, shortest)).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_repeats(list(enumerate(texts)), window))
+    assert substrings.without_repeats(empty(docs), window, shortest).count() == 0
+
+
+def test_substrings_of_repeated_rows_and_ties(spark):
+    """Rows that share a doc_id aren't earlier than one another; the same passage at many places, over small batches."""
+    rng = random.Random(8)
+    passages = [" ".join(rng.choice("abcdefgh") for _ in range(26)) for _ in range(3)]
+    rows = []
+    for i in range(60):
+        text = " ".join([f"u{i}x{k}" for k in range(rng.randint(0, 6))] + [rng.choice(passages)] + [f"v{i}x{k}" for k in range(rng.randint(0, 6))] + [rng.choice(passages)])
+        rows += [(i, text)] * (1 + (i % 7 == 0))
+    rows += [(100, "z " * 500), (101, "z " * 45)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        for shortest in (10, 5):
+            got = substrings.digest(substrings.without_repeats(table, 20, shortest)).collect()
+            assert sorted(map(tuple, got)) == sorted(brute_repeats(rows, 20))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def words8(text):
