@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected as connected_components  # noqa: F401
+from ..storage import written  # noqa: F401
+
 #: Lower-casing of A-Z alone, as the contracts ask; other letters stay as they are.
 ASCII_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(ord("A"), ord("Z") + 1)})
 
@@ -19,33 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one made here where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = getattr(shared_dir, "own", None)
-        if found is None:
-            found = shared_dir.own = f"file://{tempfile.mkdtemp(prefix='corvane-')}"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint; for the small tables of iterative steps."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def in_runs(rows: Iterable, sizes: Iterable[int], most: int) -> Iterator[list]:
     """Consecutive rows in runs of about ``most`` units at most; a larger single row is a run of its own."""
     run, held = [], 0
@@ -73,26 +48,41 @@ def text_runs(texts: pa.Array, most: int) -> Iterator[pa.Array]:
         low += len(run)
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of ``edges`` (a, b), component being its smallest reachable node.
+def group_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Whole groups of rows that come sorted by their first ``keys`` columns (64-bit numbers), as (rows, bounds of the groups).
 
-    Alternating large-star and small-star steps (Kiveris et al., 2014): rows never outgrow the edges, each
-    step is an aggregate and an equi-join, and the rounds grow with the logarithm of a component's size.
-    Empty edges give an empty table; self-loops and repeated edges are harmless.
+    Only the group that a batch ends in is held over, so memory follows a batch and the largest group.
     """
-    now = checkpointed(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    while True:
-        # large star: larger neighbours go to the smallest of a node and its neighbours
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        # small star: a node and its smaller neighbours go to the smallest of these
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        now = checkpointed(small)
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([*held, batch]).combine_chunks()
+        group = np.stack([rows.column(k).to_numpy() for k in range(keys)], axis=1)
+        cuts = (np.nonzero((group[1:] != group[:-1]).any(axis=1))[0] + 1).tolist()
+        last = cuts[-1] if cuts else 0
+        held = rows.slice(last).combine_chunks().to_batches()
+        if last:
+            yield rows.slice(0, last), [0, *cuts]
+    if held:
+        rows = pa.Table.from_batches(held)
+        yield rows, [0, rows.num_rows]
+
+
+def forest(n: int, pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs: at most n - 1 of them keep all that is connected connected."""
+    parent, out = list(range(n)), []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        for i, j in zip(a.tolist(), b.tolist()):
+            x, y = root(i), root(j)
+            if x != y:
+                parent[y] = x
+                out.append((i, j))
+    return out

@@ -11,11 +11,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, connected_components, within, written
+from .common import ASCII_LOWER, connected_components, group_runs, within, written
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 #: Shingles whose bits are summed at once; bounds a worker's memory for very long texts.
 BLOCK = 65_536
+#: Shingles of a block of a bucket (8 MB); one task compares two blocks at a time.
+SET_BLOCK = 1_000_000
 
 
 def words_and_bounds(text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -130,52 +132,75 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
 
     Documents of equal shingle sets (by 128 bits of hash) are linked to the first of them, which alone is searched
     with. Candidates are those that share a band of min-hashes: a pair of similarity s meets with probability
-    1 - (1 - s**rows)**bands, 0.9977 at 0.8 and more above. All are verified on the sets of whole texts. One document
-    of each bucket is held against the others at first; then all pairs of a bucket that are in different components
-    are, but for those that have too few shingles outside their own component to be similar. Sides under ``small`` rows are broadcast, larger ones shuffled. Only documents with a partner come back.
+    1 - (1 - s**rows)**bands, 0.9977 at 0.8 and more above. All are verified on the sets of whole texts. The first and
+    the last document of each bucket are held against its others; then buckets whose documents are still in different
+    components are compared within tasks, which return spanning forests and never the pairs of a group. Ids under
+    ``small`` rows are broadcast, more are shuffled. Only documents with a partner come back.
+
+    Null and blank texts have one empty shingle each, so they are copies of one another. Rows that share a doc_id are
+    one document with any of their texts; an empty table gives an empty one; further columns aren't read.
     """
     signed = written(docs.select("doc_id", "text").mapInArrow(lambda batches: signatures(batches, shingle, bands, rows), "doc_id long, high long, low long, n int, keys array<long>"), "signatures")
-    first = signed.groupBy("high", "low").agg(F.min("doc_id").alias("first"))
+    first = written(signed.groupBy("high", "low").agg(F.min("doc_id").alias("first")), "first")
     same = written(signed.select("doc_id", "high", "low").join(first, ["high", "low"]).where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")), "same")
     every = signed.join(same.select(F.col("b").alias("doc_id")), "doc_id", "left_anti").select("doc_id", "n", F.explode("keys").alias("key"))
-    buckets = every.groupBy("key").agg(F.count("*").alias("size"), F.min("doc_id").alias("star")).where("size > 1").select("key", "star")
+    buckets = every.groupBy("key").agg(F.count("*").alias("size"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "low", "high")
     members = written(every.join(buckets, "key"), "members")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         texts = within(docs.select("doc_id", "text"), ids, "left_semi", small)
         return written(texts.mapInArrow(lambda batches: shingle_sets(batches, shingle), "doc_id long, shingles array<long>"), "shingles")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs that are similar enough, by the whole texts of the documents in them."""
-        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        involved = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "involved")
-        sets = sets_of(involved)
-        x, y = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-        common = F.size(F.array_intersect("x", "y"))
-        return written(pairs.join(x, "a").join(y, "b").where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
-
-    links = same.unionByName(verified(members.where("doc_id <> star").select(F.col("star").alias("a"), F.col("doc_id").alias("b"))))
+    stars = members.select("doc_id", F.explode(F.array("low", "high")).alias("star")).where("doc_id <> star")
+    pairs = written(stars.select(F.least("star", "doc_id").alias("a"), F.greatest("star", "doc_id").alias("b")).distinct(), "pairs")
+    sets = sets_of(pairs.select(F.col("a").alias("doc_id")).distinct().unionByName(pairs.select(F.col("b").alias("doc_id")).distinct()).distinct())
+    x, y = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    common = F.size(F.array_intersect("x", "y"))
+    near = pairs.join(x, "a").join(y, "b").where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+    links = written(same.unionByName(near), "links")
     so_far = connected_components(links)
-    known = members.join(so_far, members["doc_id"] == so_far["node"], "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-    known = written(known, "known")
-    mixed = known.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
-    apart = written(known.join(mixed, "key"), "apart")
-    # what a document has in common with one of another component is among the shingles that are in several components
-    ids = written(apart.select("doc_id", "component").distinct(), "ids")
-    each = sets_of(ids.select("doc_id")).join(ids, "doc_id").select("doc_id", "component", F.explode("shingles").alias("shingle"))
-    across = each.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("shingle")
-    shared = each.join(across, "shingle").groupBy("doc_id").agg(F.count("*").alias("shared"))
-    shared = shared.join(apart.groupBy("doc_id").agg(F.collect_list("key").alias("keys")), "doc_id")
-    apart = written(apart.join(shared, "doc_id").where(F.col("shared") >= similarity * F.col("n")), "shared")
-    other = apart.select(F.col("key").alias("bucket"), F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("shared").alias("also"), F.col("keys").alias("their"))
-    enough = F.least("shared", "also") * (1 + similarity) + 1e-6 >= similarity * (F.col("n") + F.col("m"))
-    met = (F.col("key") == F.col("bucket")) & (F.col("doc_id") < F.col("b")) & (F.col("component") != F.col("other")) & enough
-    met = met & (F.array_min(F.array_intersect("keys", "their")) == F.col("key"))  # each pair once, however many buckets it shares
-    links = links.unionByName(verified(apart.join(other, met).select(F.col("doc_id").alias("a"), "b")))
-    found = connected_components(links)
+    known = written(members.join(so_far, members["doc_id"] == so_far["node"], "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component")), "known")
+    mixed = known.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.sum("n").alias("total")).where("least <> most")
+    # a bucket is dealt out as pairs of blocks of about SET_BLOCK shingles, so neither a tile nor a task grows with it
+    blocks = F.ceil(F.col("total") / SET_BLOCK).cast("int")
+    apart = written(known.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")), "apart")
+    tiles = apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").cast("long").alias("low"), F.greatest("block", "other").cast("long").alias("high"), "doc_id", "component")
+    held = tiles.join(sets.union(sets_of(apart.select("doc_id").distinct().join(sets.select("doc_id"), "doc_id", "left_anti"))), "doc_id").select("key", "low", "high", "doc_id", "component", "shingles")
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = held.repartition(partitions, "key", "low", "high").sortWithinPartitions("key", "low", "high")
+    across = dealt.mapInArrow(lambda batches: links_across(batches, similarity), "a long, b long")
+    found = connected_components(links.unionByName(written(across.distinct(), "across")))
     return found.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 
+def links_across(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """(a, b): for each tile (rows of one key, low and high) links that connect all of its documents of different
+    components that similar pairs connect; each document out of the tile's largest component is held against all."""
+    for tiles, bounds in group_runs(batches, 3):
+        out_a, out_b = [], []
+        ids, components, shingles = tiles.column(3).to_numpy(), tiles.column(4).to_numpy(), tiles.column(5).combine_chunks()
+        flat, starts = np.asarray(shingles.values), np.asarray(shingles.offsets)
+        for low, high in zip(bounds[:-1], bounds[1:]):
+            own, n = components[low:high].copy(), np.diff(starts[low : high + 1])
+            names, sizes = np.unique(own, return_counts=True)
+            if len(names) < 2:
+                continue
+            at = starts[low:high] - starts[low]
+            _, codes = np.unique(flat[starts[low] : starts[high]], return_inverse=True)
+            mark = np.zeros(int(codes.max()) + 1, np.int32)
+            for i in np.nonzero(own != names[sizes.argmax()])[0]:
+                mine = codes[at[i] : at[i] + n[i]]
+                mark[mine] = 1
+                common = np.add.reduceat(mark[codes], at)
+                mark[mine] = 0
+                for j in np.nonzero((common >= similarity * (n + n[i] - common)) & (own != own[i]))[0]:
+                    if own[j] != own[i]:
+                        out_a.append(int(ids[low + i]))
+                        out_b.append(int(ids[low + j]))
+                        own[own == own[j]] = own[i]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(out_a, out_b), pa.int64()), pa.array(np.maximum(out_a, out_b), pa.int64())], ["a", "b"])
+
+
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     """The sorted 64-bit hashes of a text's different shingles; one of nothing for a text without words."""
     import xxhash
