@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_runs, written
@@ -60,7 +60,7 @@ class WordIds:
             return self.merge(plain.encode() + b"\xff")
         if plain[:-1].isalpha() and plain[-1] in self.marks:
             return self.merge(plain[:-1].encode() + b"\xff") + self.marks[plain[-1]]
-        if self.odd(chunk):
+        if self.odd(chunk) or not chunk.isascii() and any(unicodedata.category(c) == "Cn" for c in chunk):  # letters that are newer than Python's tables
             return self.tokenizer.encode(chunk, add_special_tokens=False).ids
         return [i for w in self.split(plain) for i in self.merge(w.encode() + b"\xff")]
 
@@ -183,26 +183,25 @@ class Island:
 
 
 def evolve_shards(items: DataFrame, capacity: int, shard_size: int, islands: int, epochs: int, people: int, generations: int, salt: int) -> DataFrame:
-    """(doc_id, piece, length, shard, bin): each shard's best packing over all its islands.
+    """(id, length, shard, bin): each shard's best packing over all its islands.
 
     Shards hold about ``shard_size`` pieces whatever the input, so no task grows with it. A shard's islands are
     rows of their own, evolve in tasks of their own, and pass their elite to the next island between epochs.
     """
     n = items.count()
     shards = max(1, -(-n // shard_size))
-    kind = items.schema["doc_id"].dataType.simpleString()
-    schema = f"shard long, island int, doc_id array<{kind}>, piece array<int>, length array<long>, bin array<int>, score double"
+    schema = "shard long, island int, id array<long>, length array<long>, bin array<int>, score double"
 
     def found(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True])
-        return shown(key, group.doc_id.to_numpy(), group.piece.to_numpy(), group.length.to_numpy(), None)
+        group = group.sort_values(["length", "id"], ascending=[False, True])
+        return shown(key, group.id.to_numpy(), group.length.to_numpy(), None)
 
     def again(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("score", ascending=False, kind="stable")
         first = group.iloc[0]
-        return shown(key, first.doc_id, first.piece, first.length, group.bin.tolist())
+        return shown(key, first.id, first.length, group.bin.tolist())
 
-    def shown(key: tuple, docs: np.ndarray, pieces: np.ndarray, lengths: np.ndarray, elites: list | None) -> pd.DataFrame:
+    def shown(key: tuple, ids: np.ndarray, lengths: np.ndarray, elites: list | None) -> pd.DataFrame:
         island = Island([int(x) for x in lengths], capacity, hash((int(key[0]), int(key[1]), salt, elites is None)), people)
         for elite in elites or ():
             bins: dict[int, list[int]] = {}
@@ -216,45 +215,43 @@ def evolve_shards(items: DataFrame, capacity: int, shard_size: int, islands: int
         numbers = np.empty(len(lengths), np.int32)
         for k, b in enumerate(bins):
             numbers[b] = k
-        return pd.DataFrame({"shard": [key[0]], "island": [key[1]], "doc_id": [docs], "piece": [pieces], "length": [lengths], "bin": [numbers], "score": [score]})
+        return pd.DataFrame({"shard": [key[0]], "island": [key[1]], "id": [ids], "length": [lengths], "bin": [numbers], "score": [score]})
 
-    shard = F.pmod(F.xxhash64("doc_id", "piece", F.lit(salt)), F.lit(shards))
-    state = items.select("doc_id", "piece", "length", shard.alias("shard"), F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island")).groupBy("shard", "island").applyInPandas(found, schema)
+    shard = F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(shards))
+    state = items.select("id", "length", shard.alias("shard"), F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island")).groupBy("shard", "island").applyInPandas(found, schema)
     for _ in range(epochs - 1):
         state = written(state, "islands")  # each epoch is a pass of its own: a lost executor repeats one at most
         moved = state.withColumn("island", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int"))
         state = state.unionByName(moved).groupBy("shard", "island").applyInPandas(again, schema)
-    best = state.groupBy("shard").agg(F.max_by(F.struct("doc_id", "piece", "length", "bin"), F.struct("score", -F.col("island"))).alias("s"))
-    return best.select("shard", F.explode(F.arrays_zip("s.doc_id", "s.piece", "s.length", "s.bin")).alias("x")).select("x.doc_id", "x.piece", "x.length", "shard", "x.bin")
+    best = state.groupBy("shard").agg(F.max_by(F.struct("id", "length", "bin"), F.struct("score", -F.col("island"))).alias("s"))
+    return best.select("shard", F.explode(F.arrays_zip("s.id", "s.length", "s.bin")).alias("x")).select("x.id", "x.length", "shard", "x.bin")
 
 
 def pack(pieces: DataFrame, capacity: int = 4096, shard_size: int = 2048, islands: int = 2, epochs: int = 2, people: int = 4, generations: int = 12) -> DataFrame:
-    """(doc_id, piece, length, sequence_id, offset) for ``pieces`` (doc_id, piece, length), none longer than ``capacity``.
+    """(id, sequence_id, offset) for ``pieces`` (id, length), none longer than ``capacity``; each id is a number of its own.
 
     Round one packs shards of a bounded number of pieces; what their poorly filled bins hold is dealt out anew
     and packed in round two, so the loss is about a bin for each shard of leftovers. Full pieces are sequences
     of their own. Empty input gives an empty table. Where a sequence holds several pieces they lie in the order
-    of (doc_id, piece), gapless from 0. (doc_id, piece) must be unique.
+    of their ids, gapless from 0.
     """
     args = (capacity, shard_size, islands, epochs, people, generations)
-    first = written(evolve_shards(pieces.select("doc_id", "piece", "length"), *args, salt=1), "packed")
+    first = written(evolve_shards(pieces.select("id", "length"), *args, salt=1), "packed")
     load = first.groupBy("shard", "bin").agg(F.sum("length").alias("load")).where(F.col("load") < int(capacity * 0.97))
-    left = first.join(load, ["shard", "bin"], "left_semi").select("doc_id", "piece", "length")
+    left = first.join(load, ["shard", "bin"], "left_semi").select("id", "length")
     second = evolve_shards(left, *args, salt=2)
     number = lambda top: (F.lit(top << 62) + F.shiftleft(F.col("shard"), 20) + F.col("bin")).alias("sequence_id")
-    placed = first.join(load, ["shard", "bin"], "left_anti").select("doc_id", "piece", "length", number(0)).unionByName(second.select("doc_id", "piece", "length", number(1)))
-    from pyspark.sql import Window
-
-    before = Window.partitionBy("sequence_id").orderBy("doc_id", "piece").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
+    placed = first.join(load, ["shard", "bin"], "left_anti").select("id", "length", number(0)).unionByName(second.select("id", "length", number(1)))
+    before = Window.partitionBy("sequence_id").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    return placed.select("id", "sequence_id", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"))
 
 
 def pack_documents(docs: DataFrame, vocabulary_path: str, capacity: int = 4096, **options) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): ``docs`` tokenized, cut and packed.
 
-    The pieces are written once, so no text is tokenized twice. doc_id must be unique; null text is empty,
-    an empty table gives an empty result, other columns aren't read.
+    The pieces are written once, numbered, so no text is tokenized twice and each row of ``docs`` has pieces of its
+    own, repeated rows and doc_ids too. Null text is empty, an empty table gives an empty result, other columns
+    aren't read.
     """
-    pieces = written(token_pieces(docs, vocabulary_path, capacity), "pieces")
-    placed = pack(pieces, capacity, **options)
-    return pieces.join(placed.drop("length"), ["doc_id", "piece"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    pieces = written(token_pieces(docs, vocabulary_path, capacity).withColumn("id", F.monotonically_increasing_id()), "pieces")
+    return pieces.join(pack(pieces, capacity, **options), "id").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
