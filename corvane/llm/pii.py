@@ -7,16 +7,28 @@ import hmac
 import ipaddress
 import math
 import re
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .common import ASCII_LOWER, text_runs
+
 ROUNDS = 10
-#: For tests and the registered queries only; real runs pass a key of their own.
-SAMPLE_KEY = b"corvane sample key"
+#: The session's setting that holds the key.
+KEY_SETTING = "spark.corvane.pii.key"
+#: Bytes of text that a worker goes through at once.
+RUN_BYTES = 8_000_000
+#: The calling codes of one and of two digits; all others have three.
+SHORT_CODES = {"1", "7"}
+TWO_DIGIT_CODES = {
+    "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58",
+    "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98",
+}
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 #: What may hold something private, tried in this order at each place; each is then validated.
@@ -150,16 +162,24 @@ class Pseudonyms:
                 return found
 
     def phone(self, found: str) -> str | None:
+        """The calling code stays, by the numbering plan; numbers in the layouts without one are of code 1. A trunk
+        prefix in brackets, (0), stays too, so a number is the same value in every layout."""
         digits = re.sub(r"\D", "", found)
         if not 8 <= len(digits) <= 15:
             return None
-        code = len(re.match(r"\+?(\d*)", found)[1]) if found[0] == "+" else 0
-        code = 0 if code > 3 else code
-        return refilled(found, digits[:code] + self.feistel.text(digits[code:], "phone" + digits[:code]))
+        code, held = "1", ""
+        if found[0] == "+":
+            code = held = digits[: 1 if digits[0] in SHORT_CODES else 2 if digits[:2] in TWO_DIGIT_CODES else 3]
+        national = digits[len(held) :]
+        if "(0)" in found and national[0] == "0":
+            held, national = held + "0", national[1:]
+        return refilled(found, held + self.feistel.text(national, "phone" + code))
 
     def email(self, found: str) -> str | None:
+        """Case makes no difference to the value, and each letter keeps its own."""
         local, _, domain = found.rpartition("@")
-        return f"{self.feistel.text(local, 'email' + domain.lower())}@{domain}"
+        new = self.feistel.text(local.translate(ASCII_LOWER), "email" + domain.lower())
+        return "".join(b.upper() if "A" <= a <= "Z" else b for a, b in zip(local, new)) + "@" + domain
 
     def secret(self, found: str) -> str | None:
         if not any(c.isdigit() for c in found):
@@ -202,31 +222,47 @@ class Pseudonyms:
         return out
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """The key in ``spark.corvane.pii.key``. Where that is unset, one drawn for this process alone and kept nowhere, so
+    that no one can take the pseudonyms back; set the key for values to stay linked from run to run."""
+    found = spark.conf.get(KEY_SETTING, None)
+    if found:
+        return found.encode()
+    if not hasattr(session_key, "own"):
+        session_key.own = os.urandom(32)
+    return session_key.own
+
+
 def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """``docs`` with (text, spans) in a struct ``private`` beside a struct ``row`` of all its columns; one narrow pass.
 
     ``spans`` lists kind, start and end (in characters of the original). The same value under the same key has the
-    same pseudonym in every document, whatever its separators. A null text stays null and has no spans; an empty
-    table gives an empty one.
+    same pseudonym in every document, whatever its separators (or an e-mail's case); an equal phone number written
+    without its calling code is the same value where the layout is North American, else another one. A null text
+    stays null and has no spans; repeated rows give repeated results, an empty table an empty one. Texts are whole,
+    however long; further columns stay in ``row`` under whatever names.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Pseudonyms(key)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            texts, spans = [], []
-            for value in batch.column(0).field(text_col):
-                text = value.as_py()
-                found = names.spans(text) if text else []
-                if found:
-                    parts, last = [], 0
-                    for start, end, _, new in found:
-                        parts += [text[last:start], new]
-                        last = end
-                    text = "".join([*parts, text[last:]])
-                texts.append(text)
-                spans.append([{"kind": k, "start": s, "end": e} for s, e, k, _ in found])
-            private = pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(spans, kind)], ["text", "spans"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), private], ["row", "private"])
+            low = 0
+            for part in text_runs(pc.struct_field(batch.column(0), text_col), RUN_BYTES):
+                texts, spans = [], []
+                for value in part:
+                    text = value.as_py()
+                    found = names.spans(text) if text else []
+                    if found:
+                        parts, last = [], 0
+                        for start, end, _, new in found:
+                            parts += [text[last:start], new]
+                            last = end
+                        text = "".join([*parts, text[last:]])
+                    texts.append(text)
+                    spans.append([{"kind": k, "start": s, "end": e} for s, e, k, _ in found])
+                private = pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(spans, kind)], ["text", "spans"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(part)), private], ["row", "private"])
+                low += len(part)
 
     rows = docs.select(F.struct("*").alias("row"))
     private = StructType.fromDDL("private struct<text:string,spans:array<struct<kind:string,start:int,end:int>>>")

@@ -47,7 +47,7 @@ def op7_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.pseudonymize(table(spark, sf_dir, "documents"), key=pii.SAMPLE_KEY)
+    found = pii.pseudonymize(table(spark, sf_dir, "documents"), pii.session_key(spark))
     return found.select("row.doc_id", "private.text", F.size("private.spans").cast("long").alias("n_private"), F.array_join(F.array_sort("private.spans.kind"), ",").alias("kinds"))
 
 

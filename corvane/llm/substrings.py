@@ -309,15 +309,15 @@ def without_repeats(docs: DataFrame, window: int = 20, shortest: int = 10, id_co
     both = with_marks(texts, marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for ids, part, marks in runs_of(batches):
             words, removed, kept = [], [], []
-            for text, marks in zip(batch.column(1), batch.column(2)):
+            for text, own_marks in zip(part, marks):
                 own = text.as_py().encode().split()
-                gone = covered(len(own), window, marks.as_py())
+                gone = covered(len(own), window, own_marks.as_py())
                 words.append(len(own))
                 removed.append(int(gone.sum()))
                 kept.append(b" ".join(w for w, g in zip(own, gone.tolist()) if not g) if removed[-1] else b" ".join(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
     return both.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
