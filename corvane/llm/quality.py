@@ -2,164 +2,230 @@
 
 from __future__ import annotations
 
-import math
-from collections import Counter
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_runs, written
 
-#: Symbols that stand before and behind each white-space-free chunk.
-START, END = "\x02", "\x03"
-#: n-grams of a model shard; a larger model is scored shard by shard, with one pass over the texts for each.
-SHARD = 1_000_000
-#: Bytes of text that a worker scores at once.
-RUN_BYTES = 16_000_000
+#: Stand before the first symbol of a text, at its start, and at its end; in texts they count as ``OTHER``.
+PAD, START, END, OTHER = "\x00", "\x02", "\x03", "\x1a"
+RESERVED = re.compile(f"[{PAD}{START}{END}]")
+#: Bytes of text that a worker takes apart at once, and of a block whose n-grams are looked up together.
+RUN_BYTES, BLOCK_BYTES = 4_000_000, 64_000_000
 
 
-def grams(chunk: str, order: int) -> Iterator[str]:
-    """The n-grams whose counts are taken as they are: those of the full order, and shorter ones at the start."""
-    s = START + chunk + END
-    for i in range(1, len(s)):
-        yield s[max(0, i - order + 1) : i + 1]
+class Symbols:
+    """The symbols of some texts end to end, and for each symbol to be predicted its window: it and what comes before.
 
+    White space counts as one space, so windows reach across words. A window is a number: its symbols' places in
+    this run's alphabet are its digits.
+    """
 
-def gram_counts(texts: DataFrame, order: int) -> DataFrame:
-    """(g, n) over all ``texts``: chunks are counted first, so each different chunk is taken apart once."""
-
-    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = pc.value_counts(pc.ascii_split_whitespace(batch.column(0).cast(pa.large_string())).flatten())
-            yield pa.RecordBatch.from_arrays([counts.field(0).cast(pa.string()), counts.field(1)], ["s", "n"])
-
-    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, texts: list[str], order: int):
+        self.order, head = order, PAD * (order - 2) + START
+        parts = [RESERVED.sub(OTHER, " ".join(t.split())) for t in texts]
+        points = np.frombuffer("".join(f"{head}{p}{END}" for p in parts).encode("utf-32-le"), np.uint32)
+        # an alphabet of up to 2 ** 21 symbols is numbered anew, so that windows of a usual one fit in 64 bits
+        present = np.bincount(points, minlength=1)
+        self.alphabet = np.nonzero(present)[0].astype(np.uint32)
+        number = np.zeros(len(present), np.uint64)
+        number[self.alphabet] = np.arange(len(self.alphabet))
+        digits, base = number[points], max(2, len(self.alphabet))
+        if base**order >= 1 << 64:
+            raise OverflowError
+        codes = np.zeros(max(0, len(digits) - order + 1), np.uint64)
+        for k in range(order):
+            codes = codes * np.uint64(base) + digits[k : k + len(codes)]
+        sizes = np.array([len(p) + 1 for p in parts], np.int64)  # symbols to predict
+        starts = np.concatenate([[0], np.cumsum(sizes + order - 1)])[:-1]
+        keep = np.ones(len(codes), bool)
+        for k in range(1, order):  # windows that begin in the text before
+            at = starts[1:] - k
+            keep[at[at < len(codes)]] = False
+        self.codes, self.sizes, self.base = codes[keep], sizes, base
+
+    def strings(self, codes: np.ndarray) -> pa.Array:
+        """The windows as strings, without padding."""
+        points, rest = np.empty((len(codes), self.order), np.uint32), codes.copy()
+        for k in range(self.order - 1, -1, -1):
+            rest, digit = np.divmod(rest, np.uint64(self.base))
+            points[:, k] = self.alphabet[digit]
+        flat = points.tobytes().decode("utf-32-le")
+        n = self.order
+        return pa.array([flat[i : i + n].lstrip(PAD) for i in range(0, len(flat), n)], pa.string())
+
+
+def symbol_runs(texts: pa.Array, order: int) -> Iterator[Symbols]:
+    """The texts in runs; one whose alphabet is too large for 64 bits is halved, a single text cut where it has to be."""
+    for run in text_runs(texts, RUN_BYTES):
+        waiting = [run.to_pylist()]
+        while waiting:
+            part = waiting.pop()
+            try:
+                yield Symbols(part, order)
+            except OverflowError:
+                if len(part) == 1:
+                    raise ValueError(f"a text has too many different symbols for windows of {order}") from None
+                waiting += [part[len(part) // 2 :], part[: len(part) // 2]]
+
+
+def fold_of(text: Column, folds: int) -> Column:
+    """Copies of a text are in one fold."""
+    return F.pmod(F.xxhash64(F.lit("fold"), text), F.lit(folds)).cast("int")
+
+
+def gram_counts(texts: DataFrame, order: int, folds: int) -> DataFrame:
+    """(m, g, n): windows of the full order, and shorter ones at the start of texts, over all ``texts`` of folds other than m."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: Counter = Counter()
-            for s, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for g in grams(s, order):
-                    counts[g] += n
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["g", "n"])
+            fold = batch.column(0).to_numpy()
+            for f in range(folds):
+                for run in symbol_runs(batch.column(1).filter(pa.array(fold == f)), order):
+                    codes, counts = np.unique(run.codes, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), f, np.int32)), run.strings(codes), pa.array(counts.astype(np.int64))], ["fold", "g", "n"])
 
-    counted = texts.mapInArrow(chunks, "s string, n long").where("s <> ''").groupBy("s").agg(F.sum("n").alias("n"))
-    return counted.mapInArrow(apart, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    counted = texts.select(fold_of(F.col("text"), folds).alias("fold"), "text").mapInArrow(count, "fold int, g string, n long")
+    others = F.array(*[F.lit(m) for m in range(folds)])
+    each = counted.groupBy("fold", "g").agg(F.sum("n").alias("n")).withColumn("m", F.explode(others)).where("m <> fold" if folds > 1 else "true")
+    return each.groupBy("m", "g").agg(F.sum("n").alias("n"))
 
 
-def discounts(counts: DataFrame) -> list[float]:
-    """Chen and Goodman's three discounts from the counts of counts; plain values where those are too few."""
-    n = counts.agg(*[F.coalesce(F.sum((F.col("n") == k).cast("long")), F.lit(0)) for k in (1, 2, 3, 4)]).first()
-    if not all(n[:3]):
-        return [0.5, 1.0, 1.5]
-    y = n[0] / (n[0] + 2 * n[1])
-    return [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), k) for k in (1, 2, 3)]
+def discounts(counts: DataFrame) -> DataFrame:
+    """(m, d1, d2, d3): Chen and Goodman's discounts from the counts of counts; plain values where those are too few."""
+    n = counts.groupBy("m").agg(*[F.sum((F.col("n") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)])
+    enough = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0)
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    return n.select("m", *[F.when(enough, F.least(F.greatest(k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"), F.lit(0.05)), F.lit(float(k)))).otherwise(0.5 * k).alias(f"d{k}") for k in (1, 2, 3)])
 
 
-def train(texts: DataFrame, order: int = 4) -> tuple[DataFrame, float]:
-    """((g, delta, bow), log probability of an unseen symbol): the model as weights that add up.
+def train(raw: DataFrame, order: int) -> DataFrame:
+    """(m, g, delta, bow): each model m as weights that add up; g = '' has the log probability of an unseen symbol.
 
     A symbol's log probability is that of its unigram, plus, for each longer n-gram that ends there, ``bow`` of its
-    context and ``delta`` of the n-gram, each where the table has it. So a text's score is a sum over keys, and
-    any sharding of the table by key gives partial sums. Counts are of all ``texts`` (text); lower orders count
-    different left neighbours. All steps are aggregates and equi-joins on n-grams.
+    context and ``delta`` of the n-gram, each where the table has it. Counts (``raw``: m, g, n) are of all trusted
+    text; lower orders count different left neighbours. All steps are aggregates and equi-joins on n-grams.
     """
-    raw = written(gram_counts(texts.select("text").where("text is not null"), order), "grams")
+    raw = written(raw, "grams")
     counts = {order: raw.where(F.length("g") == order)}
     for k in range(order - 1, 0, -1):
-        longer = counts[k + 1]
-        continued = longer.groupBy(F.substring("g", 2, k).alias("g")).agg(F.count("*").alias("n"))
-        counts[k] = written(continued.unionByName(raw.where(F.length("g") == k)).groupBy("g").agg(F.sum("n").alias("n")), f"order{k}")
-    one, two, more = discounts(counts[1])
-    cut = lambda d: F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-    size, total, first, second = counts[1].agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") == 1).cast("long")), F.lit(0)), F.coalesce(F.sum((F.col("n") == 2).cast("long")), F.lit(0))).first()
-    unseen = (one * first + two * second + more * (size - first - second)) / total / (size + 1) if total else 1.0
-    p = counts[1].select("g", ((F.col("n") - cut([one, two, more])) / max(total, 1) + unseen).alias("p"))
-    weights = p.select("g", F.log("p").alias("delta"), F.lit(0.0).alias("bow"))
+        continued = counts[k + 1].groupBy("m", F.substring("g", 2, k).alias("g")).agg(F.count("*").alias("n"))
+        counts[k] = written(continued.unionByName(raw.where(F.length("g") == k)).groupBy("m", "g").agg(F.sum("n").alias("n")), f"order{k}")
+    cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    with_cut = lambda k: counts[k].join(F.broadcast(discounts(counts[k])), "m").select("m", "g", "n", cut.alias("cut"))  # noqa: E731  a row for each model
+    one = with_cut(1)
+    base = one.groupBy("m").agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n") / (F.count("*") + 1)).alias("unseen"))
+    p = one.join(F.broadcast(base), "m").select("m", "g", ((F.col("n") - F.col("cut")) / F.col("total") + F.col("unseen")).alias("p"))
+    weights = p.select("m", "g", F.log("p").alias("delta"), F.lit(0.0).alias("bow")).unionByName(base.select("m", F.lit("").alias("g"), F.log("unseen").alias("delta"), F.lit(0.0).alias("bow")))
     for k in range(2, order + 1):
-        d = discounts(counts[k])
-        split = counts[k].select("g", "n", F.substring("g", 1, k - 1).alias("h"), F.substring("g", 2, k - 1).alias("s"))
-        context = split.groupBy("h").agg(F.sum("n").alias("total"), F.sum(cut(d)).alias("held")).select("h", "total", (F.col("held") / F.col("total")).alias("gamma"))
-        joined = written(split.join(context, "h").join(p.select(F.col("g").alias("s"), F.col("p").alias("lower")), "s").select("g", "gamma", "lower", ((F.col("n") - cut(d)) / F.col("total") + F.col("gamma") * F.col("lower")).alias("p")), f"p{k}")
-        weights = weights.unionByName(joined.select("g", (F.log("p") - F.log("gamma") - F.log("lower")).alias("delta"), F.lit(0.0).alias("bow")))
-        weights = weights.unionByName(context.select(F.col("h").alias("g"), F.lit(0.0).alias("delta"), F.log("gamma").alias("bow")))
-        p = joined.select("g", "p")
-    return weights.groupBy("g").agg(F.sum("delta").alias("delta"), F.sum("bow").alias("bow")), math.log(unseen)
-
-
-class LastSymbol(dict):
-    """What a shard gives for the last symbol after those before it, remembered; ``base`` stands for an unseen symbol."""
-
-    def __init__(self, delta: dict[str, float], bow: dict[str, float], base: float):
-        super().__init__()
-        self.delta, self.bow, self.base = delta.get, bow.get, base
-
-    def __missing__(self, window: str) -> float:
-        if len(self) > SHARD:
-            self.clear()
-        total = self.delta(window[-1], self.base)
-        for n in range(2, len(window) + 1):
-            total += self.delta(window[-n:], 0.0) + self.bow(window[-n:-1], 0.0)
-        self[window] = total
-        return total
-
-
-def perplexities(docs: DataFrame, weights: DataFrame, unseen: float, order: int = 4, shard: int = SHARD) -> DataFrame:
-    """(doc_id, symbols, perplexity) of every whole text; null where a text has no word.
-
-    The weights are joined shard by shard: a shard is bounded and broadcast, and gives partial sums. Single symbols,
-    of which alphabets have few, are all in the first.
+        split = with_cut(k).select("m", "g", "n", "cut", F.substring("g", 1, k - 1).alias("h"), F.substring("g", 2, k - 1).alias("s"))
+        context = split.groupBy("m", "h").agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("gamma"))
+        joined = split.join(context, ["m", "h"]).join(p.select("m", F.col("g").alias("s"), F.col("p").alias("lower")), ["m", "s"])
+        p = written(joined.select("m", "g", "gamma", "lower", ((F.col("n") - F.col("cut")) / F.col("total") + F.col("gamma") * F.col("lower")).alias("p")), f"p{k}")
+        weights = weights.unionByName(p.select("m", "g", (F.log("p") - F.log("gamma") - F.log("lower")).alias("delta"), F.lit(0.0).alias("bow")))
+        weights = weights.unionByName(context.select("m", F.col("h").alias("g"), F.lit(0.0).alias("delta"), F.log("gamma").alias("bow")))
+    return written(weights.groupBy("m", "g").agg(F.sum("delta").alias("delta"), F.sum("bow").alias("bow")), "weights")
+
+
+def window_scores(windows: DataFrame, weights: DataFrame) -> DataFrame:
+    """(m, g, score): the log probability of the last symbol of each different window after those before it.
+
+    The sharded count join: a window's n-grams and contexts meet the weights by key. Those of one symbol, of which
+    there are no more than code points, are broadcast, as nearly all windows share them.
+    """
+    size = F.length("g")
+    grams = F.transform(F.sequence(F.lit(2), size), lambda n: F.struct(F.substring("g", size - n + 1, n).alias("k"), F.lit(False).alias("context")))
+    contexts = F.when(size > 2, F.transform(F.sequence(F.lit(2), size - 1), lambda n: F.struct(F.substring("g", size - n, n).alias("k"), F.lit(True).alias("context")))).otherwise(F.array().cast("array<struct<k:string,context:boolean>>"))
+    small, large = weights.where(F.length("g") <= 1), weights.where(F.length("g") > 1)
+    keys = windows.select("m", "g", F.explode(F.concat(grams, contexts)).alias("e")).select("m", "g", "e.k", "e.context")
+    found = keys.join(large.select("m", F.col("g").alias("k"), "delta", "bow"), ["m", "k"])
+    more = found.groupBy("m", "g").agg(F.sum(F.when(F.col("context"), F.col("bow")).otherwise(F.col("delta"))).alias("more"))
+    last = F.broadcast(small.select("m", F.col("g").alias("last"), F.col("delta").alias("own")))
+    before = F.broadcast(small.select("m", F.col("g").alias("before"), F.col("bow").alias("back")))
+    unseen = F.broadcast(small.where("g = ''").select("m", F.col("delta").alias("unseen")))
+    whole = windows.select("m", "g", F.substring("g", -1, 1).alias("last"), F.expr("substring(g, length(g) - 1, 1)").alias("before"))
+    whole = whole.join(last, ["m", "last"], "left").join(before, ["m", "before"], "left").join(unseen, "m", "left").join(more, ["m", "g"], "left")
+    return whole.select("m", "g", (F.coalesce("own", "unseen", F.lit(0.0)) + F.coalesce("back", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))).cast("float").alias("score"))
+
+
+def looked_up(codes: np.ndarray, known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The value of each code; all are known, and ``known`` is sorted. Most are found at once in a table of slots."""
+    bits = max(8, int(len(known) * 4).bit_length())
+    slot = lambda c: ((c * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+    table = np.zeros(1 << bits, np.int32)
+    table[slot(known)] = np.arange(len(known))
+    at = table[slot(codes)]
+    missed = np.nonzero(known[at] != codes)[0]
+    at[missed] = np.searchsorted(known, codes[missed])
+    return values[at]
+
+
+def perplexities(docs: DataFrame, weights: DataFrame, order: int, folds: int) -> DataFrame:
+    """(doc_id, lang, symbols, perplexity) of every whole text of ``docs`` (doc_id, text, lang), under the model of its fold.
+
+    Texts are dealt out in blocks once. Each block's different windows meet their scores in a join and come back to
+    the block, so a task holds one block's texts and windows, and the model is nowhere whole.
     """
-    shards = max(1, -(-weights.count() // shard))
-    kept = written(weights.withColumn("shard", F.when(F.length("g") == 1, 0).otherwise(F.pmod(F.xxhash64("g"), F.lit(shards)).cast("int"))), "weights")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // (BLOCK_BYTES * folds)))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("*", fold_of(F.col("text"), folds).alias("m"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")).repartition(partitions, "m", "block")
+
+    def windows_of(key: tuple, table: pa.Table) -> pa.Table:
+        found: set[str] = set()
+        for chunk in table.column("text").chunks:
+            for run in symbol_runs(chunk, order):
+                found.update(run.strings(np.unique(run.codes)).to_pylist())
+        size = len(found)
+        return pa.table({"m": pa.array([key[0].as_py()] * size, pa.int32()), "block": pa.array([key[1].as_py()] * size, pa.int32()), "g": pa.array(list(found), pa.string())})
+
+    windows = dealt.groupBy("m", "block").applyInArrow(windows_of, "m int, block int, g string").repartition(partitions, "m", "g")
+    # the least block is asked for so that both readers of the exchange want the same columns and share it
+    distinct = windows.groupBy("m", "g").agg(F.min("block").alias("least")).where("least >= 0")
+    scores = window_scores(distinct, weights)
+    back = windows.join(scores, ["m", "g"]).select("m", "block", "g", "score")
+
+    def score(texts: pa.Table, found: pa.Table) -> pa.Table:
+        names, values = found.column("g").to_pylist(), found.column("score").to_numpy()
+        score_of = dict(zip(names, values.tolist()))
+        sums, symbols = [np.zeros(0)], [np.zeros(0, np.int64)]
+        for chunk in texts.column("text").chunks:
+            for run in symbol_runs(chunk, order):
+                known = np.unique(run.codes)
+                own = np.array([score_of[g] for g in run.strings(known).to_pylist()], np.float64)
+                starts = np.concatenate([[0], np.cumsum(run.sizes)])[:-1]
+                sums.append(np.add.reduceat(looked_up(run.codes, known, own), starts))
+                symbols.append(np.where(run.sizes > 1, run.sizes, 0))  # a text without a word has its end alone
+        return pa.table({"doc_id": texts.column("doc_id"), "lang": texts.column("lang"), "score": pa.array(np.concatenate(sums)), "symbols": pa.array(np.concatenate(symbols))})
+
     kind = docs.schema["doc_id"].dataType.simpleString()
-    parts = None
-    for k in range(shards):
-        local = kept.where(F.col("shard") == k).select("g", "delta", "bow").toArrow()
-        shared = docs.sparkSession.sparkContext.broadcast((local.column(0).to_pylist(), local.column(1).to_numpy(), local.column(2).to_numpy()))
-
-        def run(batches: Iterator[pa.RecordBatch], k: int = k, shared=shared) -> Iterator[pa.RecordBatch]:
-            names, delta, bow = shared.value
-            delta, bow = dict(zip(names, delta.tolist())), {g: b for g, b in zip(names, bow.tolist()) if b}
-            last = LastSymbol(delta, bow, 0.0 if k else unseen)
-
-            def score(chunk: str) -> float:
-                s = START + chunk + END
-                return sum([last[s[max(0, i - order + 1) : i + 1]] for i in range(1, len(s))])
-
-            for batch in batches:
-                sums = []
-                for texts in text_runs(batch.column(1), RUN_BYTES):
-                    split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
-                    chunks = split.values.dictionary_encode()
-                    table = np.array([(score(c), len(c) + 1) if c else (0.0, 0) for c in chunks.dictionary.to_pylist()]).reshape(-1, 2)
-                    codes, bounds = chunks.indices.to_numpy(), split.offsets.to_numpy()
-                    sums += [table[codes[a:b]].sum(axis=0) for a, b in zip(bounds[:-1], bounds[1:])]
-                found = np.array(sums).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found[:, 0]), pa.array((0 * found[:, 1] if k else found[:, 1]).astype(np.int64))], ["doc_id", "score", "symbols"])
-
-        part = rows.mapInArrow(run, f"doc_id {kind}, score double, symbols long")
-        parts = part if parts is None else parts.unionByName(part)
-    if shards > 1:
-        parts = parts.groupBy("doc_id").agg(F.sum("score").alias("score"), F.sum("symbols").alias("symbols"))
-    return parts.select("doc_id", "symbols", F.when(F.col("symbols") > 0, F.exp(-F.col("score") / F.col("symbols"))).alias("perplexity"))
-
-
-def classify(docs: DataFrame, trusted: DataFrame, order: int = 4, quantile: float = 0.98) -> DataFrame:
+    both = dealt.groupBy("m", "block").cogroup(back.groupBy("m", "block")).applyInArrow(score, f"doc_id {kind}, lang string, score double, symbols long")
+    return both.select("doc_id", "lang", "symbols", F.when(F.col("symbols") > 0, F.exp(-F.col("score") / F.col("symbols"))).alias("perplexity"))
+
+
+def classify(docs: DataFrame, trusted: DataFrame, order: int = 5, quantile: float = 0.98, folds: int = 2) -> DataFrame:
     """(doc_id, lang, perplexity, threshold, kept) for ``docs`` (doc_id, text, lang).
 
-    The model is of all ``trusted`` rows (doc_id, text), and each language's threshold is the ``quantile`` of its
-    trusted documents' perplexities; a language without any takes that of all. A document is kept up to its
-    threshold; one without a word isn't, and neither is any if nothing is trusted. doc_id must be unique.
+    Texts are in folds by a hash of their words, and each is judged by the model of the ``trusted`` rows (doc_id,
+    text) in other folds, so trusted documents are as unseen as others. All trusted text counts, and all models
+    together see all of it. A language's threshold is the ``quantile`` of its trusted documents' perplexities; a
+    language without any takes that of all. A document is kept up to its threshold, that value included; one without
+    a word isn't, and neither is any if nothing is trusted. Null texts have no word, a null language is one of its
+    own. Each row has its own result, repeated doc_ids too; an empty table gives an empty one; further columns
+    aren't read.
     """
-    weights, unseen = train(trusted, order)
-    scored = written(docs.select("doc_id", "lang").join(written(perplexities(docs, weights, unseen, order), "scores"), "doc_id"), "perplexities")
+    plain = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    weights = train(gram_counts(trusted.where("text is not null").select("text"), order, folds), order)
+    scored = written(perplexities(plain, weights, order, folds), "perplexities")
     known = scored.join(trusted.select("doc_id").distinct(), "doc_id", "left_semi").where("perplexity is not null")
     by_lang = known.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("own"))
     overall = known.agg(F.percentile_approx("perplexity", quantile, 10_000)).first()[0]
-    out = scored.join(by_lang, scored["lang"].eqNullSafe(by_lang["lang"]), "left").drop(by_lang["lang"])
+    out = scored.join(F.broadcast(by_lang.withColumnRenamed("lang", "of")), F.col("lang").eqNullSafe(F.col("of")), "left")  # a row for each language
     threshold = F.coalesce("own", F.lit(overall).cast("double"))
     return out.select("doc_id", "lang", "perplexity", threshold.alias("threshold"), F.coalesce(F.col("perplexity") <= threshold, F.lit(False)).alias("kept"))
