@@ -61,22 +61,17 @@ def test_token_counts(docs, texts):
     assert token_counts.token_counts(empty(docs), path).count() == 0
 
 
-def test_packing(docs, texts):
+def held_packing(rows, got, capacity):
+    """The pieces of every row are there with the library's ids, and sequences are gapless; returns their number."""
     from tokenizers import Tokenizer
 
-    path = P.path("word_bpe_49k.json")
-    library = Tokenizer.from_file(path)
-    got = packing.pack_documents(docs, path, capacity=64, shard_size=16).collect()
-    pieces = {(r.doc_id, r.piece): r for r in got}
-    assert len(pieces) == len(got)
-    seen = 0
-    for i, t in enumerate(texts):
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    want = []
+    for doc, t in rows:
         ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
-        for k in range(-(-len(ids) // 64)):
-            part, r = ids[k * 64 : k * 64 + 64], pieces[i, k]
-            assert (r.start, r.length, r.ids_crc32) == (k * 64, len(part), zlib.crc32(part.tobytes()))
-            seen += 1
-    assert seen == len(got)
+        parts = [(k, ids[at : at + capacity]) for k, at in enumerate(range(0, len(ids), capacity))]
+        want += [(doc, k, k * capacity, len(x), zlib.crc32(x.tobytes())) for k, x in parts]
+    assert sorted(tuple(r)[:5] for r in got) == sorted(want)
     bins = defaultdict(list)
     for r in got:
         bins[r.sequence_id].append((r.offset, r.length))
@@ -85,11 +80,53 @@ def test_packing(docs, texts):
         for offset, length in sorted(b):
             assert offset == at
             at += length
-        assert at <= 64
-    assert len(bins) <= -(-sum(r.length for r in got) // 64) + 2
+        assert at <= capacity
+    return len(bins)
+
+
+def test_packing(docs, texts):
+    path = P.path("word_bpe_49k.json")
+    got = packing.pack_documents(docs, path, capacity=64, shard_size=16).collect()
+    assert held_packing(list(enumerate(texts)), got, 64) <= -(-sum(r.length for r in got) // 64) + 2
     assert packing.pack_documents(empty(docs), path).count() == 0
 
 
+def test_packing_of_repeated_rows(spark):
+    """Equal rows, doc_ids shared by different texts, letters newer than Python's tables, and a clashing column."""
+    rows = [(1, "one two")] * 3 + [(1, "three four five " * 9), (2, None), (2, None), (3, "\u1c89 \ua7cb a\ua7dcb"), (4, "x " * 21000)]
+    table = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, sequence_id int")
+    got = packing.pack_documents(table, P.path("word_bpe_49k.json"), capacity=64).collect()
+    held_packing(rows, got, 64)
+
+
+def fewest_bins(sizes, capacity):
+    """Brute force: the least number of bins, by depth-first search."""
+    best = len(sizes)
+
+    def place(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(sizes):
+            best = len(rooms)
+            return
+        for i, room in enumerate(rooms):
+            if sizes[k] <= room and room not in rooms[:i]:
+                place(k + 1, [*rooms[:i], room - sizes[k], *rooms[i + 1 :]])
+        place(k + 1, [*rooms, capacity - sizes[k]])
+
+    place(0, [])
+    return best
+
+
+def test_packing_against_the_fewest_bins(spark):
+    for seed in range(4):
+        rng = random.Random(seed)
+        sizes = sorted((rng.randint(15, 60) for _ in range(13)), reverse=True)
+        got = packing.pack(spark.createDataFrame(list(enumerate(sizes)), "id long, length long"), 100).collect()
+        assert len({r.sequence_id for r in got}) == fewest_bins(sizes, 100)
+
+
 def test_genetic_packing_beats_or_equals_best_fit():
     rng = random.Random(1)
     size = [rng.choice([20, 27, 33, 41, 47, 53]) for _ in range(120)]
@@ -319,11 +356,15 @@ def test_toxicity(spark):
     assert toxicity.classify(empty(table), chain).count() == 0
 
 
+def symbols_of(text):
+    return "\x02" + " ".join((text or "").split()) + "\x03"
+
+
 def brute_kneser_ney(texts, order):
     grams = defaultdict(int)
     for t in texts:
-        for c in (t or "").split():
-            s = "\x02" + c + "\x03"
+        if t is not None:
+            s = symbols_of(t)
             for i in range(1, len(s)):
                 grams[s[max(0, i - order + 1) : i + 1]] += 1
     counts = {order: {g: n for g, n in grams.items() if len(g) == order}}
@@ -359,32 +400,59 @@ def brute_kneser_ney(texts, order):
         return max(0, table.get(g, 0) - (cut(k, table[g]) if g in table else 0)) / total + sum(cut(k, n) for n in table.values()) / total * p(g[1:])
 
     def perplexity(text):
-        logs = []
-        for c in (text or "").split():
-            s = "\x02" + c + "\x03"
-            logs += [np.log(p(s[max(0, i - order + 1) : i + 1])) for i in range(1, len(s))]
-        return float(np.exp(-np.mean(logs))) if logs else None
+        s = symbols_of(text)
+        return float(np.exp(-np.mean([np.log(p(s[max(0, i - order + 1) : i + 1])) for i in range(1, len(s))]))) if len(s) > 2 else None
 
     return perplexity
 
 
-@pytest.mark.parametrize("shard", [1_000_000, 40])
-def test_quality_perplexity(spark, shard):
-    texts = ["banana bandana anna", "nab ban bananas, and", "an banana nab", "and and bad dab", None, "", "zzq !!", "banana banana"]
-    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    weights, unseen = quality.train(table.where("doc_id < 5"), 3)
-    got = collected(quality.perplexities(table, weights, unseen, 3, shard))
-    brute = brute_kneser_ney(texts[:5], 3)
-    for i, t in enumerate(texts):
-        assert got[i]["perplexity"] == (None if brute(t) is None else pytest.approx(brute(t), rel=1e-9)), t
+QUALITY_TEXTS = ["banana bandana  anna", "nab ban bananas, and", "an banana nab", "and\tand bad dab", None, "", "zzq !!", "banana banana", "nab banana an", " ", "a" * 9000]
 
 
-def test_quality_thresholds(spark):
-    rows = [(i, "plain words in plain order", "en" if i % 2 else None) for i in range(20)] + [(50, "\x7f%%\x7f ##@@ qqqq", "en"), (51, None, "en"), (52, "plain words", "xx")]
-    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    got = collected(quality.classify(table, table.where("doc_id < 20").select("doc_id", "text")))
-    assert all(got[i]["kept"] for i in range(20)) and got[52]["kept"] and not got[50]["kept"] and not got[51]["kept"]
-    assert not any(r.kept for r in quality.classify(table, empty(table).select("doc_id", "text")).collect())
+@pytest.mark.parametrize(("block", "order"), [(64_000_000, 3), (20, 4), (20, 2)])
+def test_quality_perplexity(spark, monkeypatch, block, order):
+    """One block of texts, and many; repeated rows have a result each."""
+    monkeypatch.setattr(quality, "BLOCK_BYTES", block)
+    table = spark.createDataFrame([(i, t, "x") for i, t in enumerate(QUALITY_TEXTS)] + [(0, QUALITY_TEXTS[0], "x")], "doc_id long, text string, lang string")
+    weights = quality.train(quality.gram_counts(table.where("doc_id < 5 and text is not null").limit(9).dropDuplicates(["doc_id"]), order, 1), order)
+    got = quality.perplexities(table, weights, order, 1).collect()
+    brute = brute_kneser_ney(QUALITY_TEXTS[:4], order)
+    assert sorted(r.doc_id for r in got) == [0, *range(len(QUALITY_TEXTS))]
+    for r in got:
+        want = brute(QUALITY_TEXTS[r.doc_id])
+        assert r.perplexity == (None if want is None else pytest.approx(want, rel=1e-5)), r.doc_id
+
+
+def test_quality_against_brute_force(spark):
+    """Held-out folds, thresholds by language with ties, null languages, and what is kept."""
+    rng = random.Random(9)
+    letters = {"en": "abcde", None: "xyzuv", "fr": "mnopq"}
+    rows = []
+    for i in range(90):
+        lang = ["en", None, "fr"][i % 3]
+        rows.append((i, " ".join("".join(rng.choice(letters[lang]) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 9))), lang))
+    rows += [(200 + i, t, "en") for i, t in enumerate(QUALITY_TEXTS)] + [(300, "abc abc", "new"), (301, "%% ## @@", "new"), rows[3], rows[3], rows[8]]
+    table = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, perplexity int")
+    trusted = table.where("doc_id < 60").select("doc_id", "text")
+    folds = {r.doc_id: r.f for r in table.select("doc_id", quality.fold_of(quality.F.coalesce("text", quality.F.lit("")), 2).alias("f")).collect()}
+    models = [brute_kneser_ney([t for i, t, _ in rows if i < 60 and folds[i] != m], 3) for m in (0, 1)]
+    value = {i: models[folds[i]](t) for i, t, _ in rows}
+    known = defaultdict(list)
+    for i, _, lang in rows:
+        if i < 60 and value[i] is not None:
+            known[lang].append(value[i])
+            known["all of them"].append(value[i])
+    limit = {k: sorted(v)[-(-9 * len(v) // 10) - 1] for k, v in known.items()}
+    got = quality.classify(table, trusted, order=3, quantile=0.9).collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _, _ in rows)
+    for r in got:
+        threshold = limit.get(r.lang, limit["all of them"])
+        assert r.threshold == pytest.approx(threshold, rel=1e-5)
+        assert r.perplexity == (None if value[r.doc_id] is None else pytest.approx(value[r.doc_id], rel=1e-5))
+        if value[r.doc_id] is None or abs(value[r.doc_id] - threshold) > 1e-4 * threshold:
+            assert r.kept == (value[r.doc_id] is not None and value[r.doc_id] <= threshold)
+    assert not any(r.kept for r in quality.classify(table, empty(trusted)).collect())
+    assert quality.classify(empty(table), trusted).count() == 0
 
 
 def test_pii(spark):
@@ -408,6 +476,41 @@ def test_pii(spark):
     assert pii.Feistel(b"other").text("4111", "card") != f.text("4111", "card") or pii.Feistel(b"other").text("9999", "x") != f.text("9999", "x")
 
 
+def test_pii_links_a_value_in_every_layout(spark):
+    f = pii.Pseudonyms(b"k")
+    digits = lambda x: re.sub(r"\D", "", x)
+    for layouts in (["+49 30 12345678", "+493012345678", "+49-30-1234-5678", "+49 (30) 12345678"], ["+1 (212) 555-0142", "(212) 555-0142", "212-555-0142", "+12125550142", "+1 212.555.0142"], ["+352 27 12 34 56", "+35227123456"]):
+        found = [f.spans(x) for x in layouts]
+        assert all(len(x) == 1 and x[0][2] == "phone" for x in found), layouts
+        new = {digits(x[0][3]).removeprefix("1") if layouts[0].startswith("+1 ") and len(digits(x[0][3])) == 11 else digits(x[0][3]) for x in found}
+        assert len(new) == 1 and not new & set(map(digits, layouts)), layouts
+    assert digits(f.phone("+49 (0)30 12345678")) == "490" + digits(f.phone("+49 30 12345678"))[2:]
+    assert f.email("Ann.B@x.org").lower() == f.email("ann.b@X.org").lower() and f.email("Ann.B@x.org")[0].isupper()
+    assert f.date("1999-12-31").split("-") == f.date("31.12.1999").split(".")[::-1]
+
+
+def brute_pseudonyms(text):
+    """Plain replacement of the forms that the texts of the next test hold."""
+    f = pii.Pseudonyms(b"k")
+    text = re.sub(r"(?<=mail )[^\s,]+", lambda m: f.email(m[0]), text)
+    text = re.sub(r"(?<=card )\d{16}", lambda m: f.card(m[0]), text)
+    return re.sub(r"(?<=on )\d{4}-\d\d-\d\d", lambda m: f.date(m[0]), text)
+
+
+def test_pii_against_brute_force(spark):
+    """Long texts, repeated rows, clashing names and an empty table."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(30):
+        parts = [rng.choice(["plain words", "mail a%d.x@mail.example.org" % (i % 5), "card 4111111111111111", "card 5500005555555559", "on 2001-0%d-17" % rng.randint(1, 9)]) for _ in range(rng.choice([1, 5, 4000]))]
+        rows.append((i // 2, ", ".join(parts), "row"))
+    table = spark.createDataFrame(rows + rows[:3], "doc_id long, text string, private string")
+    got = sorted((r.row.doc_id, r.row.text, r.private.text) for r in pii.pseudonymize(table, b"k").collect())
+    assert got == sorted((i, t, brute_pseudonyms(t)) for i, t, _ in rows + rows[:3])
+    assert pii.pseudonymize(empty(table), b"k").count() == 0
+    assert pii.session_key(spark) == pii.session_key(spark) and len(pii.session_key(spark)) == 32
+
+
 @pytest.mark.parametrize(
     ("text", "private"),
     [
