@@ -41,11 +41,43 @@ def reached(edges: DataFrame, start: DataFrame, most: int | None = None, both: b
     return seen
 
 
-def budgeted(found: DataFrame, sizes: DataFrame, budget_tokens: int) -> DataFrame:
-    """Nodes in order of (depth, id) with the bytes before them; a node expands while those stay under 40 % of the budget."""
+def numbered(rows: DataFrame, order: str, value: str) -> DataFrame:
+    """``rows`` with ``place`` (from 1) and ``run``, the running sum of ``value``, in ``order``.
+
+    Rows are sorted by range and summed within each partition; one row a partition tells what lies before it, so no
+    task sees them all.
+    """
+    dealt = cut(rows.orderBy(order).withColumn("part", F.spark_partition_id()))
+    parts = dealt.groupBy("part").agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"), F.coalesce(F.sum("total").over(before), F.lit(0)).alias("total"))
+    own = Window.partitionBy("part").orderBy(order)
+    return dealt.join(F.broadcast(base), "part").withColumn("place", F.col("n") + F.row_number().over(own)).withColumn("run", F.col("total") + F.sum(value).over(own.rowsBetween(Window.unboundedPreceding, 0))).drop("part", "n", "total")
+
+
+def budgeted(edges: DataFrame, start: DataFrame, sizes: DataFrame, most: int, budget_tokens: int) -> DataFrame:
+    """(id, depth, size, bytes, expands) of nodes reached from ``start`` (id) along edges either way, within a budget.
+
+    Nodes are visited by depth, and within one in the order of the node that reached them, outgoing edges first, then
+    by id. ``bytes`` counts the sizes up to and with the node, those of ``start`` aside. Once 40 % of the budget (four
+    bytes a token) is reached nodes are still visited but don't expand, so what only they lead to isn't reached.
+    """
     limit = budget_tokens * 4 * 40 // 100
-    before = Window.orderBy("depth", "id").rowsBetween(Window.unboundedPreceding, -1)
-    return found.join(sizes, "id").withColumn("bytes_before", F.coalesce(F.sum(F.when(F.col("depth") > 0, F.col("size")).otherwise(0)).over(before), F.lit(0))).withColumn("expands", (F.col("depth") == 0) | (F.col("bytes_before") < limit))
+    way = edges.select("src", "dst", F.lit(0).alias("direction")).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).alias("direction"))).distinct()
+    known = sizes.groupBy("id").agg(F.max("size").cast("long").alias("size"))
+    first = numbered(start.select("id").distinct().withColumn("none", F.lit(0).cast("long")), "id", "none")
+    level = cut(first.join(known, "id", "left").select("id", F.lit(0).alias("depth"), F.coalesce("size", F.lit(0).cast("long")).alias("size"), F.lit(0).cast("long").alias("bytes"), F.lit(True).alias("expands"), "place"))
+    seen, total = level, 0
+    for depth in range(1, most + 1):
+        step = level.where("expands").join(way, F.col("id") == F.col("src")).groupBy("dst").agg(F.min(F.struct("place", "direction", F.col("dst").alias("own"))).alias("at"))
+        fresh = step.select(F.col("dst").alias("id"), "at").join(seen, "id", "left_anti").join(known, "id", "left").withColumn("size", F.coalesce("size", F.lit(0).cast("long")))
+        bytes_ = (F.lit(total) + F.col("run")).cast("long")
+        level = cut(numbered(fresh, "at", "size").select("id", F.lit(depth).alias("depth"), "size", bytes_.alias("bytes"), (bytes_ < limit).alias("expands"), "place"))
+        total = level.agg(F.max("bytes")).first()[0]
+        if total is None:
+            break
+        seen = seen.unionByName(level)
+    return seen.select("id", "depth", "size", "bytes", "expands")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -81,18 +113,31 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def simple_paths(edges: DataFrame, entries: DataFrame, stops: DataFrame, depth: int = 8, branching: int = 8, most: int = 50) -> DataFrame:
-    """Paths without repeats from entries that end at a stop node; each node follows its first ``branching`` edges."""
-    narrow = edges.select("src", "dst").distinct().withColumn("rn", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).where(F.col("rn") <= branching).select("src", "dst")
-    stop = stops.select(F.col("id").alias("at"), F.lit(True).alias("stop"))
-    live = entries.select(F.col("id").alias("at"), F.array("id").alias("path"))
-    done = None
-    for _ in range(depth - 1):
-        step = live.join(narrow, live["at"] == narrow["src"]).where(~F.array_contains("path", F.col("dst"))).select(F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"))
-        marked = cut(step.join(stop, "at", "left"))
-        ended = marked.where("stop").select("path")
+    """(path, kinds, evidence, uncertain, truncated): paths without repeats from entries to the first stop node.
+
+    ``edges`` are (src, dst, kind, evidence). A node follows its first ``branching`` different edges by target, kind
+    and evidence; a path has ``depth`` edges at most, and the first ``most`` in that order are given. ``uncertain``
+    says for each edge whether it isn't observed, ``truncated`` whether any of the three limits left something out.
+    """
+    each = edges.select("src", "dst", "kind", "evidence").distinct().withColumn("rn", F.row_number().over(Window.partitionBy("src").orderBy("dst", "kind", "evidence")))
+    narrow = each.where(F.col("rn") <= branching).select("src", F.struct("dst", "kind", "evidence").alias("edge"))
+    wide = each.where(F.col("rn") == branching + 1).select(F.col("src").alias("at"), F.lit(True).alias("wide"))
+    leads = each.where("rn = 1").select(F.col("src").alias("at"), F.lit(True).alias("leads"))
+    stop = stops.select(F.col("id").alias("at"), F.lit(True).alias("stop")).distinct()
+    live = entries.select(F.col("id").alias("at"), F.col("id").alias("entry"), F.array("id").alias("path"), F.array().cast(f"array<{narrow.schema['edge'].dataType.simpleString()}>").alias("edges"))
+    done, clipped = None, False
+    for length in range(depth + 1):
+        marked = cut(live.join(stop, "at", "left").join(wide, "at", "left").join(leads, "at", "left"))
+        ended = marked.where("stop").select("entry", "path", "edges")
         done = ended if done is None else done.unionByName(ended)
-        live = marked.where("stop IS NULL").select("at", "path")
-    return done.orderBy("path").limit(most)
+        going = marked.where("stop IS NULL AND leads")
+        clipped = clipped or not going.where(F.lit(length == depth) | F.col("wide")).isEmpty()
+        if length < depth:
+            step = going.select("at", "entry", "path", "edges").join(narrow, going["at"] == narrow["src"]).where(~F.array_contains("path", F.col("edge.dst")))
+            live = step.select(F.col("edge.dst").alias("at"), "entry", F.concat("path", F.array("edge.dst")).alias("path"), F.concat("edges", F.array("edge")).alias("edges"))
+    first = cut(done.orderBy("entry", "edges").limit(most + 1))
+    clipped = clipped or first.count() > most
+    return first.orderBy("entry", "edges").limit(most).select("path", F.col("edges.kind").alias("kinds"), F.col("edges.evidence").alias("evidence"), F.transform("edges.evidence", lambda e: e != "observed").alias("uncertain"), F.lit(clipped).alias("truncated"))
 
 
 def reference_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:

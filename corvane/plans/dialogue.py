@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import dialogue as D
-from ..sources.views import N_FILES, view, with_views
+from ..sources.views import view, with_views
 from .registry import query
 
 V = with_views("turns")
@@ -63,14 +63,14 @@ def auto_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.auto_anchors(turns(spark, sf_dir), names)
 
 
-@query(f"{V}, q AS (SELECT embedding FROM embeddings WHERE vec_id = 0) SELECT t.id, round(list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: CAST(e.embedding[i] AS DOUBLE) * CAST(q.embedding[i] AS DOUBLE))), 4) AS similarity FROM turns t JOIN embeddings e ON e.vec_id = t.file_id, q WHERE t.thread_id < 4 ORDER BY similarity DESC, t.id LIMIT 20")
+@query(f"{V}, q AS (SELECT embedding FROM embeddings WHERE vec_id = 0) SELECT t.id, round(list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: CAST(e.embedding[i] AS DOUBLE) * CAST(q.embedding[i] AS DOUBLE))), 4) AS similarity FROM turns t JOIN embeddings e ON e.vec_id = t.file_id, q ORDER BY similarity DESC, t.id LIMIT 20")
 def turn_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vectors have unit length, and a turn's is that of its file."""
     from ..operators.retrieval import V as vectors
 
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(f"vec_id < {N_FILES}").select(F.col("vec_id").alias("file_id"), "embedding")
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("file_id"), "embedding")
     q = F.array(*[F.lit(float(x)) for x in e.where("file_id = 0").first().embedding])
-    found = turns(spark, sf_dir).where("thread_id < 4").join(e, "file_id").select("id", F.round(vectors.dot(F.col("embedding"), q), 4).alias("similarity"))
+    found = turns(spark, sf_dir).join(e, "file_id").select("id", F.round(vectors.dot(F.col("embedding"), q), 4).alias("similarity"))
     return found.orderBy(F.desc("similarity"), "id").limit(20)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import graph as G
-from ..sources.views import N_FILES, view, with_views
+from ..sources.views import view, with_views
 from .registry import query
 
 E = with_views("edges")
@@ -66,11 +66,17 @@ def file_bfs_depth2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.reached(view(spark, sf_dir, "file_edges"), numbers(spark, list(range(20))), 2, both=True)
 
 
-@query(f"{FE}, w AS (SELECT src, dst FROM file_edges UNION SELECT dst, src FROM file_edges), r AS (SELECT id, 0 AS depth FROM files WHERE id < 20 UNION SELECT w.dst, r.depth + 1 FROM r JOIN w ON w.src = r.id WHERE r.depth < 2), m AS (SELECT id, min(depth) AS depth FROM r GROUP BY 1), o AS (SELECT m.id, depth, strlen(content) AS size, coalesce(sum(CASE WHEN depth > 0 THEN strlen(content) ELSE 0 END) OVER (ORDER BY depth, m.id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bytes_before FROM m JOIN files f ON f.id = m.id) SELECT id, depth, size, CAST(bytes_before AS BIGINT) AS bytes_before, depth = 0 OR bytes_before < 12800 AS expands FROM o")
+@query(f"""{FE}, w AS (SELECT src, dst, 0 AS direction FROM file_edges UNION SELECT dst, src, 1 FROM file_edges),
+l0 AS (SELECT id, row_number() OVER (ORDER BY id) AS place, strlen(content) AS size FROM files WHERE id < 20),
+a1 AS (SELECT w.dst AS id, min((l0.place, direction, w.dst)) AS spot FROM l0 JOIN w ON w.src = l0.id WHERE w.dst NOT IN (SELECT id FROM l0) GROUP BY 1),
+l1 AS (SELECT a1.id, row_number() OVER (ORDER BY spot) AS place, coalesce(strlen(content), 0) AS size, sum(coalesce(strlen(content), 0)) OVER (ORDER BY spot) AS bytes FROM a1 LEFT JOIN files f ON f.id = a1.id),
+a2 AS (SELECT w.dst AS id, min((l1.place, direction, w.dst)) AS spot FROM l1 JOIN w ON w.src = l1.id WHERE l1.bytes < 192000 AND w.dst NOT IN (SELECT id FROM l0 UNION ALL SELECT id FROM l1) GROUP BY 1),
+l2 AS (SELECT a2.id, coalesce(strlen(content), 0) AS size, (SELECT max(bytes) FROM l1) + sum(coalesce(strlen(content), 0)) OVER (ORDER BY spot) AS bytes FROM a2 LEFT JOIN files f ON f.id = a2.id)
+SELECT id, depth, CAST(size AS BIGINT) AS size, CAST(bytes AS BIGINT) AS bytes, depth = 0 OR bytes < 192000 AS expands FROM (SELECT id, 0 AS depth, size, 0 AS bytes FROM l0 UNION ALL SELECT id, 1, size, bytes FROM l1 UNION ALL SELECT id, 2, size, bytes FROM l2)""")
 def file_bfs_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = G.reached(view(spark, sf_dir, "file_edges"), numbers(spark, list(range(20))), 2, both=True)
+    """G2 with a budget of 120,000 tokens, so that some nodes of depth 1 expand and others don't."""
     sizes = view(spark, sf_dir, "files").select("id", F.octet_length("content").cast("long").alias("size"))
-    return G.budgeted(found, sizes, 8000)
+    return G.budgeted(view(spark, sf_dir, "file_edges"), numbers(spark, list(range(20))), sizes, 2, 120_000)
 
 
 @query(f"{E}, r AS (SELECT dst AS id, 0 AS depth FROM edges WHERE dst < 40 UNION SELECT e.src, r.depth + 1 FROM r JOIN edges e ON e.dst = r.id WHERE r.depth < 3) SELECT id, min(depth) AS depth FROM r GROUP BY 1")
@@ -106,10 +112,16 @@ def community_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("component", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct().groupBy("component").agg(F.count("*").alias("relation_count"))
 
 
-@query(f"{E}, x AS (SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS rn FROM (SELECT DISTINCT src, dst FROM edges)) WHERE rn <= 8), r AS (SELECT DISTINCT src AS at, [src] AS path, false AS stop FROM x WHERE src % 5 = 0 UNION ALL SELECT x.dst, list_append(r.path, x.dst), x.dst % 3 = 1 FROM r JOIN x ON x.src = r.at WHERE NOT r.stop AND NOT list_contains(r.path, x.dst) AND len(r.path) < 6) SELECT path FROM r WHERE stop ORDER BY path LIMIT 50")
+@query(f"""{E}, d AS (SELECT DISTINCT src, dst, kind, CASE WHEN (src + dst) % 4 = 0 THEN 'inferred' ELSE 'observed' END AS evidence FROM edges),
+x AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst, kind, evidence) AS rn FROM d) WHERE rn <= 8),
+r AS (SELECT DISTINCT src AS node, src AS entry, [src] AS path, CAST([] AS STRUCT(dst BIGINT, kind VARCHAR, evidence VARCHAR)[]) AS edges, false AS stop FROM d WHERE src % 5 = 0 AND NOT src % 3 = 1 UNION ALL SELECT x.dst, r.entry, list_append(r.path, x.dst), list_append(r.edges, {{'dst': x.dst, 'kind': x.kind, 'evidence': x.evidence}}), x.dst % 3 = 1 FROM r JOIN x ON x.src = r.node WHERE NOT r.stop AND NOT list_contains(r.path, x.dst) AND len(r.path) < 6),
+live AS (SELECT count(*) AS n FROM r WHERE NOT stop AND ((len(path) = 6 AND node IN (SELECT src FROM d)) OR node IN (SELECT src FROM d GROUP BY 1 HAVING count(*) > 8)))
+SELECT array_to_string(path, ',') AS path, array_to_string(list_transform(edges, lambda e: e.kind), ',') AS kinds, array_to_string(list_transform(edges, lambda e: e.evidence), ',') AS evidence, (SELECT n > 0 FROM live) OR (SELECT count(*) > 50 FROM r WHERE stop) AS truncated FROM r WHERE stop ORDER BY entry, edges LIMIT 50""")
 def execution_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = view(spark, sf_dir, "edges")
-    return G.simple_paths(edges, edges.where("src % 5 = 0").select(F.col("src").alias("id")).distinct(), edges.where("dst % 3 = 1").select(F.col("dst").alias("id")).distinct(), depth=6)
+    edges = view(spark, sf_dir, "edges").withColumn("evidence", F.when((F.col("src") + F.col("dst")) % 4 == 0, "inferred").otherwise("observed"))
+    entries = edges.where("src % 5 = 0 AND NOT src % 3 = 1").select(F.col("src").alias("id")).distinct()
+    found = G.simple_paths(edges, entries, edges.where("dst % 3 = 1").select(F.col("dst").alias("id")), depth=5)
+    return found.select(F.array_join("path", ",").alias("path"), F.array_join("kinds", ",").alias("kinds"), F.array_join("evidence", ",").alias("evidence"), "truncated")
 
 
 @query(f"{with_views('edges', 'symbols')} SELECT s.id, count(e.src) AS n FROM symbols s LEFT JOIN edges e ON e.src = s.id OR e.dst = s.id GROUP BY 1")
@@ -141,9 +153,10 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "symbols").join(wanted, "id", "left_semi").select("id", "name", "file_id", "start_line").orderBy("file_id", "start_line", "id").limit(100)
 
 
-@query(f"{with_views('edges', 'symbols')} SELECT (SELECT count(*) FROM symbols) AS symbols, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM edges WHERE kind = 'calls') AS calls, (SELECT count(DISTINCT file_id) FROM symbols) AS files, {N_FILES} AS known_files")
+@query(f"{with_views('edges', 'symbols')} SELECT (SELECT count(*) FROM symbols) AS symbols, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM edges WHERE kind = 'calls') AS calls, (SELECT count(DISTINCT file_id) FROM symbols) AS files, (SELECT count(*) FROM documents) AS known_files")
 def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-row aggregates side by side."""
     symbols = view(spark, sf_dir, "symbols").agg(F.count("*").alias("symbols"), F.countDistinct("file_id").alias("files"))
     edges = view(spark, sf_dir, "edges").agg(F.count("*").alias("edges"), F.count_if(F.col("kind") == "calls").alias("calls"))
-    return symbols.join(F.broadcast(edges)).select("symbols", "edges", "calls", "files", F.lit(N_FILES).alias("known_files"))  # one row each
+    files = view(spark, sf_dir, "files").agg(F.count("*").alias("known_files"))
+    return symbols.join(F.broadcast(edges)).join(F.broadcast(files)).select("symbols", "edges", "calls", "files", "known_files")  # one row each

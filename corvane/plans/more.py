@@ -19,10 +19,10 @@ V = with_views("symbols", "files")
 KINDS = "('function', 'method', 'class', 'struct', 'promo', 'standard', 'economy')"
 
 
-@query(f"{V} SELECT s.id, f.path, s.kind, s.start_line FROM symbols s JOIN files f ON f.id = s.file_id WHERE s.name = split_part('x.blue_widget', '.', 2) OR s.name = 'red_gear' ORDER BY CASE WHEN s.kind IN {KINDS} THEN 0 ELSE 1 END, f.path, s.start_line, s.id LIMIT 25")
+@query(f"{V} SELECT s.id, f.path, s.kind, s.start_line FROM symbols s JOIN files f ON f.id = s.file_id WHERE s.name = split_part('x.blue_widget_7', '.', 2) OR s.name = 'red_gear_3' ORDER BY CASE WHEN s.kind IN {KINDS} THEN 0 ELSE 1 END, f.path, s.start_line, s.id LIMIT 25")
 def symbol_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact names, the qualifier stripped; code-like kinds first."""
-    names = [n.split(".")[-1] for n in ("x.blue_widget", "red_gear")]
+    names = [n.split(".")[-1] for n in ("x.blue_widget_7", "red_gear_3")]
     files = view(spark, sf_dir, "files").select(F.col("id").alias("file_id"), "path")
     found = view(spark, sf_dir, "symbols").where(F.col("name").isin(names)).join(files, "file_id")
     first = F.when(F.col("kind").isin("function", "method", "class", "struct", "promo", "standard", "economy"), 0).otherwise(1)
@@ -71,10 +71,10 @@ def lexical_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.bonus(near, lexical, 0.1).withColumn("similarity", F.round("similarity", 6))
 
 
-@query(f"WITH k AS ({KNN.format(48)}), x AS (SELECT p_partkey AS id FROM part WHERE replace(p_name, ' ', '_') IN ('blue_widget', 'red_gear') ORDER BY 1 LIMIT 8) SELECT coalesce(k.id, x.id) AS id, CASE WHEN x.id IS NULL THEN 1 ELSE 0 END AS priority, CASE WHEN x.id IS NULL THEN similarity ELSE 1.0 END AS similarity FROM k FULL JOIN x ON k.id = x.id")
+@query(f"WITH k AS ({KNN.format(48)}), x AS (SELECT p_partkey AS id FROM part WHERE concat(replace(p_name, ' ', '_'), '_', CAST(p_partkey % 40 AS VARCHAR)) IN ('blue_widget_7', 'red_gear_3') ORDER BY 1 LIMIT 8) SELECT coalesce(k.id, x.id) AS id, CASE WHEN x.id IS NULL THEN 1 ELSE 0 END AS priority, CASE WHEN x.id IS NULL THEN similarity ELSE 1.0 END AS similarity FROM k FULL JOIN x ON k.id = x.id")
 def identifier_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = S.knn(vectors(spark, sf_dir), "embedding", wanted(spark, sf_dir), 48)
-    return R.identifiers_first(near, view(spark, sf_dir, "symbols"), "where is blue_widget and red_gear used")
+    return R.identifiers_first(near, view(spark, sf_dir, "symbols"), "where is blue_widget_7 and red_gear_3 used")
 
 
 @query(f"{V}, t AS (SELECT file_id, split_part(name, '_', 1) AS term FROM symbols UNION SELECT file_id, split_part(name, '_', 2) FROM symbols), d AS (SELECT term, count(*) AS df FROM t GROUP BY 1), b AS (SELECT file_id, max(id % 7) AS best FROM symbols GROUP BY 1), e AS (SELECT file_id, sum(0.008 * ln(1 + 1001.0 / (df + 1))) AS extra FROM t JOIN d USING (term) WHERE term IN ('blue', 'red', 'gear') GROUP BY 1) SELECT file_id, round(best + coalesce(extra, 0), 6) AS score FROM b LEFT JOIN e USING (file_id)")
@@ -196,11 +196,11 @@ def filtered_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", F.round("similarity", 4).alias("similarity"))
 
 
-@query("SELECT user_id % 40 AS queue, count(*) AS entries FROM events WHERE event_id % 10 = 0 GROUP BY 1 HAVING count(*) >= 25 OR max(event_id % 997) >= 990")
+@query("SELECT user_id % 40 AS queue, count(*) AS entries FROM events GROUP BY 1 HAVING count(*) >= 250 OR max(event_id % 997) >= 990")
 def queues_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T-13."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 10 = 0")
-    return E.due(e.select((F.col("user_id") % 40).alias("queue"), (F.col("event_id") % 997).alias("age_seconds")), 25, 990)
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return E.due(e.select((F.col("user_id") % 40).alias("queue"), (F.col("event_id") % 997).alias("age_seconds")), 250, 990)
 
 
 @query(f"{V} SELECT id, name FROM symbols ORDER BY id LIMIT 100")

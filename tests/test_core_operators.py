@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import code
 from corvane.functions import text as T
-from corvane.operators import capability, contracts, dialogue, graph, intervals, journal, kinds, logs, pack, ranking, retrieval, sync
+from corvane.operators import capability, contracts, dialogue, graph, intervals, journal, kinds, logs, pack, ranking, resolve, retrieval, sync
 from corvane.sources import files as sources
 from corvane.streaming import twins
 
@@ -116,11 +116,63 @@ def test_components_and_reach(spark):
 
 
 def test_execution_paths(spark):
-    edges = spark.createDataFrame([("a", "d"), ("d", "e"), ("d", "f"), ("d", "a"), ("b", "d"), ("c", "f")], "src string, dst string")
+    rows = [("a", "d"), ("d", "e"), ("d", "f"), ("d", "a"), ("b", "d"), ("c", "f")]
+    edges = spark.createDataFrame([(*r, "calls", "observed" if r != ("d", "f") else "inferred") for r in rows], "src string, dst string, kind string, evidence string")
     entries, stops = spark.createDataFrame([("a",), ("b",), ("c",)], "id string"), spark.createDataFrame([("e",), ("f",)], "id string")
-    got = [r.path for r in graph.simple_paths(edges, entries, stops).collect()]
-    assert got == [["a", "d", "e"], ["a", "d", "f"], ["b", "d", "e"], ["b", "d", "f"], ["c", "f"]]
+    got = graph.simple_paths(edges, entries, stops).collect()
+    assert [r.path for r in got] == [["a", "d", "e"], ["a", "d", "f"], ["b", "d", "e"], ["b", "d", "f"], ["c", "f"]]
+    assert got[1].kinds == ["calls", "calls"] and got[1].evidence == ["observed", "inferred"] and got[1].uncertain == [False, True] and not got[1].truncated
+    for limits in ({"most": 2}, {"branching": 2}, {"depth": 1}):
+        assert all(r.truncated for r in graph.simple_paths(edges, entries, stops, **limits).collect()), limits
     assert len(graph.simple_paths(edges, entries, stops, branching=2, most=2).collect()) == 2
+    assert [r.path for r in graph.simple_paths(edges, stops, stops).collect()] == [["e"], ["f"]]  # an entry that is an end
+
+
+def brute_budgeted(edges, start, size, most, limit):
+    """The queue of the rule, one node after the other."""
+    seen, queue, used, out = set(start), [(n, 0) for n in sorted(start)], 0, {}
+    while queue:
+        node, depth = queue.pop(0)
+        used += size.get(node, 0) if depth else 0
+        expands = depth == 0 or used < limit
+        out[node] = (depth, used, expands)
+        if expands and depth < most:
+            for ends in (sorted({b for a, b in edges if a == node}), sorted({a for a, b in edges if b == node})):
+                for n in ends:
+                    if n not in seen:
+                        seen.add(n)
+                        queue.append((n, depth + 1))
+    return out
+
+
+def test_budgeted_search_stops_at_what_does_not_expand(spark):
+    rng = random.Random(12)
+    for limit_tokens in (0, 60, 100_000):
+        pairs = [(rng.randrange(40), rng.randrange(40)) for _ in range(70)]
+        size = {n: rng.randrange(0, 30) for n in range(36)}
+        frame = spark.createDataFrame(pairs, "src long, dst long")
+        sizes = spark.createDataFrame(list(size.items()), "id long, size long")
+        got = graph.budgeted(frame, spark.createDataFrame([(1,), (7,)], "id long"), sizes, 3, limit_tokens).collect()
+        assert {r.id: (r.depth, r.bytes, r.expands) for r in got} == brute_budgeted(pairs, [1, 7], size, 3, limit_tokens * 4 * 40 // 100)
+
+
+def test_call_resolution(spark):
+    symbols = [(1, "run", 1, "Alpha", 1, False), (2, "run", 1, "Beta", 2, False), (3, "run", 2, "Service", 1, False), (4, "run", 2, "Other", 1, False), (5, "go", 3, None, None, True), (6, "go", 4, None, -1, False), (7, "self_run", 5, "S", 0, False), (8, "self_run", 5, "S", 1, False)]
+    calls = [
+        ("qualifier and arity", 1, "run", "Beta", 2, None, -1, (2, 152)),
+        ("the receiver", 2, "run", "this", 1, "Service", -1, (3, 152)),
+        ("no hints", 2, "run", "", -1, None, -1, (3, 22)),
+        ("implicit owner", 9, "run", "", -1, "other", -1, (4, 42)),
+        ("capital of another owner", 1, "run", "Gamma", -1, None, -1, (1, -78)),
+        ("small letters of another owner", 1, "run", "gamma", -1, None, -1, (1, 22)),
+        ("tests give way", 9, "go", "", 3, None, -1, (6, 2)),
+        ("self", 5, "self_run", "self", 0, "S", -1, (7, 152)),
+        ("its own caller", 5, "self_run", "self", 0, "S", 7, None),
+        ("unknown name", 5, "nothing", "", 0, None, -1, None),
+    ]
+    c = spark.createDataFrame([x[:7] for x in calls], "id string, file_id long, callee string, qualifier string, argument_count int, caller_owner string, caller long")
+    got = {r.id: (r.target, r.score) for r in resolve.best_targets(c, spark.createDataFrame(symbols, "id long, name string, file_id long, owner string, arity int, test boolean")).collect()}
+    assert got == {x[0]: x[7] for x in calls if x[7]}
 
 
 def test_self_loops_count_once(spark):
@@ -158,10 +210,17 @@ def test_semantic_hint_alone(spark):
 
 
 def test_fan_out(spark):
-    rows = [(a, b, float(100 - a - b)) for a in range(6) for b in range(a + 1, 6)]
-    got = capability.fanned_out(spark.createDataFrame(rows, "a long, b long, final_score double"), per_capability=2, most=4).collect()
-    used = [x for r in got for x in (r.a, r.b)]
-    assert len(got) <= 4 and max(map(used.count, used)) <= 2 and (got[0].a, got[0].b) == (0, 1)
+    """Whatever the block, the greedy choice over all pairs."""
+    rng = random.Random(13)
+    rows = [(a, b, float(rng.randrange(12))) for a in range(14) for b in range(a + 1, 14)]
+    want, used = [], {}
+    for a, b, _ in sorted(rows, key=lambda r: (-r[2], r[0], r[1])):
+        if len(want) < 17 and used.get(a, 0) < 3 and used.get(b, 0) < 3:
+            used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
+            want.append((a, b))
+    for block in (1, 7, 1000):
+        got = capability.fanned_out(spark.createDataFrame(rows, "a long, b long, final_score double"), per_capability=3, most=17, block=block).collect()
+        assert sorted((r.a, r.b) for r in got) == sorted(want)
 
 
 def test_drift(spark):
