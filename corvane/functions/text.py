@@ -6,71 +6,70 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that a query doesn't search for.
-STOP_WORDS = """
-como que quando qual quais uma para com por
-dos das seu sua são sao entre após apos
-the how and does with from into
-""".split()
+STOP_WORDS = [
+    "como", "que", "quando", "qual", "quais", "uma", "para", "com", "por", "dos", "das", "seu", "sua", "são",
+    "sao", "entre", "após", "apos", "the", "how", "and", "does", "with", "from", "into",
+]
 
 #: What a word of a query also searches for.
-ALIASES = """
-movimento: movement move
-velocidade: velocity
-jogador: player
-câmera: camera
-camera: camera
-segue: follow
-seguir: follow
-segui: follow
-zoom: zoom
-antecipa: anticipation follow
-posição: position
-posicao: position
-diálogo: dialogue
-dialogo: dialogue
-escolhas: choose choice option
-escolha: choose choice option
-consequências: apply effect result
-consequencia: apply effect
-estado: state
-missão: mission
-missao: mission
-salvo: save persist persistence
-salva: save persist persistence
-salvar: save persist persistence
-restaurado: load persistence
-carregamento: load persistence
-retomada: resume
-retomado: resume
-gravidade: gravity velocity compute
-rota: route
-cancela: cancel
-vira: face
-direção: direction
-direcao: direction
-ajusta: apply adjust
-ajustado: apply adjust
-opções: options
-opcao: option
-conversa: dialogue
-pessoa: person
-aberta: open
-abre: open
-confirma: commit
-efeito: effect apply
-persiste: persist
-persistido: persist
-vazios: empty
-inválidos: corrupt
-ajuste: adjust
-começa: begin
-comeca: begin
-termina: end
-escrita: write save
-armazenamento: storage save
-bloqueado: locked
-exportado: export
-"""
+ALIASES = {
+    "movimento": ["movement", "move"],
+    "velocidade": ["velocity"],
+    "jogador": ["player"],
+    "câmera": ["camera"],
+    "camera": ["camera"],
+    "segue": ["follow"],
+    "seguir": ["follow"],
+    "segui": ["follow"],
+    "zoom": ["zoom"],
+    "antecipa": ["anticipation", "follow"],
+    "posição": ["position"],
+    "posicao": ["position"],
+    "diálogo": ["dialogue"],
+    "dialogo": ["dialogue"],
+    "escolhas": ["choose", "choice", "option"],
+    "escolha": ["choose", "choice", "option"],
+    "consequências": ["apply", "effect", "result"],
+    "consequencia": ["apply", "effect"],
+    "estado": ["state"],
+    "missão": ["mission"],
+    "missao": ["mission"],
+    "salvo": ["save", "persist", "persistence"],
+    "salva": ["save", "persist", "persistence"],
+    "salvar": ["save", "persist", "persistence"],
+    "restaurado": ["load", "persistence"],
+    "carregamento": ["load", "persistence"],
+    "retomada": ["resume"],
+    "retomado": ["resume"],
+    "gravidade": ["gravity", "velocity", "compute"],
+    "rota": ["route"],
+    "cancela": ["cancel"],
+    "vira": ["face"],
+    "direção": ["direction"],
+    "direcao": ["direction"],
+    "ajusta": ["apply", "adjust"],
+    "ajustado": ["apply", "adjust"],
+    "opções": ["options"],
+    "opcao": ["option"],
+    "conversa": ["dialogue"],
+    "pessoa": ["person"],
+    "aberta": ["open"],
+    "abre": ["open"],
+    "confirma": ["commit"],
+    "efeito": ["effect", "apply"],
+    "persiste": ["persist"],
+    "persistido": ["persist"],
+    "vazios": ["empty"],
+    "inválidos": ["corrupt"],
+    "ajuste": ["adjust"],
+    "começa": ["begin"],
+    "comeca": ["begin"],
+    "termina": ["end"],
+    "escrita": ["write", "save"],
+    "armazenamento": ["storage", "save"],
+    "bloqueado": ["locked"],
+    "exportado": ["export"],
+}
 
 
 def estimate_tokens(text: Column) -> Column:
@@ -86,8 +85,7 @@ def lexical_terms(text: Column) -> Column:
 
 def query_terms(text: Column) -> Column:
     """lexical terms that aren't stop words, each followed by its aliases."""
-    pairs = [line.split(": ") for line in ALIASES.strip().split("\n")]
-    table = F.create_map(*[x for word, more in pairs for x in (F.lit(word), F.array(*map(F.lit, more.split())))])
+    table = F.create_map(*[x for word, more in ALIASES.items() for x in (F.lit(word), F.array(*map(F.lit, more)))])
     kept = F.filter(lexical_terms(text), lambda t: ~t.isin(*STOP_WORDS))
     return F.flatten(F.transform(kept, lambda t: F.concat(F.array(t), F.coalesce(F.try_element_at(table, t), F.array().cast("array<string>")))))
 

@@ -74,11 +74,27 @@ def protobuf_rows(files: DataFrame) -> DataFrame:
     return each.select("file", F.concat("package", F.lit("|"), "service", F.lit("|"), "method").alias("identity"))
 
 
+#: How source declares routes: framework and a pattern of verb and path.
+ROUTES = (
+    ("express", r"(?i)(?<![@\w])(?:app|router)\.(get|post|put|delete|patch|use)\s*\(\s*['\"`]([^'\"`]+)['\"`]"),
+    ("fastapi", r"(?i)@(?:app|router)\.(get|post|put|delete|patch)\s*\(\s*['\"]([^'\"]+)['\"]"),
+    ("flask", r"(?i)@(?:app|bp|blueprint)\s*\.\s*(route)\s*\(\s*['\"]([^'\"]+)['\"]"),
+)
+
+
 def route_rows(files: DataFrame) -> DataFrame:
-    """(file, framework, method, path) of routes that decorators and router calls declare, each once."""
+    """(file, framework, method, path) of routes that the path and text of files declare, each once.
+
+    Files named route below app/, and those below pages/api/, are routes by their folder, for any method; so are
+    those of decorators that name no verb.
+    """
     found = None
-    for framework, pattern in (("express", r"(?<![@\w])(?:app|router)\.(get|post|put|patch|delete)\(\s*['\"]([^'\"]+)"), ("fastapi", r"@(?:app|router)\.(get|post|put|patch|delete)\(\s*['\"]([^'\"]+)"), ("flask", r"@\w+\.(route)\(\s*['\"]([^'\"]+)")):
+    for framework, pattern in ROUTES:
         each = files.select("file", F.explode(F.regexp_extract_all("text", F.lit(pattern), 0)).alias("m"))
-        rows = each.select("file", F.lit(framework).alias("framework"), F.upper(F.regexp_extract("m", pattern, 1)).alias("method"), F.regexp_extract("m", pattern, 2).alias("path"))
+        verb = F.upper(F.regexp_extract("m", pattern, 1))
+        rows = each.select("file", F.lit(framework).alias("framework"), F.when(verb == "ROUTE", "ANY").otherwise(verb).alias("method"), F.regexp_extract("m", pattern, 2).alias("path"))
         found = rows if found is None else found.unionByName(rows)
-    return found.withColumn("method", F.when(F.col("method") == "ROUTE", "GET").otherwise(F.col("method"))).select("file", "framework", "method", "path").distinct()
+    by_folder = F.col("path").rlike(r"(^|/)app/(.*/)?route\.[jt]sx?$") | F.col("path").rlike("(^|/)pages/api/")
+    folder = F.regexp_replace(F.regexp_replace("path", "^(app|pages)/", ""), "/?[^/]*$", "")
+    pages = files.where(by_folder).select("file", F.lit("nextjs").alias("framework"), F.lit("ANY").alias("method"), F.concat(F.lit("/"), folder).alias("path"))
+    return found.unionByName(pages).distinct()

@@ -11,24 +11,46 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import retrieval
+from .graph import numbered
 
-#: What a call in source says about a contract: (surface, role, pattern of verb, pattern of target).
-OBSERVED = (
-    ("http", "provider", r"(?<![@\w])(?:app|router)\.(get|post|put|patch|delete)\(\s*['\"]([^'\"]+)"),
-    ("http", "consumer", r"\b(?:axios|requests|http)\.(get|post|put|patch|delete)\(\s*['\"]([^'\"]+)"),
-    ("topic", "provider", r"\b(?:producer|publisher)\.(send|publish|produce)\(\s*['\"]([^'\"]+)"),
-    ("topic", "consumer", r"\b(?:consumer|subscriber)\.(subscribe|on|consume)\(\s*['\"]([^'\"]+)"),
-)
+#: What a call in source says about a contract.
+PROVIDES_HTTP = r"(?i)\b(?:app|router)\.(get|post|put|patch|delete)\s*\(\s*['\"](/[^'\"]+)['\"]\s*,\s*(?:async\s+)?function\s+([A-Za-z_]\w*)"
+CALLS_HTTP = r"(?i)\b(?:httpx|requests|http|client)\.(get|post|put|patch|delete)\s*\(\s*['\"]https?://([^/'\"]+)(/[^?#'\"]*)"
+CALLS_RPC = r"\b(?:[A-Za-z_]\w*)\.([A-Z]\w*)Async\s*\("
+PROVIDES_RPC = r"\bpublic\s+[A-Za-z_]\w*\s+([a-z]\w*)\s*\("
+BROKER, TOPIC = r"\b(?:broker|BROKER)\s*=\s*['\"]([^'\"]+)['\"]", r"\b(?:topic|TOPIC)\s*[:=]\s*['\"]([^'\"]+)['\"]"
 
 
-def observed(files: DataFrame) -> DataFrame:
-    """K4: (file, surface, role, verb, target) of calls in (file, text), each once."""
-    out = None
-    for surface, role, pattern in OBSERVED:
-        each = files.select("file", F.explode(F.regexp_extract_all("text", F.lit(pattern), 0)).alias("m"))
-        rows = each.select("file", F.lit(surface).alias("surface"), F.lit(role).alias("role"), F.upper(F.regexp_extract("m", pattern, 1)).alias("verb"), F.regexp_extract("m", pattern, 2).alias("target"))
-        out = rows if out is None else out.unionByName(rows)
-    return out.distinct()
+def observed(files: DataFrame, methods: DataFrame) -> DataFrame:
+    """K4: (file, surface, role, identity) of what (file, path, text) provides and calls, each once.
+
+    HTTP routes are named by verb and path, calls by host, verb and path. A topic without its broker has no identity
+    (''), as brokers may share names. A remote procedure is the one of ``methods`` (service, method, identity) that
+    its client's type, or for Java its class, names; where none or several fit, nothing is known ('').
+    """
+    each = lambda pattern: files.select("file", "path", "text", F.explode(F.regexp_extract_all("text", F.lit(pattern), 0)).alias("m"))
+    part = lambda pattern, k: F.regexp_extract("m", pattern, k)
+    named = lambda rows, surface, role, identity: rows.select("file", F.lit(surface).alias("surface"), F.lit(role).alias("role"), identity.alias("identity"))
+    http = named(each(PROVIDES_HTTP), "http", "provider", F.concat_ws("|", F.upper(part(PROVIDES_HTTP, 1)), part(PROVIDES_HTTP, 2)))
+    http = http.unionByName(named(each(CALLS_HTTP), "http", "consumer", F.concat_ws("|", F.lower(part(CALLS_HTTP, 2)), F.upper(part(CALLS_HTTP, 1)), part(CALLS_HTTP, 3))))
+    known = methods.groupBy("service", "method").agg(F.when(F.countDistinct("identity") == 1, F.min("identity")).otherwise("").alias("known"))
+    client = F.regexp_extract("text", r"\b([A-Za-z_]\w*)\.\1Client\s+[A-Za-z_]\w*\b", 1)
+    calls = each(CALLS_RPC).select("file", client.alias("service"), part(CALLS_RPC, 1).alias("method"), F.lit("consumer").alias("role"))
+    owner = F.regexp_extract("text", r"\bclass\s+([A-Za-z_]\w*)", 1)
+    serves = each(PROVIDES_RPC).where(F.col("path").endswith(".java")).select("file", owner.alias("service"), F.initcap(F.substring(part(PROVIDES_RPC, 1), 1, 1)).alias("first"), part(PROVIDES_RPC, 1).alias("name"))
+    serves = serves.select("file", "service", F.concat("first", F.expr("substring(name, 2)")).alias("method"), F.lit("provider").alias("role"))
+    rpc = calls.unionByName(serves).join(known, ["service", "method"], "left").where("role = 'consumer' OR known <> ''")
+    rpc = rpc.select("file", F.lit("grpc").alias("surface"), "role", F.coalesce("known", F.lit("")).alias("identity"))
+    broker, topic = F.lower(F.regexp_extract("text", BROKER, 1)), F.regexp_extract("text", TOPIC, 1)
+    role = F.when(F.col("text").rlike(r"(?s)producer\.send"), "provider").when(F.col("text").rlike(r"\bsubscribe\s*\(\s*(?:TOPIC|topic)\s*,"), "consumer")
+    topics = files.where((topic != "") & role.isNotNull()).select("file", F.lit("topic").alias("surface"), role.alias("role"), F.when(broker != "", F.concat_ws("|", F.lit("kafka"), broker, topic)).otherwise("").alias("identity"))
+    return http.unionByName(rpc).unionByName(topics).distinct()
+
+
+def changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """K7: rows of ``old`` that went and rows of ``new`` that came, repeats included; empty where evidence needn't be replaced."""
+    gone = old.exceptAll(new).withColumn("change", F.lit("gone"))
+    return gone.unionByName(new.exceptAll(old).withColumn("change", F.lit("new")))
 
 
 def asyncapi(files: DataFrame) -> DataFrame:
@@ -48,7 +70,7 @@ def nearest_function(lines: DataFrame) -> DataFrame:
 
 def differs(old: DataFrame, new: DataFrame) -> bool:
     """K7: whether two sets of evidence rows, repeats included, aren't the same."""
-    return not (old.exceptAll(new).isEmpty() and new.exceptAll(old).isEmpty())
+    return not changes(old, new).isEmpty()
 
 
 def object_keys(code: str) -> list[str] | None:
@@ -162,17 +184,25 @@ def wanted_files(files: DataFrame, paths: DataFrame, root: str, suffixes: list[s
     return files.join(paths.select("path").distinct(), "path", "left_semi").where(F.startswith("path", F.lit(root.rstrip("/") + "/")) & ending)
 
 
-def declarations(spark: SparkSession, path: str) -> DataFrame:
-    """(id, name, bounded_context, contracts) of JSON declaration files; other versions and incomplete entries are left out."""
+def declarations(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(id, name, bounded_context, contracts) of JSON declaration files, one to a file or to a line; other versions and incomplete entries are left out."""
     schema = "schema_version int, capabilities array<struct<id:string,name:string,bounded_context:string,contracts:array<string>>>"
-    rows = spark.read.schema(schema).option("multiLine", True).json(path).where("schema_version = 1").select(F.explode("capabilities").alias("c")).select("c.*")
+    rows = spark.read.schema(schema).option("multiLine", not lines).json(path).where("schema_version = 1").select(F.explode("capabilities").alias("c")).select("c.*")
     return rows.where("id IS NOT NULL AND name IS NOT NULL")
 
 
+def recovered_all(artifacts: DataFrame, sidecars: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(artifact_id, content, came_from) of the ids in ``wanted``: the table's copy, else the side file's."""
+    table = artifacts.select("artifact_id", F.struct(F.lit(0).alias("priority"), F.lit("table").alias("came_from"), "content").alias("c"))
+    both = table.unionByName(sidecars.select("artifact_id", F.struct(F.lit(1).alias("priority"), F.lit("side").alias("came_from"), "content").alias("c")))
+    best = both.join(wanted.select("artifact_id").distinct(), "artifact_id", "left_semi").groupBy("artifact_id").agg(F.min_by("c", "c.priority").alias("c"))
+    return best.select("artifact_id", "c.content", "c.came_from")
+
+
 def recovered(artifacts: DataFrame, sidecars: DataFrame, wanted: str) -> DataFrame:
-    """An artifact by id from the table, else from its side file."""
-    both = artifacts.where(F.col("artifact_id") == wanted).select("artifact_id", "content", F.lit(0).alias("priority")).unionByName(sidecars.where(F.col("artifact_id") == wanted).select("artifact_id", "content", F.lit(1).alias("priority")))
-    return both.orderBy("priority").limit(1).select("artifact_id", "content")
+    """D11 for one id."""
+    only = F.col("artifact_id") == wanted
+    return recovered_all(artifacts.where(only), sidecars.where(only), artifacts.where(only).select("artifact_id").unionByName(sidecars.where(only).select("artifact_id"))).select("artifact_id", "content")
 
 
 def cache_key(query: str, budget: int, epoch: str, version: str, mode: str) -> Column:
@@ -186,15 +216,15 @@ def current(cache: DataFrame, epoch: str) -> DataFrame:
 
 
 def by_files(pivots: DataFrame, support: DataFrame, budget: int) -> DataFrame:
-    """(id, form, tokens): pivots share 60 % of the budget evenly, whole if they fit and as skeletons if not; then support, as skeletons while it fits.
+    """(id, form, tokens): the pivots (a few) share 60 % of the budget evenly, whole if they fit and as skeletons if not; then support, as skeletons while it fits.
 
     ``pivots`` (a few) and ``support`` are (id, rank, tokens, skeleton_tokens).
     """
-    share = F.lit(budget * 0.6) / F.greatest(F.count("*").over(Window.partitionBy(F.lit(1))), F.lit(1))
+    share = budget * 0.6 / max(1, pivots.count())
     p = pivots.select("id", F.when(F.col("tokens") <= share, "full").otherwise("skeleton").alias("form"), F.when(F.col("tokens") <= share, F.col("tokens")).otherwise(F.col("skeleton_tokens")).alias("tokens"))
     used = p.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    s = support.orderBy("rank", "id").limit(budget).withColumn("run", F.sum("skeleton_tokens").over(Window.orderBy("rank", "id").rowsBetween(Window.unboundedPreceding, 0)))
-    return p.unionByName(s.where(F.col("run") + used <= budget).select("id", F.lit("support").alias("form"), F.col("skeleton_tokens").alias("tokens")))
+    ordered = numbered(support.withColumn("spot", F.struct("rank", "id")), "spot", "skeleton_tokens")
+    return p.unionByName(ordered.where(F.col("run") + used <= budget).select("id", F.lit("support").alias("form"), F.col("skeleton_tokens").alias("tokens")))
 
 
 def synced(advance: Callable[[], DataFrame], verify: Callable[[DataFrame], bool], rebuild: Callable[[], DataFrame]) -> tuple[DataFrame, str]:

@@ -6,26 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Symbols that get vectors; constants do too in TypeScript and JavaScript.
-EMBEDDED = """
-function async_function method constructor class partial_class struct
-interface enum record trait protocol object mixin extension union impl
-type module
-""".split()
+EMBEDDED = [
+    "function", "async_function", "method", "constructor", "class", "partial_class", "struct", "interface",
+    "enum", "record", "trait", "protocol", "object", "mixin", "extension", "union", "impl", "type", "module",
+]
 
 #: Symbols that can own others.
-OWNERS = """
-class partial_class sealed_class data_class struct interface
-trait impl record module namespace
-""".split()
+OWNERS = [
+    "class", "partial_class", "sealed_class", "data_class", "struct", "interface", "trait", "impl", "record",
+    "module", "namespace",
+]
 
 #: Kinds that a lookup by name shows first.
-FIRST = "function async_function method constructor class struct interface enum".split()
+FIRST = ["function", "async_function", "method", "constructor", "class", "struct", "interface", "enum"]
 
 #: Verbs of operations; a file that covers two that a query names ranks higher.
-OPERATIONS = """
-save load read write create update delete import
-export serialize deserialize parse persist apply restore
-""".split()
+OPERATIONS = [
+    "save", "load", "read", "write", "create", "update", "delete", "import", "export", "serialize",
+    "deserialize", "parse", "persist", "apply", "restore",
+]
 
 
 def embeddable(symbols: DataFrame) -> DataFrame:

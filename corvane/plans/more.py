@@ -29,14 +29,6 @@ def symbol_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.orderBy(first, "path", "start_line", "id").limit(25).select("id", "path", "kind", "start_line")
 
 
-@query(f"{V} SELECT kind, count(*) AS n FROM symbols WHERE kind IN (SELECT DISTINCT kind FROM symbols ORDER BY kind LIMIT 3) GROUP BY 1")
-def embeddable_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The kinds in a list."""
-    symbols = view(spark, sf_dir, "symbols")
-    kinds = symbols.select("kind").distinct().orderBy("kind").limit(3)
-    return symbols.join(F.broadcast(kinds), "kind", "left_semi").groupBy("kind").agg(F.count("*").alias("n"))
-
-
 @query(f"{V} SELECT file_id, arg_max(id, (start_line, -end_line, -id)) AS id FROM symbols WHERE 300 BETWEEN start_line AND end_line GROUP BY 1")
 def symbol_at_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The innermost symbol around line 300 of each file."""
@@ -226,15 +218,6 @@ def identity_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("id", F.coalesce(E.valid_timestamp(stamp), F.lit(False)).alias("timestamp_ok"), E.valid_uuid(uuid).alias("uuid_ok"))
 
 
-@query("SELECT source AS id, CASE WHEN max(doc_id) % 2 = 0 THEN 'table' ELSE 'side' END AS came_from FROM documents GROUP BY 1")
-def artifact_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D11 for many ids: the table's copy if it has one, else the side file's."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").agg(F.max("doc_id").alias("m"))
-    table = d.where("m % 2 = 0").select(F.col("source").alias("id"), F.lit("table").alias("came_from"), F.lit(0).alias("priority"))
-    both = table.unionByName(d.select(F.col("source").alias("id"), F.lit("side").alias("came_from"), F.lit(1).alias("priority")))
-    return both.groupBy("id").agg(F.min_by("came_from", "priority").alias("came_from"))
-
-
 @query(with_views("symbols", "file_edges") + " SELECT f.file_id, count(*) AS n FROM symbols f WHERE EXISTS (SELECT 1 FROM file_edges e WHERE e.src = f.file_id) AND NOT EXISTS (SELECT 1 FROM file_edges e WHERE e.dst = f.file_id) GROUP BY 1")
 def existence_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Semi and anti joins."""

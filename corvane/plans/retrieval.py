@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import index as X
 from ..operators import retrieval as R
 from ..sources.views import view, with_views
 from .registry import query
@@ -77,6 +78,13 @@ bm AS (SELECT id, round({' + '.join(f'CASE WHEN tf{k} > 0 THEN ln(1 + (n - df{k}
 
 @query(f"WITH {BM25} SELECT id, score FROM bm")
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R5, over the stored index; the first call in a session builds it."""
+    return X.bm25(X.stored(spark, sf_dir, docs(spark, sf_dir)), WORDS)
+
+
+@query(f"WITH {BM25} SELECT id, score FROM bm")
+def bm25_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R5 without an index: one pass over the texts."""
     return R.bm25(docs(spark, sf_dir), WORDS)
 
 
@@ -85,7 +93,7 @@ l AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS lexical_rank FRO
 SELECT coalesce(s.id, l.id) AS id, CAST(coalesce(semantic_rank, 0) AS INTEGER) AS semantic_rank, CAST(coalesce(lexical_rank, 0) AS INTEGER) AS lexical_rank, round(coalesce(1 / (60 + CAST(semantic_rank AS DOUBLE)), 0) + coalesce(1 / (60 + CAST(lexical_rank AS DOUBLE)), 0), 8) AS rrf FROM s FULL JOIN l ON s.id = l.id""")
 def hybrid_rrf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     semantic = R.ranked(R.knn(vectors(spark, sf_dir), "embedding", wanted(spark, sf_dir), 100), "similarity", "semantic_rank", 100)
-    lexical = R.ranked(R.bm25(docs(spark, sf_dir), WORDS), "score", "lexical_rank", 100)
+    lexical = R.ranked(X.bm25(X.stored(spark, sf_dir, docs(spark, sf_dir)), WORDS), "score", "lexical_rank", 100)
     return R.fused(semantic, lexical).select("id", F.coalesce("semantic_rank", F.lit(0)).alias("semantic_rank"), F.coalesce("lexical_rank", F.lit(0)).alias("lexical_rank"), F.round("rrf", 8).alias("rrf"))
 
 

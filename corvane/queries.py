@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import capability, dialogue, graph, journal, logs, more, retrieval, streams, structure, telemetry  # noqa: F401
+from .plans import capability, dialogue, graph, journal, logs, more, retrieval, sources, streams, structure, telemetry  # noqa: F401
 from .plans.registry import ORACLES, QUERIES
 
 

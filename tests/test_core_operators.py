@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import code
 from corvane.functions import text as T
-from corvane.operators import capability, contracts, dialogue, graph, intervals, journal, kinds, logs, pack, ranking, resolve, retrieval, sync
+from corvane.operators import capability, contracts, dialogue, graph, index, intervals, journal, kinds, logs, pack, ranking, resolve, retrieval, sync
 from corvane.sources import files as sources
 from corvane.streaming import twins
 
@@ -254,8 +254,8 @@ def test_declared_contracts(spark):
     proto = "package shop.v1;\nservice Orders { rpc Get (A) returns (B); rpc Put(C) returns (D); }"
     files = spark.createDataFrame([("p", proto)], "file string, text string")
     assert {r.identity for r in contracts.protobuf_rows(files).collect()} == {"shop.v1|Orders|Get", "shop.v1|Orders|Put"}
-    routes = spark.createDataFrame([("r", "app.get('/a', f)\n@app.post(\"/b\")\n@bp.route('/c')")], "file string, text string")
-    assert {(r.framework, r.method, r.path) for r in contracts.route_rows(routes).collect()} == {("express", "GET", "/a"), ("fastapi", "POST", "/b"), ("flask", "GET", "/c")}
+    routes = spark.createDataFrame([("r", "x.js", "app.get('/a', f)\n@app.post(\"/b\")\n@bp.route('/c', methods=['PUT'])"), ("n", "app/users/[id]/route.ts", ""), ("p", "pages/api/auth.ts", None), ("q", "src/route.ts", "")], "file string, path string, text string")
+    assert {(r.framework, r.method, r.path) for r in contracts.route_rows(routes).collect()} == {("express", "GET", "/a"), ("fastapi", "POST", "/b"), ("flask", "ANY", "/c"), ("nextjs", "ANY", "/users/[id]"), ("nextjs", "ANY", "/api")}
 
 
 def test_handoffs(spark):
@@ -361,3 +361,13 @@ def test_applied_stream_keeps_its_cursor(spark, tmp_path):
             assert {(r.sequence, r.status) for r in twins.drained(twins.apply_batches(stream), "append").collect()} == {(1, "applied"), (2, "applied")}
     got = [(r.stream, r.sequence, r.status) for r in twins.drained(twins.apply_batches(spark.readStream.schema(schema).parquet(str(tmp_path))), "append").collect()]
     assert sorted(got) == [(1, 1, "applied"), (1, 2, "applied"), (1, 2, "duplicate"), (1, 3, "applied"), (2, 2, "conflict")]
+
+
+def test_stored_index_scores_as_a_scan(spark):
+    texts = ["the cat and the hat", None, "", "a hat of felt; the end", "nothing here", "the the the", "Hat hat HAT the"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    built = index.build(docs)
+    for terms in (["the", "hat"], ["absent"], ["felt"], []):
+        want = {r.id: r.score for r in retrieval.bm25(docs.where("text is not null").unionByName(docs.where("text is null").withColumn("text", F.lit(""))), terms).collect()} if terms else {}
+        assert {r.id: r.score for r in index.bm25(built, terms).collect()} == want, terms
+    assert index.stored(spark, "k", docs) is index.stored(spark, "k", docs)

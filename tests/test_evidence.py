@@ -9,9 +9,28 @@ from corvane.operators import evidence as E
 
 
 def test_observed(spark):
-    text = "app.post('/a', h)\naxios.get(\"/b\")\nproducer.send('t')\nconsumer.subscribe('t')\naxios.get(\"/b\")"
-    got = {tuple(r) for r in E.observed(spark.createDataFrame([("f", text)], "file string, text string")).collect()}
-    assert got == {("f", "http", "provider", "POST", "/a"), ("f", "http", "consumer", "GET", "/b"), ("f", "topic", "provider", "SEND", "t"), ("f", "topic", "consumer", "SUBSCRIBE", "t")}
+    methods = spark.createDataFrame([("Orders", "Place", "a|Orders|Place"), ("Orders", "Cancel", "a|Orders|Cancel"), ("Orders", "Cancel", "b|Orders|Cancel")], "service string, method string, identity string")
+    files = [
+        ("f", "x.js", "app.post('/a', function h() {})\napp.get('b', function h() {})\nrouter.get('/c', named)"),
+        ("g", "x.py", "requests.get(\"https://Host/b?q=1\")\nrequests.get(url)"),
+        ("h", "x.js", "BROKER = 'Main'\nTOPIC = 't'\nproducer.send(TOPIC)"),
+        ("i", "x.js", "topic: 't'\nsubscribe(topic, f)"),
+        ("j", "x.cs", "Orders.OrdersClient c;\nc.PlaceAsync(1);\nc.CancelAsync(1);"),
+        ("k", "X.java", "class Orders { public R place(Q q) {} public R cancel(Q q) {} }"),
+        ("l", "x.cs", "c.PlaceAsync(1);"),
+        ("m", "x.js", None),
+    ]
+    got = {tuple(r) for r in E.observed(spark.createDataFrame(files, "file string, path string, text string"), methods).collect()}
+    assert got == {
+        ("f", "http", "provider", "POST|/a"),
+        ("g", "http", "consumer", "host|GET|/b"),
+        ("h", "topic", "provider", "kafka|main|t"),
+        ("i", "topic", "consumer", ""),
+        ("j", "grpc", "consumer", "a|Orders|Place"),
+        ("j", "grpc", "consumer", ""),
+        ("k", "grpc", "provider", "a|Orders|Place"),
+        ("l", "grpc", "consumer", ""),
+    }
 
 
 def test_asyncapi(spark):
