@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import re
 from collections.abc import Iterator
 
@@ -111,19 +112,40 @@ def near_pairs(prints: DataFrame, distance: int = 4, segments: int = 3, fp: str
     return probes.join(table, match).select(F.least("fp", "other").alias("fp_a"), F.greatest("fp", "other").alias("fp_b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, segments: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fewest_steps(n: int, distance: int) -> int:
+    """How many segments make a search among ``n`` fingerprints cheapest: probes, and what each meets in its slot."""
+    def steps(segments: int) -> float:
+        return sum(sum(math.comb(width, r) for r in range(radius + 1)) * (1 + n / 2**width) for _, width, radius in radii(64, distance, segments))
+
+    return min(range(2, 9), key=steps)
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, segments: int | None = None, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): each document's fingerprint and the smallest doc_id reachable by links.
 
     Copies collapse to one fingerprint before any search, so groups of copies make no pairs; links stay between
-    different fingerprints. A null or blank text has fingerprint zero and links like any other. Repeated doc_ids
-    give repeated rows, an empty table an empty one; further columns aren't read.
+    different fingerprints. Of a group of near ones, each is held against the least of each slot first, then those
+    that are still apart against one another, so no group lists its pairs. ``segments`` sets the table's segments; by
+    default the row count does, which changes the work and never the result. A null or blank text has fingerprint
+    zero and links like any other. Repeated doc_ids give repeated rows, an empty table an empty one; further columns
+    aren't read.
     """
     prints = written(fingerprints(docs, shingle, (seed,), id_col, text_col), "fingerprints")
     first = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "first")
-    pairs = near_pairs(first, distance, segments)
+    segments = segments or fewest_steps(first.count(), distance)
     a, b = first.select(F.col("fp").alias("fp_a"), F.col("first").alias("a")), first.select(F.col("fp").alias("fp_b"), F.col("first").alias("b"))
-    found = connected_components(pairs.join(a, "fp_a").join(b, "fp_b").select("a", "b"))
-    classes = first.join(found, first["first"] == found["node"], "left").select("fp", F.coalesce("component", "first").alias("component_id"))
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.join(a, "fp_a").join(b, "fp_b").select("a", "b")
+
+    def grouped(links: DataFrame) -> DataFrame:
+        found = connected_components(links)
+        return first.join(found, first["first"] == found["node"], "left").select("fp", "first", F.coalesce("component", "first").alias("group"))
+
+    stars = written(ends(near_pairs(first, distance, segments, stars=True)), "stars")
+    groups = written(grouped(stars), "groups")
+    rest = ends(near_pairs(groups, distance, segments, apart="group"))
+    classes = grouped(written(stars.unionByName(rest), "links")).select("fp", F.col("group").alias("component_id"))
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
