@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, written
+from .common import connected_components, forest, group_runs, written
 
 #: Rows of a bucket that one task compares; a larger bucket is dealt out as pairs of blocks of this size.
 BLOCK = 2048
@@ -54,25 +54,6 @@ def linked(unit: np.ndarray, keys: np.ndarray, block: np.ndarray, table: int, cr
             yield a[new], b[new]
 
 
-def forest(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs: at most n - 1 of them keep all that is connected connected."""
-    parent, out = list(range(n)), []
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for a, b in pairs:
-        for i, j in zip(a.tolist(), b.tolist()):
-            x, y = root(i), root(j)
-            if x != y:
-                parent[y] = x
-                out.append((i, j))
-    return out
-
-
 def compared(vectors: DataFrame, tables: int, projections: int, width: float, threshold: float, seed: int) -> DataFrame:
     """(a, b, links): b null, the links that one comparison adds to vector a; or links null, an edge of a forest."""
 
@@ -89,32 +70,23 @@ def compared(vectors: DataFrame, tables: int, projections: int, width: float, th
 
     inner = vectors.schema["vector"].dataType.simpleString()
     keyed = written(vectors.mapInArrow(hashed, f"id long, copies long, vector {inner}, keys array<long>"), "keys")
-    each = keyed.select("*", F.posexplode("keys").alias("t", "key"))
-    large = each.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
-    blocks = F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int")
-    dealt = each.join(large, ["t", "key"], "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("t", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "copies", "vector", "keys")
+    # buckets of one row go at once; only ids and keys are dealt out for that, and vectors follow where they are compared
+    each = keyed.select("id", F.posexplode("keys").alias("t", "key"))
+    shared = written(each.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = each.join(shared, ["t", "key"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("id", F.col("t").cast("long").alias("t"), "key", F.least("block", "other").cast("long").alias("low"), F.greatest("block", "other").cast("long").alias("high"), F.col("block").cast("long").alias("block"))
+    tiles = tiles.join(keyed, "id").select("t", "key", "low", "high", "block", "id", "copies", "vector", "keys")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            whole = pa.Table.from_batches([*held, batch]).combine_chunks()
-            group = np.stack([whole.column(k).to_numpy() for k in range(4)], axis=1)
-            cuts = np.nonzero((group[1:] != group[:-1]).any(axis=1))[0] + 1
-            last = int(cuts[-1]) if len(cuts) else 0
-            held = whole.slice(last).combine_chunks().to_batches()  # the last tile may go on; a tile is bounded
-            yield from tile_rows(whole.slice(0, last), cuts)
-        if held:
-            yield from tile_rows(pa.Table.from_batches(held), np.zeros(0, np.int64))
-
-    def tile_rows(whole: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not whole.num_rows:
-            return
+        for whole, bounds in group_runs(batches, 4):  # a tile is bounded
+            yield from tile_rows(whole, bounds)
+
+    def tile_rows(whole: pa.Table, bounds: list[int]) -> Iterator[pa.RecordBatch]:
         t, low, high, block, ids, copies = (whole.column(k).to_numpy() for k in (0, 2, 3, 4, 5, 6))
         vectors, keys = whole.column(7).combine_chunks(), np.array(whole.column(8).combine_chunks().flatten()).reshape(-1, tables)
         flat, starts = vectors.values.to_numpy(zero_copy_only=False), vectors.offsets.to_numpy()
         out: list[tuple] = []
-        bounds = [0, *[c for c in cuts.tolist() if c < whole.num_rows], whole.num_rows]
         for a, b in zip(bounds[:-1], bounds[1:]):
             if b - a < 2:
                 continue
@@ -146,16 +118,19 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, tables: int = 20,
     return counts and spanning forests, never the pairs of a group.
 
     Null, empty and zero vectors, and those with null or non-finite components, link with nothing and are kept;
-    vectors of different length never link. An empty table gives an empty one; other columns aren't read.
+    vectors of different length never link. Equal vectors are told by 128 bits of hash. Repeated rows count and
+    have a result each (one vec_id must not have different vectors); an empty table gives an empty one; other columns
+    aren't read.
     """
     rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"))
     good = rows.where(usable(F.col("vector")))
-    distinct = written(good.groupBy("vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")).select("id", "copies", "vector"), "vectors")
-    found = written(compared(distinct, tables, projections, width, threshold, seed), "links")
+    # equal vectors meet by 128 bits of hash, as a common vector itself would be sent with each of its rows
+    marked = good.select("vec_id", "vector", F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(1), "vector").alias("h2"))
+    distinct = written(marked.groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.any_value("vector").alias("vector")), "vectors")
+    found = written(compared(distinct.select("id", "copies", "vector"), tables, projections, width, threshold, seed), "links")
     links = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
     classes = connected_components(found.where("b is not null").select("a", "b"))
-    of_vector = distinct.join(links, F.col("id") == links["a"], "left").join(classes, F.col("id") == classes["node"], "left").select("vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    key = F.when(usable(F.col("vector")), F.col("vector"))
-    out = rows.select("vec_id", key.alias("vector")).join(of_vector, "vector", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    of_vector = distinct.join(links, F.col("id") == links["a"], "left").join(classes, F.col("id") == classes["node"], "left").select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    out = marked.select("vec_id", "h1", "h2").join(written(of_vector, "classes"), ["h1", "h2"]).select("vec_id", "n_links", "component_id")
+    alone = rows.where(~usable(F.col("vector"))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return out.unionByName(alone).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
