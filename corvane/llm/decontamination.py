@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Item windows that are broadcast at most (each about 200 bytes); more are joined by a shuffle.
 BROADCAST_WINDOWS = 200_000
+#: Bits of the filter before that shuffle: 262,144 cells of 64, however many windows there are.
+FILTER_BITS = 1 << 24
 #: Stands behind a document's last word; no word holds this character.
 END = "\x00"
 
@@ -41,25 +43,45 @@ def with_prefix(windows: DataFrame) -> DataFrame:
     return each.join(rarity, "word").groupBy("words").agg(rarest).select("words", F.col("r.word").alias("word"), F.col("r.at").alias("at"), F.size("words").alias("size"))
 
 
-def occurrences(docs: DataFrame, windows: DataFrame, small: bool, doc_id: str, text_col: str) -> DataFrame:
+def occurrences(docs: DataFrame, windows: DataFrame, small: bool, window: int, doc_id: str, text_col: str) -> DataFrame:
     """(doc_id, start, size, words) of every place where a window occurs, and a row (doc_id, start = number of words, 0) for each document.
 
     Each document word probes the windows' prefix words. Length and positional bounds (the window begins and ends
     inside the document) and the exact comparison are conditions of the join, so only true occurrences are rows.
-    The row that ends a document comes from the same pass over its text.
     """
     prefix = with_prefix(windows)
-    closing = prefix.sparkSession.range(1).select(F.array().cast("array<string>").alias("words"), F.lit(END).alias("word"), F.lit(0).alias("at"), F.lit(0).alias("size"))
-    prefix = prefix.unionByName(closing)
-    if small:
-        prefix = F.broadcast(prefix)
     words = docs.select(F.col(doc_id).alias("doc_id"), words_of(F.col(text_col)).alias("w"))
+    return broadcast_join(words, prefix) if small else shuffled_join(words, prefix, window)
+
+
+def broadcast_join(words: DataFrame, prefix: DataFrame) -> DataFrame:
+    """The windows go to the texts; the row that ends a document comes from the same pass over its text."""
+    closing = prefix.sparkSession.range(1).select(F.array().cast("array<string>").alias("words"), F.lit(END).alias("word"), F.lit(0).alias("at"), F.lit(0).alias("size"))
+    prefix = F.broadcast(prefix.unionByName(closing))
     each = words.select("doc_id", "w", F.posexplode(F.concat("w", F.array(F.lit(END)))).alias("place", "word"))
     start = F.col("place") - F.col("at")
     inside = (start >= 0) & (start + F.col("size") <= F.size("w")) & (F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("size")) == F.col("words"))
     return each.join(prefix, (each.word == prefix.word) & inside).select("doc_id", start.alias("start"), "size", "words")
 
 
+def shuffled_join(words: DataFrame, prefix: DataFrame, window: int) -> DataFrame:
+    """Words that may be prefix words go to the windows, each with the words that a window around it can hold.
+
+    What may be is told by a table of bits of the prefix words' hashes, whose size is fixed (FILTER_BITS), so most
+    words stay where they are; the rest is a join by word. The rows that end documents are a narrow pass of their own.
+    """
+    hashed = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    bits = prefix.select(hashed("word").alias("h")).groupBy(F.shiftright("h", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
+    each = words.select("doc_id", "w", F.posexplode("w").alias("place", "word")).withColumn("h", hashed("word")).withColumn("cell", F.shiftright("h", 6))
+    probing = each.join(F.broadcast(bits), "cell").where(F.expr("shiftrightunsigned(bits, cast(h & 63 as int)) & 1") == 1)
+    before = F.least(F.col("place"), F.lit(window - 1))
+    probing = probing.select("doc_id", "place", "word", before.alias("before"), F.slice("w", F.col("place") - before + 1, F.lit(2 * window - 1)).alias("around"))
+    start = F.col("before") - F.col("at")
+    inside = (start >= 0) & (start + F.col("size") <= F.size("around")) & (F.slice("around", F.greatest(start, F.lit(0)) + 1, F.col("size")) == F.col("words"))
+    found = probing.join(prefix, (probing.word == prefix.word) & inside).select("doc_id", (F.col("place") - F.col("at")).alias("start"), "size", "words")
+    return found.unionByName(words.select("doc_id", F.size("w").alias("start"), F.lit(0).alias("size"), F.array().cast("array<string>").alias("words")))
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 8, least_items: int = 2, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, item_ids, contaminated) for each document.
 
@@ -70,7 +92,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 8, least_item
     """
     windows = item_windows(items, window, item_id, text_col)
     small = windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    found = occurrences(docs, windows, small, doc_id, text_col)
+    found = occurrences(docs, windows, small, window, doc_id, text_col)
     # places and windows once each: a document's rows are bounded by its words and the windows at each place
     before = Window.partitionBy("doc_id").orderBy("start", F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
     stop = F.col("start") + F.col("size")
