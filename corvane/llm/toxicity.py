@@ -56,14 +56,15 @@ class Linear:
     bias: float
 
     @staticmethod
-    def fit(rows: Rows, labels: np.ndarray, width: int, l2: float = 1e-4, steps: int = 150) -> Linear:
-        """Adam over all rows at once; deterministic."""
+    def fit(rows: Rows, labels: np.ndarray, known: np.ndarray, l2: float = 1e-4, steps: int = 150) -> Linear:
+        """Adam over all rows at once; deterministic. Words that aren't ``known`` to this model keep a weight of zero."""
+        width = len(known)
         w = np.zeros(width + rows.dense.shape[1] + 1)
         m, v, n = np.zeros_like(w), np.zeros_like(w), max(1, len(labels))
         for step in range(1, steps + 1):
             error = (logistic(rows.dot(w[:width], w[width:-1]) + w[-1]) - labels) / n
             sparse, dense = rows.back(error, width)
-            grad = np.concatenate([sparse, dense, [error.sum()]]) + l2 * np.append(w[:-1], 0)
+            grad = np.concatenate([sparse * known, dense, [error.sum()]]) + l2 * np.append(w[:-1], 0)
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
             w = w - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         return Linear(w[:width], w[width:-1], float(w[-1]))
@@ -93,11 +94,15 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], most_rows: in
     """The chain of ``docs`` (doc_id, text) with ``labels`` (doc_id and a 0/1 column for each category, in the chain's order).
 
     Fitted on about ``most_rows`` labelled rows, taken by a hash of doc_id: a documented bound, and the reason why
-    the labels' side of the join may be broadcast. Features are the words with the largest standardised log-odds for
-    each category among those in ``least_rows`` rows or more. The probabilities that a later model is trained on come
-    from models that haven't seen the row (``folds`` folds). Rows with a null text or label are left out; with no rows
-    left every probability is a half.
+    the labels' side of the join may be broadcast. A model's features are the words with the largest standardised
+    log-odds for each category among those in ``least_rows`` of its rows or more, ties by the word. The probabilities
+    that a later model is trained on come from models that haven't seen the row, neither its label in their weights
+    nor in their choice of words (``folds`` folds by a hash of the text, so copies are in one). Rows with a null text
+    or label are left out, repeated rows count as often as they are there; with no rows left every probability is a
+    half. A category named like doc_id or text isn't allowed.
     """
+    if {"doc_id", "text"} & set(categories) or len(set(categories)) < len(categories):
+        raise ValueError("categories need names of their own")
     labels = labels.select("doc_id", *[F.col(c).cast("double").alias(f"y{k}") for k, c in enumerate(categories)]).dropna()
     share = min(1.0, most_rows / max(1, labels.count()))
     some = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
@@ -110,20 +115,27 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], most_rows: in
 
     labels = F.array(*[f"y{k}" for k in range(len(categories))])
     sample = written(chosen.select("text", F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(folds)).cast("int").alias("fold"), labels.alias("labels")).mapInArrow(distinct, "fold int, labels array<double>, words array<string>"), "sample")
-    totals = sample.agg(F.count("*"), *[F.coalesce(F.sum(F.col("labels")[k]), F.lit(0.0)) for k in range(len(categories))]).first()
-    n = totals[0]
-    counts = sample.select("labels", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), *[F.sum(F.col("labels")[k]).alias(f"n{k}") for k in range(len(categories))]).where(F.col("n") >= least_rows)
-    scored = []
+    sums = [F.coalesce(F.sum(F.col("labels")[k]), F.lit(0.0)).alias(f"n{k}") for k in range(len(categories))]
+    by_fold = {r.fold: r for r in sample.groupBy("fold").agg(F.count("*").alias("n"), *sums).collect()}  # a row for each fold
+    # model -1 is of all rows, model f of those outside fold f
+    models = [(m, *(float(sum(r[c] for f, r in by_fold.items() if f != m)) for c in ("n", *(f"n{k}" for k in range(len(categories)))))) for m in range(-1, folds)]
+    sizes = sample.sparkSession.createDataFrame(models, ", ".join(["m int", "rows double", *(f"rows{k} double" for k in range(len(categories)))]))
+    per_fold = sample.select("fold", "labels", F.explode("words").alias("word")).groupBy("word", "fold").agg(F.count("*").alias("n"), *sums)
+    counts = per_fold.withColumn("m", F.explode(F.array(*[F.lit(m) for m in range(-1, folds)]))).where("m <> fold").groupBy("m", "word").agg(F.sum("n").alias("n"), *[F.sum(f"n{k}").alias(f"n{k}") for k in range(len(categories))])
+    counts = counts.where(F.col("n") >= least_rows).join(F.broadcast(sizes), "m")
+    scored = None
     for k in range(len(categories)):
-        with_it, without = totals[k + 1], n - totals[k + 1]
+        with_it, without = F.col(f"rows{k}"), F.col("rows") - F.col(f"rows{k}")
         a, b = F.col(f"n{k}") + 0.5, F.col("n") - F.col(f"n{k}") + 0.5
         odds = F.log(a / (with_it - a + 1)) - F.log(b / (without - b + 1))
-        scored.append(counts.select(F.lit(k).alias("k"), "word", F.abs(odds / F.sqrt(1 / a + 1 / b)).alias("z")))
-    ranked = scored[0]
-    for other in scored[1:]:
-        ranked = ranked.unionByName(other)
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("z"), "word"))).where(F.col("rank") <= words_per_category)
-    words = {w: i for i, w in enumerate(sorted({r.word for r in ranked.select("word").collect()}))}  # bounded by the parameters
+        one = counts.select("m", F.lit(k).alias("k"), "word", F.abs(odds / F.sqrt(1 / a + 1 / b)).alias("z"))
+        scored = one if scored is None else scored.unionByName(one)
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("m", "k").orderBy(F.desc("z"), "word"))).where(F.col("rank") <= words_per_category)
+    chosen_words = [(r.m, r.word) for r in ranked.select("m", "word").distinct().collect()]  # bounded by the parameters
+    words = {w: i for i, w in enumerate(sorted({w for _, w in chosen_words}))}
+    known_to = np.zeros((folds + 1, len(words)))
+    for m, w in chosen_words:
+        known_to[m + 1, words[w]] = 1.0
     known = sample.sparkSession.sparkContext.broadcast(words)
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,12 +151,12 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], most_rows: in
     links = []
     for k in range(len(categories)):
         y = np.array([x[k] for x in local.labels])
-        links.append(Linear.fit(rows, y, len(words)))
+        links.append(Linear.fit(rows, y, known_to[0]))
         unseen = np.full(len(y), y.mean() if len(y) else 0.5)
         for f in range(folds):
             inside = fold == f
             if inside.any() and not inside.all():
-                unseen[inside] = Linear.fit(rows.some(~inside), y[~inside], len(words)).probabilities(rows.some(inside))
+                unseen[inside] = Linear.fit(rows.some(~inside), y[~inside], known_to[f + 1]).probabilities(rows.some(inside))
         rows = Rows(rows.ids, rows.bounds, np.column_stack([rows.dense, logits(unseen)]))
     return Chain(list(categories), words, links)
 

@@ -216,6 +216,55 @@ def test_similar_documents_meet_at_the_threshold(spark):
     assert len(found) >= 0.99 * len(rows)
 
 
+def brute_language(rows, text, longest=5):
+    """The dealt rule, word by word: known words, then ever shorter n-grams, over uncut counts of ``rows``."""
+    languages = sorted({lang for t, lang in rows if t is not None and lang is not None})
+    split = lambda t: "".join(c if c.isalpha() else " " for c in t or "").lower().split()
+    tables = [defaultdict(lambda: defaultdict(int)) for _ in range(longest + 1)]
+    for t, lang in rows:
+        if t is not None and lang is not None:
+            for w in split(t):
+                tables[0][w][lang] += 1
+                for n in range(1, longest + 1):
+                    for i in range(len(w) + 2 - n + 1):
+                        tables[n][f"<{w}>"[i : i + n]][lang] += 1
+    totals = [{x: sum(c[x] for c in t.values()) for x in languages} for t in tables]
+    log = lambda n, s, x: np.log(tables[n][s][x] + 0.5) - np.log(totals[n][x] + 0.5 * (len(tables[n]) + 1))
+    sums, words = dict.fromkeys(languages, 0.0), split(text)
+    for w in words:
+        if w in tables[0]:
+            found = [{x: log(0, w, x) for x in languages}]
+        else:
+            found = []
+            for n in range(longest, 0, -1):
+                grams = [f"<{w}>"[i : i + n] for i in range(len(w) + 2 - n + 1)]
+                found = [{x: log(n, g, x) for x in languages} for g in grams if g in tables[n]]
+                if found:
+                    break
+        for x in languages:
+            sums[x] += sum(f[x] for f in found) / max(1, len(found))
+    if not words or not languages:
+        return "und", 0.0
+    best = max(languages, key=lambda x: sums[x])
+    return best, 1 / sum(np.exp((sums[x] - sums[best]) / len(words) ** 0.5) for x in languages)
+
+
+def test_language_against_brute_force(spark):
+    """Ties, repeated rows, a long text, clashing names, nulls."""
+    rng = random.Random(21)
+    letters = {"aa": "abcde", "bb": "cdefg", "cc": "fghij"}
+    rows = [(i, " ".join("".join(rng.choice(letters[x]) for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(1, 12))), x) for i, x in enumerate(list(letters) * 20)]
+    rows += [(70, None, "aa"), (71, "", None), (72, "zzz", None), (73, "c d", None), (74, "1 2", "bb"), (75, "é中", None), (76, "abcde fghij " * 20_000, None), rows[0], rows[0]]
+    table = spark.createDataFrame([(*r, "x", 1.0) for r in rows], "doc_id long, text string, lang string, row string, score double")
+    taught = [(t, lang) for i, t, lang in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    got = language.identify(table).collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _, _ in rows)
+    texts = {i: t for i, t, _ in rows}
+    for r in got:
+        lang, score = brute_language(taught, texts[r.doc_id])
+        assert (r.lang_pred, r.score) == (lang, pytest.approx(score, rel=1e-9, abs=1e-12)), texts[r.doc_id][:40]
+
+
 def brute_repeats(rows, window):
     """What each of the rows (doc_id, text) keeps, in the order of the rows."""
     first, out = {}, []
@@ -356,6 +405,76 @@ def test_toxicity(spark):
     assert toxicity.classify(empty(table), chain).count() == 0
 
 
+def brute_chain(rows, folds, words_per_category, least, text):
+    """A chain of dense models, fitted by the same descent, one matrix at a time. ``rows`` are (words, labels, fold)."""
+    vocabulary = sorted({w for words, _, _ in rows for w in words})
+    x = np.array([[w in words for w in vocabulary] for words, _, _ in rows], float)
+    fold = np.array([f for _, _, f in rows])
+    targets = np.array([labels for _, labels, _ in rows], float)
+
+    def chosen(keep):
+        out = set()
+        for k in range(targets.shape[1]):
+            y, scored = targets[keep][:, k], []
+            for j, w in enumerate(vocabulary):
+                n, n1 = x[keep][:, j].sum(), (x[keep][:, j] * y).sum()
+                if n >= least:
+                    a, b = n1 + 0.5, n - n1 + 0.5
+                    odds = np.log(a / (y.sum() - a + 1)) - np.log(b / (len(y) - y.sum() - b + 1))
+                    scored.append((-round(abs(odds / np.sqrt(1 / a + 1 / b)), 12), w))
+            out |= {w for _, w in sorted(scored)[:words_per_category]}
+        return np.array([w in out for w in vocabulary], float)
+
+    def fit(features, y, mask):
+        w = np.zeros(features.shape[1] + 1)
+        free = np.concatenate([mask, np.ones(len(w) - len(mask))])
+        m, v = np.zeros_like(w), np.zeros_like(w)
+        for step in range(1, 151):
+            error = (toxicity.logistic(features @ w[:-1] + w[-1]) - y) / max(1, len(y))
+            grad = np.append(features.T @ error, error.sum()) * free + 1e-4 * np.append(w[:-1], 0)
+            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
+            w = w - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
+        return w
+
+    asked = np.array([[w in text for w in vocabulary]], float)
+    features, out, everything = x, [], np.ones(len(rows), bool)
+    for k in range(targets.shape[1]):
+        y = targets[:, k]
+        w = fit(features, y, chosen(everything))
+        out.append(float(toxicity.logistic(asked @ w[:-1] + w[-1])[0]))
+        unseen = np.zeros(len(y))
+        for f in range(folds):
+            inside = fold == f
+            own = fit(features[~inside], y[~inside], chosen(~inside))
+            unseen[inside] = toxicity.logistic(features[inside] @ own[:-1] + own[-1])
+        features = np.column_stack([features, toxicity.logits(unseen)])
+        asked = np.column_stack([asked, toxicity.logits(np.array([out[-1]]))])
+    return out
+
+
+def test_toxicity_against_brute_force(spark):
+    """Words are ranked within folds; repeated rows, ties by word, clashing names, a long text."""
+    rng = random.Random(22)
+    rows = []
+    for i in range(120):
+        low, toxic = int(rng.random() < 0.4), int(rng.random() < 0.3)
+        words = [rng.choice(["lorem", "ipsum", "dolor", "amet", "tempor"]) for _ in range(4)] + ["junk"] * (low and rng.random() < 0.8) + ["nasty"] * (toxic and rng.random() < 0.8) + [f"x{rng.randrange(30)}"]
+        rows.append((i, " ".join(words), low, toxic))
+    rows += rows[:2]
+    docs = spark.createDataFrame([(i, t, 0.5) for i, t, _, _ in rows[:120]] + [(300, None, 0.1), (301, "nasty lorem " * 15_000, 0.1)], "doc_id long, text string, p_low double")
+    labels = spark.createDataFrame([(i, low, toxic) for i, _, low, toxic in rows] + [(5, None, 1), (999, 1, 1)], "doc_id long, low int, toxic int")
+    folds = {r.doc_id: r.f for r in docs.select("doc_id", toxicity.F.pmod(toxicity.F.xxhash64(toxicity.F.lit("fold"), "text"), toxicity.F.lit(3)).alias("f")).collect()}
+    texts = {i: t for i, t, _, _ in rows} | {300: "", 301: "nasty lorem"}
+    chain = toxicity.fit(docs, labels, ["low", "toxic"], words_per_category=4, least_rows=3, folds=3)
+    taught = sorted((({w for c in t.split() for w in language.words_of(c)}, (low, toxic), folds[i]) for i, t, low, toxic in rows), key=lambda r: r[2])
+    got = collected(toxicity.classify(docs, chain))
+    for i in (0, 3, 17, 300, 301):
+        want = brute_chain(taught, 3, 4, 3, {w for c in texts[i].split() for w in language.words_of(c)})
+        assert (got[i]["p_low"], got[i]["p_toxic"]) == (pytest.approx(want[0], rel=1e-6), pytest.approx(want[1], rel=1e-6)), i
+    with pytest.raises(ValueError):
+        toxicity.fit(docs, labels, ["low", "low"])
+
+
 def symbols_of(text):
     return "\x02" + " ".join((text or "").split()) + "\x03"
 
