@@ -23,9 +23,9 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(lowered, GAP), "")
 
 
-def item_windows(items: DataFrame, window: int, item_id: str, text_col: str) -> DataFrame:
+def item_windows(items: DataFrame, window: int, item_id: str, text_col: str, least_words: int = 1) -> DataFrame:
     """(item_id, words): every ``window`` consecutive words of an item, each window once; a shorter item is one window."""
-    words = items.select(F.col(item_id).alias("item_id"), words_of(F.col(text_col)).alias("w")).where(F.size("w") > 0)
+    words = items.select(F.col(item_id).alias("item_id"), words_of(F.col(text_col)).alias("w")).where(F.size("w") >= max(1, least_words))
     last = F.greatest(F.size("w") - window, F.lit(0))
     return words.select("item_id", F.explode(F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("w", i + 1, F.lit(window)))).alias("words")).distinct()
 
@@ -82,15 +82,15 @@ def shuffled_join(words: DataFrame, prefix: DataFrame, window: int) -> DataFrame
     return found.unionByName(words.select("doc_id", F.size("w").alias("start"), F.lit(0).alias("size"), F.array().cast("array<string>").alias("words")))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 8, least_items: int = 2, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 8, least_items: int = 2, least_words: int = 1, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, item_ids, contaminated) for each document.
 
     ``n_hit`` counts the words inside any occurrence of an item window, ``item_ids`` are the items with an occurring
     window, as sorted strings; a document is contaminated from ``least_items`` such items on. Null texts have no
-    words, and items without words no windows. Repeated items count by id, once each; doc_id should be unique, as
+    words, and items of fewer than ``least_words`` no windows. Repeated items count by id, once each; doc_id should be unique, as
     rows that share one are counted together. Empty tables of either side are allowed.
     """
-    windows = item_windows(items, window, item_id, text_col)
+    windows = item_windows(items, window, item_id, text_col, least_words)
     small = windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     found = occurrences(docs, windows, small, window, doc_id, text_col)
     # places and windows once each: a document's rows are bounded by its words and the windows at each place
