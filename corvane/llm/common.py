@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -48,6 +49,12 @@ def text_runs(texts: pa.Array, most: int) -> Iterator[pa.Array]:
         low += len(run)
 
 
+def release(spark: SparkSession) -> None:
+    """Has Spark delete shuffle files that no plan refers to any more, which it does when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def group_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, list[int]]]:
     """Whole groups of rows that come sorted by their first ``keys`` columns (64-bit numbers), as (rows, bounds of the groups).
 

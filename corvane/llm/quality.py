@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_runs, written
+from .common import release, text_runs, written
 
 #: Stand before the first symbol of a text, at its start, and at its end; in texts they count as ``OTHER``.
 PAD, START, END, OTHER = "\x00", "\x02", "\x03", "\x1a"
 RESERVED = re.compile(f"[{PAD}{START}{END}]")
 #: Bytes of text that a worker takes apart at once, and of a block whose n-grams are looked up together.
-RUN_BYTES, BLOCK_BYTES = 4_000_000, 64_000_000
+RUN_BYTES, BLOCK_BYTES = 4_000_000, 128_000_000
 
 
 class Symbols:
@@ -49,15 +49,15 @@ class Symbols:
             keep[at[at < len(codes)]] = False
         self.codes, self.sizes, self.base = codes[keep], sizes, base
 
-    def strings(self, codes: np.ndarray) -> pa.Array:
-        """The windows as strings, without padding."""
+    def strings(self, codes: np.ndarray, padding: str = "") -> pa.Array:
+        """The windows as strings, without ``padding`` at their start."""
         points, rest = np.empty((len(codes), self.order), np.uint32), codes.copy()
         for k in range(self.order - 1, -1, -1):
             rest, digit = np.divmod(rest, np.uint64(self.base))
             points[:, k] = self.alphabet[digit]
         flat = points.tobytes().decode("utf-32-le")
         n = self.order
-        return pa.array([flat[i : i + n].lstrip(PAD) for i in range(0, len(flat), n)], pa.string())
+        return pa.array([flat[i : i + n].lstrip(padding) if padding else flat[i : i + n] for i in range(0, len(flat), n)], pa.string())
 
 
 def symbol_runs(texts: pa.Array, order: int) -> Iterator[Symbols]:
@@ -88,7 +88,7 @@ def gram_counts(texts: DataFrame, order: int, folds: int) -> DataFrame:
             for f in range(folds):
                 for run in symbol_runs(batch.column(1).filter(pa.array(fold == f)), order):
                     codes, counts = np.unique(run.codes, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), f, np.int32)), run.strings(codes), pa.array(counts.astype(np.int64))], ["fold", "g", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), f, np.int32)), run.strings(codes, PAD), pa.array(counts.astype(np.int64))], ["fold", "g", "n"])
 
     counted = texts.select(fold_of(F.col("text"), folds).alias("fold"), "text").mapInArrow(count, "fold int, g string, n long")
     others = F.array(*[F.lit(m) for m in range(folds)])
@@ -132,25 +132,24 @@ def train(raw: DataFrame, order: int) -> DataFrame:
     return written(weights.groupBy("m", "g").agg(F.sum("delta").alias("delta"), F.sum("bow").alias("bow")), "weights")
 
 
-def window_scores(windows: DataFrame, weights: DataFrame) -> DataFrame:
-    """(m, g, score): the log probability of the last symbol of each different window after those before it.
+def window_scores(windows: DataFrame, weights: DataFrame, order: int) -> DataFrame:
+    """(m, g, score): the log probability of the last symbol of each different window (of ``order`` symbols, padding at the start of texts) after those before it.
 
-    The sharded count join: a window's n-grams and contexts meet the weights by key. Those of one symbol, of which
-    there are no more than code points, are broadcast, as nearly all windows share them.
+    The sharded count join, from short to long: a window's score is that of its suffix, which is shared by many,
+    plus the weights of the window and of its context where the table has them. No step has more rows than there are
+    different windows, and no key more than there are symbols.
     """
-    size = F.length("g")
-    grams = F.transform(F.sequence(F.lit(2), size), lambda n: F.struct(F.substring("g", size - n + 1, n).alias("k"), F.lit(False).alias("context")))
-    contexts = F.when(size > 2, F.transform(F.sequence(F.lit(2), size - 1), lambda n: F.struct(F.substring("g", size - n, n).alias("k"), F.lit(True).alias("context")))).otherwise(F.array().cast("array<struct<k:string,context:boolean>>"))
-    small, large = weights.where(F.length("g") <= 1), weights.where(F.length("g") > 1)
-    keys = windows.select("m", "g", F.explode(F.concat(grams, contexts)).alias("e")).select("m", "g", "e.k", "e.context")
-    found = keys.join(large.select("m", F.col("g").alias("k"), "delta", "bow"), ["m", "k"])
-    more = found.groupBy("m", "g").agg(F.sum(F.when(F.col("context"), F.col("bow")).otherwise(F.col("delta"))).alias("more"))
-    last = F.broadcast(small.select("m", F.col("g").alias("last"), F.col("delta").alias("own")))
-    before = F.broadcast(small.select("m", F.col("g").alias("before"), F.col("bow").alias("back")))
-    unseen = F.broadcast(small.where("g = ''").select("m", F.col("delta").alias("unseen")))
-    whole = windows.select("m", "g", F.substring("g", -1, 1).alias("last"), F.expr("substring(g, length(g) - 1, 1)").alias("before"))
-    whole = whole.join(last, ["m", "last"], "left").join(before, ["m", "before"], "left").join(unseen, "m", "left").join(more, ["m", "g"], "left")
-    return whole.select("m", "g", (F.coalesce("own", "unseen", F.lit(0.0)) + F.coalesce("back", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))).cast("float").alias("score"))
+    wanted = {order: windows.select("m", "g")}
+    for n in range(order - 1, 0, -1):
+        wanted[n] = wanted[n + 1].select("m", F.expr("substring(g, 2)").alias("g")).distinct()
+    unseen = F.broadcast(weights.where("g = ''").select("m", F.col("delta").alias("unseen")))  # a row for each model
+    of_size = lambda n: weights.where(F.length("g") == n)
+    score = wanted[1].join(of_size(1).select("m", "g", "delta"), ["m", "g"], "left").join(unseen, "m", "left").select("m", "g", F.coalesce("delta", "unseen", F.lit(0.0)).alias("score"))
+    for n in range(2, order + 1):
+        each = wanted[n].join(of_size(n).select("m", "g", "delta"), ["m", "g"], "left").select("m", "g", "delta", F.expr("substring(g, 2)").alias("suffix"), F.expr("substring(g, 1, length(g) - 1)").alias("context"))
+        each = each.join(of_size(n - 1).select("m", F.col("g").alias("context"), "bow"), ["m", "context"], "left").join(score.select("m", F.col("g").alias("suffix"), F.col("score").alias("lower")), ["m", "suffix"])
+        score = each.select("m", "g", (F.col("lower") + F.coalesce("delta", F.lit(0.0)) + F.coalesce("bow", F.lit(0.0))).alias("score"))
+    return score.select("m", "g", F.col("score").cast("float").alias("score"))
 
 
 def looked_up(codes: np.ndarray, known: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -188,7 +187,7 @@ def perplexities(docs: DataFrame, weights: DataFrame, order: int, folds: int) ->
     windows = dealt.groupBy("m", "block").applyInArrow(windows_of, "m int, block int, g string").repartition(partitions, "m", "g")
     # the least block is asked for so that both readers of the exchange want the same columns and share it
     distinct = windows.groupBy("m", "g").agg(F.min("block").alias("least")).where("least >= 0")
-    scores = window_scores(distinct, weights)
+    scores = window_scores(distinct, weights, order)
     back = windows.join(scores, ["m", "g"]).select("m", "block", "g", "score")
 
     def score(texts: pa.Table, found: pa.Table) -> pa.Table:
@@ -222,6 +221,7 @@ def classify(docs: DataFrame, trusted: DataFrame, order: int = 5, quantile: floa
     """
     plain = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     weights = train(gram_counts(trusted.where("text is not null").select("text"), order, folds), order)
+    release(docs.sparkSession)
     scored = written(perplexities(plain, weights, order, folds), "perplexities")
     known = scored.join(trusted.select("doc_id").distinct(), "doc_id", "left_semi").where("perplexity is not null")
     by_lang = known.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("own"))

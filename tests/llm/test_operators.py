@@ -647,3 +647,41 @@ def test_pii_ends_where_the_value_does(text, private):
     found = pii.Pseudonyms(b"k").spans(text)
     assert [text[start:end] for start, end, _, _ in found] == private
     assert all(len(new) == end - start and new != text[start:end] for start, end, _, new in found)
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    """Each row has a result of its own where the operator's docstring says so."""
+    from tokenizers import Tokenizer
+
+    rows = [(1, "one two three four five six", "t")] * 3 + [(2, "one two three four five six", "t"), (3, None, "t"), (3, None, "t"), (4, "x " * 30_000, "t")]
+    docs = spark.createDataFrame([(*r, 7, 8) for r in rows], "doc_id long, text string, n_tokens string, fp int, id int")
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    got = token_counts.token_counts(docs, P.path("byte_bpe_50k.json"))
+    assert sorted((r.doc_id, r.n_tokens) for r in got.collect()) == sorted((d, len(library.encode(t or "", add_special_tokens=False))) for d, t, _ in rows)
+    got = simhash.near_duplicates(docs).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1)] * 3 + [(2, 1), (3, 3), (3, 3), (4, 4)]
+    assert simhash.near_duplicates(empty(docs)).count() == 0 and simhash.similar_documents(empty(docs)).count() == 0
+    assert {(r.doc_id, r.component_id) for r in simhash.similar_documents(docs).collect()} == {(1, 1), (2, 1)}
+    items = spark.createDataFrame([(1, "two three")], "item_id long, text string")
+    got = decontamination.decontaminate(docs, items).collect()  # rows that share a doc_id are counted together
+    assert {(r.doc_id, r.n_items) for r in got} == {(1, 1), (2, 1), (3, 0), (4, 0)}
+    vectors = spark.createDataFrame([(1, [1.0, 2.0], 0)] * 2 + [(2, [2.0, 4.0], 0), (5, None, 0), (5, None, 0)], "vec_id long, embedding array<double>, h1 int")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embeddings.near_duplicates(vectors).collect())
+    assert got == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (5, 0, 5), (5, 0, 5)]
+
+
+def test_simhash_of_a_star_of_near_fingerprints(spark, monkeypatch):
+    """A chain and a ball of fingerprints, whatever the segments; their pairs are never all listed."""
+    rng = random.Random(41)
+    base = rng.getrandbits(64)
+    prints = [base ^ sum(1 << x for x in rng.sample(range(64), rng.randint(0, 4))) for _ in range(120)]
+    for _ in range(20):
+        prints.append(prints[-1] ^ sum(1 << x for x in rng.sample(range(64), 4)))
+    prints += [rng.getrandbits(64) for _ in range(20)]
+    table = spark.createDataFrame([(i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(prints)], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a, **k: table)
+    want = components(len(prints), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 4)
+    for segments in (2, 3, None):
+        got = {r.doc_id: r.component_id for r in simhash.near_duplicates(table.withColumn("text", simhash.F.lit("")), segments=segments).collect()}
+        assert got == dict(enumerate(want)), segments
+    assert simhash.fewest_steps(1000, 4) >= simhash.fewest_steps(10**10, 4) == 2
