@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import retrieval
+
 from ..functions import text as T
 
 
@@ -39,3 +41,11 @@ def auto_anchors(turns: DataFrame, names: DataFrame) -> DataFrame:
     """T-16: (id, name) where a turn's text holds a name as a whole word; words meet names in one equi-join."""
     words = turns.select("id", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9_]+"))).alias("name"))
     return words.join(names.where(F.length("name") >= 3), "name", "left_semi").select("id", "name")
+
+
+def listed_observations(rows: DataFrame, limit: int, vectors: DataFrame | None = None, wanted: list[float] | None = None) -> DataFrame:
+    """Observations (id, source): the newest, or, with a query vector, those whose vectors are nearest, ties by id."""
+    if wanted is None:
+        return rows.orderBy(F.desc("id")).limit(limit).select("id", "source")
+    near = retrieval.knn(vectors.join(rows.select("id"), "id", "left_semi"), "embedding", wanted, limit)
+    return rows.join(near.select("id", "similarity"), "id").select("id", "source", "similarity")

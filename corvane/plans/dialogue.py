@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import dialogue as D
 from ..sources.views import view, with_views
 from .registry import query
+from .retrieval import SIM, vectors, wanted
 
 V = with_views("turns")
 TOK = "CAST((strlen(text) + 3) // 4 AS BIGINT)"
@@ -66,11 +67,11 @@ def auto_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{V}, q AS (SELECT embedding FROM embeddings WHERE vec_id = 0) SELECT t.id, round(list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: CAST(e.embedding[i] AS DOUBLE) * CAST(q.embedding[i] AS DOUBLE))), 4) AS similarity FROM turns t JOIN embeddings e ON e.vec_id = t.file_id, q ORDER BY similarity DESC, t.id LIMIT 20")
 def turn_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vectors have unit length, and a turn's is that of its file."""
-    from ..operators.retrieval import V as vectors
+    from ..functions.vectors import dot
 
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("file_id"), "embedding")
     q = F.array(*[F.lit(float(x)) for x in e.where("file_id = 0").first().embedding])
-    found = turns(spark, sf_dir).join(e, "file_id").select("id", F.round(vectors.dot(F.col("embedding"), q), 4).alias("similarity"))
+    found = turns(spark, sf_dir).join(e, "file_id").select("id", F.round(dot(F.col("embedding"), q), 4).alias("similarity"))
     return found.orderBy(F.desc("similarity"), "id").limit(20)
 
 
@@ -91,4 +92,10 @@ def pending_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id AS id, source FROM documents ORDER BY doc_id DESC LIMIT 50")
 def observations_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D4."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy(F.desc("doc_id")).limit(50).select(F.col("doc_id").alias("id"), "source")
+    return D.listed_observations(view(spark, sf_dir, "observations"), 50)
+
+
+@query(f"SELECT k.id, d.source, k.similarity FROM (SELECT e.vec_id AS id, {SIM} AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.vec_id IN (SELECT doc_id FROM documents) ORDER BY 2 DESC, 1 LIMIT 30) k JOIN documents d ON d.doc_id = k.id")
+def observations_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D4 with a query."""
+    return D.listed_observations(view(spark, sf_dir, "observations"), 30, vectors(spark, sf_dir), wanted(spark, sf_dir))

@@ -371,3 +371,19 @@ def test_stored_index_scores_as_a_scan(spark):
         want = {r.id: r.score for r in retrieval.bm25(docs.where("text is not null").unionByName(docs.where("text is null").withColumn("text", F.lit(""))), terms).collect()} if terms else {}
         assert {r.id: r.score for r in index.bm25(built, terms).collect()} == want, terms
     assert index.stored(spark, "k", docs) is index.stored(spark, "k", docs)
+
+
+def test_imports_resolve_by_stage(spark):
+    files = [(1, "src/auth.py"), (2, "tests/test_auth.py"), (3, "lib/users/index.ts"), (4, "core/mod.rs"), (5, "types/api.d.ts"), (6, "other/src/auth.py"), (7, "noext")]
+    asked = [(9, "./auth", 1), (9, " ../src/auth ", 6), (6, "src/auth", 1), (9, "../lib/users", 3), (9, "app::core::thing", 4), (9, "api", 5), (9, "res://src/auth.py", 1), (9, "res://auth.py", -1), (9, "test_auth", 2), (2, "test_auth", -1), (9, "a", -1), (9, "", -1), (9, "pkg.auth.Login", 1), (9, "noext", -1)]
+    spec = spark.createDataFrame([a[:2] for a in asked], "from_file long, specifier string")
+    got = {(r.from_file, r.specifier): r.target for r in resolve.resolved_imports(spec, spark.createDataFrame(files, "id long, path string")).collect()}
+    assert got == {a[:2]: a[2] for a in asked}
+
+
+def test_declarations_against_what_is_observed(spark):
+    schema = "id string, name string, context string, contracts array<string>"
+    observed = spark.createDataFrame([("a", "pay", "x", ["c", "d"]), ("b", "pay", None, ["c"]), ("c", "lone", "x", []), ("d", "bare", "x", [])], schema)
+    declared = spark.createDataFrame([("1", "pay", "x", ["c"]), ("2", "pay", "y", ["c"]), ("3", "gone", "", ["c"]), ("4", "bare", "", [])], schema)
+    got = {r.id: (r.status, r.declaration, r.score) for r in capability.declaration_drift(observed, declared).collect()}
+    assert got == {"a": ("matched", "1", 0.8), "b": ("ambiguous_match", None, None), "c": ("observed_without_declaration", None, None), "d": ("matched", "4", 0.6), "3": ("declaration_without_observed", None, None)}
