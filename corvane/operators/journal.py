@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def folded(events: DataFrame) -> DataFrame:
     """T-4: (stream, entity, sequence, digest) of live entities: the last event of each decides, a delete removes. Combines before its one shuffle."""
@@ -76,3 +78,46 @@ def handoff_states(events: DataFrame) -> DataFrame:
 def first_of_key(rows: DataFrame, key: str, order: str) -> DataFrame:
     """T-14: an idempotent create: of the rows with one key the first stays."""
     return rows.groupBy(key).agg(F.min_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
+
+
+def section_digests(sections: dict[str, DataFrame]) -> DataFrame:
+    """A10: (section, digest) of each table, and of all of them together under the name ''.
+
+    A row is the SHA-256 of its length-prefixed values in text form, null as ''. Rows go to buckets by the first four
+    digits of that, a bucket is the hash of its rows in order and a section that of its buckets, so the digest doesn't
+    depend on how rows lie and no task holds more than a bucket or 65,536 of them. Repeated rows count.
+    """
+    rows = None
+    for name, table in sections.items():
+        values = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in table.columns]
+        each = table.select(F.lit(name).alias("section"), T.canonical_fingerprint(*values).alias("h"))
+        rows = each if rows is None else rows.unionByName(each)
+    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), ","), 256)
+    buckets = rows.groupBy("section", F.substring("h", 1, 4).alias("bucket")).agg(joined(F.col("h")).alias("d"))
+    digests = buckets.groupBy("section").agg(joined(F.concat("bucket", "d")).alias("digest"))
+    whole = digests.agg(joined(F.concat_ws(":", "section", "digest")).alias("digest")).select(F.lit("").alias("section"), "digest")
+    return digests.unionByName(whole)
+
+
+def ingested(events: DataFrame, bindings: DataFrame, known: DataFrame) -> DataFrame:
+    """T-9: (event_id, status) of remote events (event_id, stream, repository): quarantined where ``bindings`` (stream,
+    repository) don't bind the stream to that repository, duplicate where ``known`` (event_id) has it, else accepted."""
+    bound = bindings.distinct().withColumn("bound", F.lit(True))
+    seen = known.select("event_id").distinct().withColumn("seen", F.lit(True))
+    both = events.join(bound, ["stream", "repository"], "left").join(seen, "event_id", "left")
+    return both.select("event_id", F.when(F.col("bound").isNull(), "quarantined").when(F.col("seen"), "duplicate").otherwise("accepted").alias("status"))
+
+
+def claimed(pending: DataFrame, attempts: DataFrame, most: int = 3) -> DataFrame:
+    """T-12: (batch, status, attempt, lines) of spooled batches: ``pending`` (batch, seq, line), ``attempts`` (batch, attempts).
+
+    A batch that was tried ``most`` times is quarantined. Others are claimed for one attempt more, with each line once,
+    in the order of its first place; blank lines don't count, and a batch without others is acknowledged.
+    """
+    first = pending.where(F.coalesce("line", F.lit("")) != "").groupBy("batch", "line").agg(F.min("seq").alias("seq"))
+    lines = first.groupBy("batch").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"]).alias("lines"))
+    tried = F.coalesce("attempts", F.lit(0))
+    status = F.when(tried >= most, "quarantined").when(F.col("lines").isNull(), "acknowledged").otherwise("claimed")
+    each = pending.select("batch").distinct().join(attempts, "batch", "left").join(lines, "batch", "left").withColumn("status", status)
+    none = F.array().cast("array<string>")
+    return each.select("batch", "status", F.when(F.col("status") == "claimed", tried + 1).otherwise(0).alias("attempt"), F.when(F.col("status") == "claimed", F.col("lines")).otherwise(none).alias("lines"))

@@ -69,8 +69,18 @@ def idempotent_create(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 'quarantined' WHEN event_id % 4 = 0 THEN 'duplicate' ELSE 'accepted' END AS status FROM events")
 def remote_ingest_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T-9, T-12: events whose binding is wrong are set aside, those already there are duplicates."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
-    known = e.where("event_id % 4 = 0").select("event_id", F.lit(True).alias("known"))
-    j = e.join(known, "event_id", "left")
-    return j.select("event_id", F.when(F.col("event_id") % 9 == 0, "quarantined").when(F.col("known"), "duplicate").otherwise("accepted").alias("status"))
+    """T-9: every ninth event names another repository than its stream's; every fourth is there already."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    repository = F.when(F.col("event_id") % 9 == 0, F.col("user_id") + 1).otherwise(F.col("user_id"))
+    events = e.select("event_id", F.col("user_id").alias("stream"), repository.alias("repository"))
+    return J.ingested(events, e.select(F.col("user_id").alias("stream"), F.col("user_id").alias("repository")), e.where("event_id % 4 = 0").select("event_id"))
+
+
+@query("WITH f AS (SELECT user_id, event_type, min(event_id) AS seq FROM events WHERE event_type <> 'view' AND user_id % 6 > 0 GROUP BY 1, 2), l AS (SELECT user_id, string_agg(event_type, ',' ORDER BY seq) AS lines FROM f GROUP BY 1) SELECT b.user_id AS batch, CASE WHEN b.user_id % 5 >= 3 THEN 'quarantined' WHEN lines IS NULL THEN 'acknowledged' ELSE 'claimed' END AS status, CAST(CASE WHEN b.user_id % 5 >= 3 OR lines IS NULL THEN 0 ELSE b.user_id % 5 + 1 END AS INTEGER) AS attempt, CASE WHEN b.user_id % 5 >= 3 OR lines IS NULL THEN '' ELSE lines END AS lines FROM (SELECT DISTINCT user_id FROM events) b LEFT JOIN l USING (user_id)")
+def pending_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T-12: a user's events are a batch's lines; views, and all of every sixth user's, are blank."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    line = F.when((F.col("event_type") == "view") | (F.col("user_id") % 6 == 0), "").otherwise(F.col("event_type"))
+    pending = e.select(F.col("user_id").alias("batch"), F.col("event_id").alias("seq"), line.alias("line"))
+    attempts = e.select(F.col("user_id").alias("batch"), (F.col("user_id") % 5).cast("int").alias("attempts")).distinct()
+    return J.claimed(pending, attempts).withColumn("lines", F.array_join("lines", ","))

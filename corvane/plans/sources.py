@@ -12,8 +12,10 @@ from ..functions import code
 from ..functions import text as T
 from ..operators import contracts as K
 from ..operators import evidence as E
+from ..operators import journal as J
 from ..operators import kinds, logs, pack, ranking
 from ..sources.files import diff_hunks
+from ..sources.views import view, with_views
 from ..storage import new_path
 from .registry import query
 
@@ -63,14 +65,17 @@ def stated(*rows: str) -> str:
     return " UNION ALL ".join(f"SELECT doc_id AS file, {r}" for r in rows)
 
 
-@query(stated(
+ROUTES_SQL = stated(
     f"'express' AS framework, 'GET' AS method, concat('/d', {N}) AS path FROM documents WHERE doc_id % 10 = 0",
     f"'express', 'POST', concat('/d', {N}, '/items') FROM documents WHERE doc_id % 10 = 0",
     "'express', 'USE', '/static' FROM documents WHERE doc_id % 10 = 0",
     f"'flask', 'ANY', concat('/p', {N}) FROM documents WHERE doc_id % 10 = 2",
     f"'fastapi', 'PUT', concat('/q', {N}) FROM documents WHERE doc_id % 10 = 2",
     f"'nextjs', 'ANY', concat('/d', {N}) FROM documents WHERE doc_id % 20 = 0",
-))
+)
+
+
+@query(ROUTES_SQL)
 def route_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K10."""
     return K.route_rows(sources(spark, sf_dir))
@@ -273,3 +278,27 @@ def symbol_capsule(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("query"), F.explode(F.sequence(F.lit(1), F.lit(9))).alias("rank"), (F.lit(720) + F.col("o_orderkey") % 3 * 60).alias("budget"))
     role = F.when(F.col("rank") <= 2, "pivot").when(F.col("rank") <= 5, "caller").otherwise("support")
     return pack.symbol_capsule(each.select("query", "rank", "budget", role.alias("role"), F.lit(300).alias("body_tokens"), F.lit(40).alias("signature_tokens"), F.lit(60).alias("skeleton_tokens")))
+
+
+SECTIONS = {
+    "capability_evidence": ("id", "context", "part"),
+    "edge": ("src", "dst", "kind"),
+    "embedding": ("vec_id", "label"),
+    "files": ("path", "content"),
+    "route": ("method", "path", "file", "framework"),
+    "symbols": ("file_id", "kind", "name", "signature"),
+}
+SECTION_TABLES = {"capability_evidence": "capabilities", "edge": "edges", "embedding": "embeddings", "files": "files", "symbols": "symbols", "route": "routes"}
+
+
+def section_sql(name: str) -> str:
+    values = ", ".join(f"strlen(coalesce(CAST({c} AS VARCHAR), '')), ':', coalesce(CAST({c} AS VARCHAR), ''), '|'" for c in SECTIONS[name])
+    return f"SELECT '{name}' AS section, sha256(concat({values})) AS h FROM {SECTION_TABLES[name]}"
+
+
+@query(f"{with_views('files', 'symbols', 'edges', 'capabilities')}, routes AS ({ROUTES_SQL}), r AS ({' UNION ALL '.join(map(section_sql, SECTIONS))}), b AS (SELECT section, left(h, 4) AS bucket, sha256(string_agg(h, ',' ORDER BY h)) AS d FROM r GROUP BY 1, 2), s AS (SELECT section, sha256(string_agg(concat(bucket, d), ',' ORDER BY concat(bucket, d))) AS digest FROM b GROUP BY 1) SELECT section, digest FROM s UNION ALL SELECT '', sha256(string_agg(concat(section, ':', digest), ',' ORDER BY concat(section, ':', digest))) FROM s")
+def manifest_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10: six sections of what an index holds."""
+    tables = {n: view(spark, sf_dir, SECTION_TABLES[n]) for n in ("capability_evidence", "edge", "files", "symbols")}
+    tables |= {"embedding": spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "route": K.route_rows(sources(spark, sf_dir))}
+    return J.section_digests({n: tables[n].select(*SECTIONS[n]) for n in SECTIONS})

@@ -387,3 +387,22 @@ def test_declarations_against_what_is_observed(spark):
     declared = spark.createDataFrame([("1", "pay", "x", ["c"]), ("2", "pay", "y", ["c"]), ("3", "gone", "", ["c"]), ("4", "bare", "", [])], schema)
     got = {r.id: (r.status, r.declaration, r.score) for r in capability.declaration_drift(observed, declared).collect()}
     assert got == {"a": ("matched", "1", 0.8), "b": ("ambiguous_match", None, None), "c": ("observed_without_declaration", None, None), "d": ("matched", "4", 0.6), "3": ("declaration_without_observed", None, None)}
+
+
+def test_section_digests_see_every_row(spark):
+    def of(rows, more=()):
+        table = spark.createDataFrame(rows, "a long, b string").repartition(3)
+        return {r.section: r.digest for r in journal.section_digests({"x": table, "y": spark.createDataFrame([(1, *more)] if more else [(1, "z")], "a long, b string")}).collect()}
+
+    rows = [(i, f"v{i}") for i in range(50)] + [(7, None)]
+    first = of(rows)
+    assert set(first) == {"x", "y", ""} and first == of(rows[::-1])
+    for other in (rows[1:], [*rows, rows[0]], [(0, "w"), *rows[1:]]):
+        changed = of(other)
+        assert changed["x"] != first["x"] and changed["y"] == first["y"] and changed[""] != first[""]
+
+
+def test_pending_writes(spark):
+    pending = [(1, 1, "a"), (1, 2, ""), (1, 3, "b"), (1, 4, "a"), (2, 1, ""), (3, 1, "c"), (4, 1, "d")]
+    got = journal.claimed(spark.createDataFrame(pending, "batch long, seq long, line string"), spark.createDataFrame([(1, 2), (3, 3)], "batch long, attempts int"))
+    assert {r.batch: (r.status, r.attempt, r.lines) for r in got.collect()} == {1: ("claimed", 3, ["a", "b"]), 2: ("acknowledged", 0, []), 3: ("quarantined", 0, []), 4: ("claimed", 1, ["d"])}
