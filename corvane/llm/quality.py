@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +17,9 @@ from .common import release, text_runs, written
 PAD, START, END, OTHER = "\x00", "\x02", "\x03", "\x1a"
 RESERVED = re.compile(f"[{PAD}{START}{END}]")
 #: Bytes of text that a worker takes apart at once, and of a block whose n-grams are looked up together.
-RUN_BYTES, BLOCK_BYTES = 4_000_000, 128_000_000
+RUN_BYTES, BLOCK_BYTES = 4_000_000, 96_000_000
+#: A block's windows as they leave it.
+WINDOWS = pa.schema([pa.field("m", pa.int32(), False), pa.field("block", pa.int32(), False), pa.field("g", pa.string(), False)])
 
 
 class Symbols:
@@ -177,27 +180,24 @@ def perplexities(docs: DataFrame, weights: DataFrame, order: int, folds: int) ->
     dealt = rows.select("*", fold_of(F.col("text"), folds).alias("m"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")).repartition(partitions, "m", "block")
 
     def windows_of(key: tuple, table: pa.Table) -> pa.Table:
-        found: set[str] = set()
-        for chunk in table.column("text").chunks:
-            for run in symbol_runs(chunk, order):
-                found.update(run.strings(np.unique(run.codes)).to_pylist())
-        size = len(found)
-        return pa.table({"m": pa.array([key[0].as_py()] * size, pa.int32()), "block": pa.array([key[1].as_py()] * size, pa.int32()), "g": pa.array(list(found), pa.string())})
+        runs = [run.strings(np.unique(run.codes)) for chunk in table.column("text").chunks for run in symbol_runs(chunk, order)]
+        found = pa.chunked_array(runs, pa.string()).unique()
+        return pa.Table.from_arrays([pa.array(np.full(len(found), key[k].as_py(), np.int32)) for k in (0, 1)] + [found], schema=WINDOWS)
 
-    windows = dealt.groupBy("m", "block").applyInArrow(windows_of, "m int, block int, g string").repartition(partitions, "m", "g")
+    # columns that are never null keep the optimiser from adding filters to some readers of the exchange and not to others
+    windows = dealt.groupBy("m", "block").applyInArrow(windows_of, "m int NOT NULL, block int NOT NULL, g string NOT NULL").repartition(partitions, "m", "g")
     # the least block is asked for so that both readers of the exchange want the same columns and share it
     distinct = windows.groupBy("m", "g").agg(F.min("block").alias("least")).where("least >= 0")
     scores = window_scores(distinct, weights, order)
     back = windows.join(scores, ["m", "g"]).select("m", "block", "g", "score")
 
     def score(texts: pa.Table, found: pa.Table) -> pa.Table:
-        names, values = found.column("g").to_pylist(), found.column("score").to_numpy()
-        score_of = dict(zip(names, values.tolist()))
+        names, values = found.column("g").combine_chunks(), found.column("score").to_numpy()
         sums, symbols = [np.zeros(0)], [np.zeros(0, np.int64)]
         for chunk in texts.column("text").chunks:
             for run in symbol_runs(chunk, order):
                 known = np.unique(run.codes)
-                own = np.array([score_of[g] for g in run.strings(known).to_pylist()], np.float64)
+                own = values[pc.index_in(run.strings(known), value_set=names).to_numpy()].astype(np.float64)
                 starts = np.concatenate([[0], np.cumsum(run.sizes)])[:-1]
                 sums.append(np.add.reduceat(looked_up(run.codes, known, own), starts))
                 symbols.append(np.where(run.sizes > 1, run.sizes, 0))  # a text without a word has its end alone
