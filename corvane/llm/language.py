@@ -18,7 +18,7 @@ from .common import text_runs
 
 UNKNOWN = "und"
 #: Bytes of text that a worker judges at once.
-RUN_BYTES = 12_000_000
+RUN_BYTES = 4_000_000
 
 
 def words_of(chunk: str) -> list[str]:

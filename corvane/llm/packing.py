@@ -25,7 +25,7 @@ from .token_counts import ODD_SPACE, byte_alphabet
 #: The pre-tokenizer's pattern of the word-end vocabulary (fixed value).
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Bytes of text that a worker tokenizes at once.
-RUN_BYTES = 16_000_000
+RUN_BYTES = 4_000_000
 
 
 class WordIds:

@@ -22,7 +22,7 @@ ROUNDS = 10
 #: The session's setting that holds the key.
 KEY_SETTING = "spark.corvane.pii.key"
 #: Bytes of text that a worker goes through at once.
-RUN_BYTES = 8_000_000
+RUN_BYTES = 4_000_000
 #: The calling codes of one and of two digits; all others have three.
 SHORT_CODES = {"1", "7"}
 TWO_DIGIT_CODES = {

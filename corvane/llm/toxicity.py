@@ -15,7 +15,7 @@ from .common import text_runs, written
 from .language import words_of
 
 #: Bytes of text that a worker judges at once.
-RUN_BYTES = 16_000_000
+RUN_BYTES = 6_000_000
 
 
 @dataclass
