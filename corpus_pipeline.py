@@ -22,7 +22,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each group of near duplicates: five-word shingles, similarity 0.8.
+    """Keeps the document of the smallest doc_id of each group of near duplicates: SimHash fingerprints over five-word shingles, then similarity 0.8.
 
     Null and blank texts are copies of one another. Rows that share a doc_id stay or go together."""
     found = simhash.similar_documents(docs, shingle=5, similarity=0.8)
@@ -57,7 +57,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: Tokenization, min-hashes and pseudonyms aren't expressible in SQL; tests/llm/test_pipeline.py holds run() against brute force.
+#: Tokenization, fingerprints and pseudonyms aren't expressible in SQL; tests/llm/test_pipeline.py holds run() against brute force.
 ORACLE_SQL = None
 
 

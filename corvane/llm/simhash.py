@@ -12,13 +12,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, connected_components, group_runs, within, written
+from .common import ASCII_LOWER, connected_components, group_runs, release, within, written
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 #: Shingles whose bits are summed at once; bounds a worker's memory for very long texts.
 BLOCK = 65_536
 #: Shingles of a block of a bucket (8 MB); one task compares two blocks at a time.
 SET_BLOCK = 1_000_000
+#: Sets up to so many shingles have twice the fingerprints; rows of a slot that are all held against one another.
+FEW, SLOT = 8, 256
 
 
 def words_and_bounds(text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -149,25 +151,33 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, segmen
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 6, small: int = 500_000) -> DataFrame:
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seeds: int = 24, distance: int = 40, small: int = 500_000) -> DataFrame:
     """(doc_id, component_id) of documents whose sets of word shingles have a Jaccard similarity of ``similarity`` or more.
 
     Documents of equal shingle sets (by 128 bits of hash) are linked to the first of them, which alone is searched
-    with. Candidates are those that share a band of min-hashes: a pair of similarity s meets with probability
-    1 - (1 - s**rows)**bands, 0.9977 at 0.8 and more above. All are verified on the sets of whole texts. The first and
-    the last document of each bucket are held against its others; then buckets whose documents are still in different
-    components are compared within tasks, which return spanning forests and never the pairs of a group. Ids under
-    ``small`` rows are broadcast, more are shuffled. Only documents with a partner come back.
+    with. Multi-index hashing over ``seeds`` SimHash fingerprints of a set: each is cut into segments of 16 bits, and
+    documents that share any segment are candidates if 128 bits, those of the first two fingerprints, differ by
+    ``distance`` at most. One bit of two sets of similarity 0.8 differs with probability 0.152 where sets are large,
+    so they meet with probability 0.9992; sets of few shingles have twice the seeds, as their bits differ oftener. All
+    are verified on the sets of whole texts. The first and the last document of each group of candidates are held
+    against its others; then groups whose documents are still in different components are compared within tasks,
+    which return spanning forests and never the pairs of a group. Ids under ``small`` rows are broadcast, more are
+    shuffled. Only documents with a partner come back.
 
     Null and blank texts have one empty shingle each, so they are copies of one another. Rows that share a doc_id are
     one document with any of their texts; an empty table gives an empty one; further columns aren't read.
     """
-    signed = written(docs.select("doc_id", "text").mapInArrow(lambda batches: signatures(batches, shingle, bands, rows), "doc_id long, high long, low long, n int, keys array<long>"), "signatures")
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    signed = written(docs.select("doc_id", "text").mapInArrow(lambda batches: signatures(batches, shingle, seeds), "doc_id long, high long, low long, n int, fps array<long>"), "signatures")
     first = written(signed.groupBy("high", "low").agg(F.min("doc_id").alias("first")), "first")
     same = written(signed.select("doc_id", "high", "low").join(first, ["high", "low"]).where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")), "same")
-    every = signed.join(same.select(F.col("b").alias("doc_id")), "doc_id", "left_anti").select("doc_id", "n", F.explode("keys").alias("key"))
-    buckets = every.groupBy("key").agg(F.count("*").alias("size"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "low", "high")
-    members = written(every.join(buckets, "key"), "members")
+    keys = F.expr("explode(flatten(transform(fps, (f, k) -> transform(array(0, 1, 2, 3), s -> shiftleft(cast(4 * k + s as bigint), 16) | (shiftrightunsigned(f, 16 * s) & 65535L)))))")
+    every = signed.join(same.select(F.col("b").alias("doc_id")), "doc_id", "left_anti").select(keys.alias("key"), "doc_id", "n", F.col("fps")[0].alias("fp"), F.col("fps")[1].alias("fp1"))
+    slots = every.repartition(partitions, "key").sortWithinPartitions("key", "doc_id")
+    # the same group met in several segments is kept once
+    members = written(slots.mapInArrow(lambda batches: near_groups(batches, distance), "key long, low long, high long, doc_id long, n int").distinct(), "members")
+    del every, slots
+    release(docs.sparkSession)
 
     def sets_of(ids: DataFrame) -> DataFrame:
         texts = within(docs.select("doc_id", "text"), ids, "left_semi", small)
@@ -188,7 +198,6 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     apart = written(known.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")), "apart")
     tiles = apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").cast("long").alias("low"), F.greatest("block", "other").cast("long").alias("high"), "doc_id", "component")
     held = tiles.join(sets.union(sets_of(apart.select("doc_id").distinct().join(sets.select("doc_id"), "doc_id", "left_anti"))), "doc_id").select("key", "low", "high", "doc_id", "component", "shingles")
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = held.repartition(partitions, "key", "low", "high").sortWithinPartitions("key", "low", "high")
     across = dealt.mapInArrow(lambda batches: links_across(batches, similarity), "a long, b long")
     found = connected_components(links.unionByName(written(across.distinct(), "across")))
@@ -241,26 +250,79 @@ def shingle_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
 
-def signatures(batches: Iterator[pa.RecordBatch], shingle: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, high, low, n, keys): two halves of a hash of a text's shingle set, its size, and a key for each band
-    of min-hashes, each the least value of the set under an odd multiplier and an offset of its own."""
+def set_fingerprints(found: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """A SimHash fingerprint for each seed: 64 majority bits over the hashes, each mixed anew with the seed."""
+    n, ones = len(found), np.zeros((8, len(seeds), 8), np.int64)
+    for at in range(0, n, 255):  # a byte of a lane counts one bit, up to 255
+        h = (found[None, at : at + 255] ^ seeds[:, None]) * np.uint64(0xFF51AFD7ED558CCD)
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+        h ^= h >> np.uint64(33)
+        lanes = (h[None] >> np.arange(8, dtype=np.uint64)[:, None, None]) & np.uint64(0x0101010101010101)
+        ones += lanes.sum(axis=2, dtype="<u8").view(np.uint8).reshape(ones.shape)
+    return np.packbits(2 * ones.transpose(1, 2, 0).reshape(-1, 64) > n, axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def signatures(batches: Iterator[pa.RecordBatch], shingle: int, seeds: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, high, low, n, fps): two halves of a hash of a text's shingle set, its size, and the set's fingerprints."""
     import xxhash
 
-    rng = np.random.default_rng(42)
-    factors = rng.integers(0, 1 << 64, bands * rows, np.uint64) | np.uint64(1)
-    offsets = rng.integers(0, 1 << 64, bands * rows, np.uint64)
+    drawn = np.random.default_rng(42).integers(0, 1 << 64, 2 * seeds, np.uint64)
     for batch in batches:
         out = []
         for text in batch.column(1):
             found = shingle_set(text.as_py(), shingle)
-            least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
-            for at in range(0, len(found), 1024):
-                least = np.minimum(least, (factors[:, None] * found[None, at : at + 1024] + offsets[:, None]).min(axis=1))
-            keys = np.array([xxhash.xxh3_64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(bands, rows))], np.uint64)
             halves = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64)
-            out.append((int(halves[0]), int(halves[1]), len(found), keys.view(np.int64)))
+            out.append((int(halves[0]), int(halves[1]), len(found), set_fingerprints(found, drawn if len(found) <= FEW else drawn[:seeds]).view(np.int64)))
         columns = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())))]
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *columns], ["doc_id", "high", "low", "n", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *columns], ["doc_id", "high", "low", "n", "fps"])
+
+
+def near_groups(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
+    """(key, low, high, doc_id, n): the documents of a slot (rows of one key: key, doc_id, n, fp, fp1) that chains of
+    ``distance`` bits at most connect, a key for each such group by its members alone, and its least and greatest doc_id."""
+    for slots, bounds in group_runs(batches, 1):
+        ids, n = slots.column(1).to_numpy(), slots.column(2).to_numpy()
+        fp, fp1 = (slots.column(k).to_numpy().view(np.uint64) for k in (3, 4))
+        sizes, starts = np.diff(bounds), np.asarray(bounds[:-1])
+        ends = np.repeat(starts + sizes, sizes)
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        left, step = np.nonzero(np.repeat(sizes <= SLOT, sizes))[0], 1
+        while len(left := left[left + step < ends[left]]):
+            near = np.bitwise_count(fp[left] ^ fp[left + step]) + np.bitwise_count(fp1[left] ^ fp1[left + step]) <= distance
+            out_a.append(left[near])
+            out_b.append(left[near] + step)
+            step += 1
+        for low in starts[sizes > SLOT].tolist():
+            rest, reached = np.arange(low, ends[low]), []
+            while len(rest):  # what is reached is held against what isn't, so a group of near copies is gone through once
+                if not reached:
+                    reached, rest = [rest[0]], rest[1:]
+                at = reached.pop()
+                near = np.bitwise_count(fp[rest] ^ fp[at]) + np.bitwise_count(fp1[rest] ^ fp1[at]) <= distance
+                out_a.append(np.full(int(near.sum()), at))
+                out_b.append(rest[near])
+                reached += rest[near].tolist()
+                rest = rest[~near]
+        a, b, label = np.concatenate(out_a), np.concatenate(out_b), np.arange(len(ids))
+        while (differ := label[a] != label[b]).any():
+            a, b = a[differ], b[differ]
+            least = np.minimum(label[a], label[b])
+            np.minimum.at(label, label[a], least)
+            np.minimum.at(label, label[b], least)
+            while (label[label] != label).any():
+                label = label[label]
+        rows = np.nonzero(np.bincount(label, minlength=len(ids))[label] > 1)[0]
+        rows = rows[np.argsort(label[rows], kind="stable")]
+        if not len(rows):
+            continue
+        heads = np.nonzero(np.diff(label[rows], prepend=-1))[0]
+        lengths = np.diff([*heads, len(rows)])
+        mixed = (ids[rows].view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xFF51AFD7ED558CCD)
+        mixed = (mixed ^ (mixed >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+        of = lambda function, values: np.repeat(function.reduceat(values, heads), lengths)
+        low, high = of(np.minimum, ids[rows]), of(np.maximum, ids[rows])
+        columns = [of(np.add, mixed ^ (mixed >> np.uint64(33))).view(np.int64), low, high, ids[rows], n[rows]]
+        yield pa.RecordBatch.from_arrays([pa.array(c[low < high]) for c in columns], ["key", "low", "high", "doc_id", "n"])
 
 
 def as_hex(fp: Column) -> Column:

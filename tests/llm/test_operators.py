@@ -216,6 +216,69 @@ def test_similar_documents_meet_at_the_threshold(spark):
     assert len(found) >= 0.99 * len(rows)
 
 
+def brute_set_fingerprint(hashes, seed):
+    """64 majority bits, one by one."""
+    mask, counts = (1 << 64) - 1, [0] * 64
+    for x in hashes:
+        h = ((x ^ seed) * 0xFF51AFD7ED558CCD) & mask
+        h = ((h ^ (h >> 33)) * 0xC4CEB9FE1A85EC53) & mask
+        h ^= h >> 33
+        counts = [c + (h >> b & 1) for b, c in enumerate(counts)]
+    return sum(1 << b for b in range(64) if 2 * counts[b] > len(hashes))
+
+
+@pytest.mark.parametrize("distance", [-1, 12, 40])
+def test_similar_documents_come_from_simhash(spark, distance):
+    """Candidates are pairs that share 16 bits of some SimHash fingerprint, and differ by ``distance`` of 128 at most."""
+    rng = random.Random(61)
+    texts = []
+    for size in [4, 6, 9, 12, 30, 60, 300, 600] * 4:
+        words = [f"w{rng.randrange(10**9)}" for _ in range(size)]
+        texts += [" ".join(words), " ".join(words + ["more"] * (1 + size // 40)), " ".join(words[: -max(1, size // 12)] + ["end"]), " ".join(words)]
+    sets = [simhash.shingle_set(t, 5).tolist() for t in texts]
+    drawn = np.random.default_rng(42).integers(0, 1 << 64, 48, np.uint64).tolist()
+    prints = [[brute_set_fingerprint(s, seed) for seed in drawn[: 48 if len(s) <= 8 else 24]] for s in sets]
+
+    def linked(i, j):
+        common = len(set(sets[i]) & set(sets[j]))
+        meet = any((a ^ b) >> (16 * k) & 0xFFFF == 0 for a, b in zip(prints[i], prints[j]) for k in range(4))
+        close = sum((prints[i][k] ^ prints[j][k]).bit_count() for k in (0, 1)) <= distance
+        return sets[i] == sets[j] or (meet and close and common >= 0.8 * (len(sets[i]) + len(sets[j]) - common))
+
+    want = components(len(texts), linked)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs, distance=distance).collect()}
+    assert {i: got.get(i, i) for i in range(len(texts))} == dict(enumerate(want))
+
+
+def test_groups_of_a_slot():
+    """Slots of few and of very many rows, over several batches, against plain loops."""
+    import pyarrow as pa
+
+    rng = random.Random(62)
+    rows = []
+    for key, size in enumerate([1, 2, 7, 40, 256, 257, 700]):
+        bases = [rng.getrandbits(128) for _ in range(1 + size // 4)]
+        rows += [(key, 1000 * key + i, i, rng.choice(bases) ^ sum(1 << b for b in rng.sample(range(128), rng.randint(0, 8)))) for i in range(size)]
+    halves = lambda x: [h - (1 << 64) if h >> 63 else h for h in (x >> 64, x & ((1 << 64) - 1))]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("key", "doc_id", "n", "fp", "fp1"), (k, d, n, *halves(x)))) for k, d, n, x in rows])
+    got = [r for out in simhash.near_groups((batch.slice(at, 100) for at in range(0, len(rows), 100)), 12) for r in out.to_pylist()]
+    root = components(len(rows), lambda i, j: rows[i][0] == rows[j][0] and (rows[i][3] ^ rows[j][3]).bit_count() <= 12)
+    groups = {}
+    for i, r in enumerate(root):
+        groups.setdefault(r, []).append(rows[i][1])
+    want = {(min(g), max(g), d) for g in groups.values() for d in g if len(g) > 1}
+    assert {(r["low"], r["high"], r["doc_id"]) for r in got} == want and len(got) == len(want)
+    assert len({r["key"] for r in got}) == sum(len(g) > 1 for g in groups.values())
+
+
+def test_short_similar_documents_meet(spark):
+    """Pairs of four and five shingles, whose fingerprints differ by more bits than those of long texts."""
+    rows = [(2 * k + side, " ".join(f"w{k}x{i}" for i in range(8 + side))) for k in range(300) for side in (0, 1)]
+    found = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.doc_id // 2 == r.component_id // 2 for r in found) and len(found) >= 0.99 * len(rows)
+
+
 def brute_language(rows, text, longest=5):
     """The dealt rule, word by word: known words, then ever shorter n-grams, over uncut counts of ``rows``."""
     languages = sorted({lang for t, lang in rows if t is not None and lang is not None})
