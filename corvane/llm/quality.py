@@ -18,6 +18,8 @@ PAD, START, END, OTHER = "\x00", "\x02", "\x03", "\x1a"
 RESERVED = re.compile(f"[{PAD}{START}{END}]")
 #: Bytes of text that a worker takes apart at once, and of a block whose n-grams are looked up together.
 RUN_BYTES, BLOCK_BYTES = 4_000_000, 96_000_000
+#: Texts on their way to a block: runs of rows (doc_id, lang, text) in compressed Arrow streams.
+PACKED = pa.schema([pa.field("m", pa.int32(), False), pa.field("block", pa.int32(), False), pa.field("packed", pa.binary(), False)])
 #: A block's windows as they leave it.
 WINDOWS = pa.schema([pa.field("m", pa.int32(), False), pa.field("block", pa.int32(), False), pa.field("g", pa.string(), False)])
 
@@ -167,20 +169,43 @@ def looked_up(codes: np.ndarray, known: np.ndarray, values: np.ndarray) -> np.nd
     return values[at]
 
 
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(m, block, packed) of rows (doc_id, lang, text, m, block): each batch's rows of a block in runs, whole and in order."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in batches:
+        places = np.stack([batch.column(k).to_numpy() for k in (3, 4)], axis=1)
+        for m, block in np.unique(places, axis=0).tolist():
+            rows, low = batch.select([0, 1, 2]).filter(pa.array((places == (m, block)).all(axis=1))), 0
+            for run in text_runs(rows.column(2), RUN_BYTES):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema, options=options) as writer:
+                    writer.write_batch(rows.slice(low, len(run)))
+                low += len(run)
+                yield pa.RecordBatch.from_arrays([pa.array([m], pa.int32()), pa.array([block], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], schema=PACKED)
+
+
+def unpacked(streams: pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
+    """The runs of rows that ``packed`` made, one at a time."""
+    for stream in streams:
+        with pa.ipc.open_stream(stream.as_buffer()) as reader:
+            yield from reader
+
+
 def perplexities(docs: DataFrame, weights: DataFrame, order: int, folds: int) -> DataFrame:
     """(doc_id, lang, symbols, perplexity) of every whole text of ``docs`` (doc_id, text, lang), under the model of its fold.
 
-    Texts are dealt out in blocks once. Each block's different windows meet their scores in a join and come back to
+    Texts are dealt out in blocks once, compressed. Each block's different windows meet their scores in a join and come back to
     the block, so a task holds one block's texts and windows, and the model is nowhere whole.
     """
     rows = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // (BLOCK_BYTES * folds)))
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("*", fold_of(F.col("text"), folds).alias("m"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")).repartition(partitions, "m", "block")
+    placed = rows.select("*", fold_of(F.col("text"), folds).alias("m"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
+    dealt = placed.mapInArrow(packed, "m int NOT NULL, block int NOT NULL, packed binary NOT NULL").repartition(partitions, "m", "block")
 
     def windows_of(key: tuple, table: pa.Table) -> pa.Table:
-        runs = [run.strings(np.unique(run.codes)) for chunk in table.column("text").chunks for run in symbol_runs(chunk, order)]
+        runs = [run.strings(np.unique(run.codes)) for batch in unpacked(table.column("packed")) for run in symbol_runs(batch.column(2), order)]
         found = pa.chunked_array(runs, pa.string()).unique()
         return pa.Table.from_arrays([pa.array(np.full(len(found), key[k].as_py(), np.int32)) for k in (0, 1)] + [found], schema=WINDOWS)
 
@@ -193,15 +218,17 @@ def perplexities(docs: DataFrame, weights: DataFrame, order: int, folds: int) ->
 
     def score(texts: pa.Table, found: pa.Table) -> pa.Table:
         names, values = found.column("g").combine_chunks(), found.column("score").to_numpy()
-        sums, symbols = [np.zeros(0)], [np.zeros(0, np.int64)]
-        for chunk in texts.column("text").chunks:
-            for run in symbol_runs(chunk, order):
+        sums, symbols, named = [np.zeros(0)], [np.zeros(0, np.int64)], []
+        for batch in unpacked(texts.column("packed")):
+            named.append(batch.select([0, 1]))
+            for run in symbol_runs(batch.column(2), order):
                 known = np.unique(run.codes)
                 own = values[pc.index_in(run.strings(known), value_set=names).to_numpy()].astype(np.float64)
                 starts = np.concatenate([[0], np.cumsum(run.sizes)])[:-1]
                 sums.append(np.add.reduceat(looked_up(run.codes, known, own), starts))
                 symbols.append(np.where(run.sizes > 1, run.sizes, 0))  # a text without a word has its end alone
-        return pa.table({"doc_id": texts.column("doc_id"), "lang": texts.column("lang"), "score": pa.array(np.concatenate(sums)), "symbols": pa.array(np.concatenate(symbols))})
+        rows = pa.Table.from_batches(named)
+        return pa.table({"doc_id": rows.column(0), "lang": rows.column(1), "score": pa.array(np.concatenate(sums)), "symbols": pa.array(np.concatenate(symbols))})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     both = dealt.groupBy("m", "block").cogroup(back.groupBy("m", "block")).applyInArrow(score, f"doc_id {kind}, lang string, score double, symbols long")

@@ -605,6 +605,25 @@ def test_quality_perplexity(spark, monkeypatch, block, order):
         assert r.perplexity == (None if want is None else pytest.approx(want, rel=1e-5)), r.doc_id
 
 
+def test_texts_are_dealt_out_compressed(monkeypatch):
+    """Every row comes back in its block, whole and in order, from far fewer bytes."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(quality, "RUN_BYTES", 20_000)
+    rng = random.Random(63)
+    words = ["".join(rng.choice("abcdefgh\u00e9") for _ in range(6)) for _ in range(500)]
+    rows = [{"doc_id": i // 2, "lang": rng.choice(["x", None]), "text": " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 50, 2000]))), "m": rng.randrange(2), "block": rng.randrange(3)} for i in range(200)]
+    kind = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("text", pa.string()), ("m", pa.int32()), ("block", pa.int32())])
+    batch = pa.RecordBatch.from_pylist(rows, kind)
+    out = pa.Table.from_batches(list(quality.packed(iter([batch.slice(0, 90), batch.slice(90, 0), batch.slice(90)]))), quality.PACKED)
+    for m in range(2):
+        for block in range(3):
+            mine = [r for r in out.to_pylist() if (r["m"], r["block"]) == (m, block)]
+            got = [r for part in quality.unpacked(pa.chunked_array([[r["packed"] for r in mine]], pa.binary())) for r in part.to_pylist()]
+            assert got == [{k: r[k] for k in ("doc_id", "lang", "text")} for r in rows if (r["m"], r["block"]) == (m, block)]
+    assert sum(len(r["packed"]) for r in out.to_pylist()) < 0.6 * sum(len(r["text"].encode()) for r in rows)
+
+
 def test_quality_against_brute_force(spark):
     """Held-out folds, thresholds by language with ties, null languages, and what is kept."""
     rng = random.Random(9)
