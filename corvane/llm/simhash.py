@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, connected_components, group_runs, release, within, written
@@ -21,6 +21,8 @@ BLOCK = 65_536
 SET_BLOCK = 1_000_000
 #: Sets up to so many shingles have twice the fingerprints; rows of a slot that are all held against one another.
 FEW, SLOT = 8, 256
+#: How often documents and their groups name the least of one another to be gathered.
+ROUNDS = 2
 
 
 def words_and_bounds(text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -161,7 +163,8 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     so they meet with probability 0.9992; sets of few shingles have twice the seeds, as their bits differ oftener. All
     are verified on the sets of whole texts. The first and the last document of each group of candidates are held
     against its others; then groups whose documents are still in different components are compared within tasks,
-    which return spanning forests and never the pairs of a group. Ids under ``small`` rows are broadcast, more are
+    which return spanning forests and never the pairs of a group. Groups that share documents over several slots are
+    gathered first, so a document is held once for each gathering and not for each slot. Ids under ``small`` rows are broadcast, more are
     shuffled. Only documents with a partner come back.
 
     Null and blank texts have one empty shingle each, so they are copies of one another. Rows that share a doc_id are
@@ -174,36 +177,51 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     keys = F.expr("explode(flatten(transform(fps, (f, k) -> transform(array(0, 1, 2, 3), s -> shiftleft(cast(4 * k + s as bigint), 16) | (shiftrightunsigned(f, 16 * s) & 65535L)))))")
     every = signed.join(same.select(F.col("b").alias("doc_id")), "doc_id", "left_anti").select(keys.alias("key"), "doc_id", "n", F.col("fps")[0].alias("fp"), F.col("fps")[1].alias("fp1"))
     slots = every.repartition(partitions, "key").sortWithinPartitions("key", "doc_id")
-    # the same group met in several segments is kept once
-    members = written(slots.mapInArrow(lambda batches: near_groups(batches, distance), "key long, low long, high long, doc_id long, n int").distinct(), "members")
+    groups = written(slots.mapInArrow(lambda batches: near_groups(batches, distance), "key long, low long, high long, doc_id long, n int"), "groups")
     del every, slots
     release(docs.sparkSession)
+    members = written(gathered(groups), "members")
 
-    def sets_of(ids: DataFrame) -> DataFrame:
-        texts = within(docs.select("doc_id", "text"), ids, "left_semi", small)
-        return written(texts.mapInArrow(lambda batches: shingle_sets(batches, shingle), "doc_id long, shingles array<long>"), "shingles")
-
-    stars = members.select("doc_id", F.explode(F.array("low", "high")).alias("star")).where("doc_id <> star")
+    ends = members.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    stars = members.join(ends, "key").select("doc_id", F.explode(F.array("low", "high")).alias("star")).where("doc_id <> star")
     pairs = written(stars.select(F.least("star", "doc_id").alias("a"), F.greatest("star", "doc_id").alias("b")).distinct(), "pairs")
-    sets = sets_of(pairs.select(F.col("a").alias("doc_id")).distinct().unionByName(pairs.select(F.col("b").alias("doc_id")).distinct()).distinct())
+    texts = within(docs.select("doc_id", "text"), members.select("doc_id").distinct(), "left_semi", small)
+    sets = written(texts.mapInArrow(lambda batches: shingle_sets(batches, shingle), "doc_id long, shingles array<long>"), "shingles")
     x, y = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     near = pairs.join(x, "a").join(y, "b").where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
     links = written(same.unionByName(near), "links")
     so_far = connected_components(links)
     known = written(members.join(so_far, members["doc_id"] == so_far["node"], "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component")), "known")
-    mixed = known.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.sum("n").alias("total")).where("least <> most")
-    # a bucket is dealt out as pairs of blocks of about SET_BLOCK shingles, so neither a tile nor a task grows with it
-    blocks = F.ceil(F.col("total") / SET_BLOCK).cast("int")
-    apart = written(known.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")), "apart")
-    tiles = apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").cast("long").alias("low"), F.greatest("block", "other").cast("long").alias("high"), "doc_id", "component")
-    held = tiles.join(sets.union(sets_of(apart.select("doc_id").distinct().join(sets.select("doc_id"), "doc_id", "left_anti"))), "doc_id").select("key", "low", "high", "doc_id", "component", "shingles")
+    # groups of three documents at most have had all their pairs verified
+    weights = known.groupBy("key", "component").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
+    mixed = weights.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("total"), F.sum("docs").alias("docs"), F.count("*").alias("parts")).where("parts > 1 and docs > 3")
+    # the largest component of a group meets the rest, not itself; both are in blocks of about SET_BLOCK shingles, so no tile
+    # grows with the group, and a group of one block each is sent once
+    blocks = lambda n: F.ceil(n / SET_BLOCK).cast("int")
+    plan = mixed.select("key", F.col("main.component").alias("main"), blocks(F.col("total") - F.col("main.n")).alias("rest"), blocks(F.col("main.n")).alias("mains"))
+    block = F.when(F.col("component") == F.col("main"), F.col("rest") + F.pmod(F.xxhash64("doc_id"), "mains")).otherwise(F.pmod(F.xxhash64("doc_id"), "rest")).cast("int")
+    apart = known.join(plan, "key").withColumn("block", block)
+    others = F.expr("if(block >= rest, sequence(0, rest - 1), filter(sequence(0, rest + mains - 1), b -> b <> block))")
+    tiles = apart.withColumn("other", F.explode(others)).select("key", F.least("block", "other").cast("long").alias("low"), F.greatest("block", "other").cast("long").alias("high"), "doc_id", "component")
+    held = tiles.join(sets, "doc_id").select("key", "low", "high", "doc_id", "component", "shingles")
     dealt = held.repartition(partitions, "key", "low", "high").sortWithinPartitions("key", "low", "high")
     across = dealt.mapInArrow(lambda batches: links_across(batches, similarity), "a long, b long")
     found = connected_components(links.unionByName(written(across.distinct(), "across")))
     return found.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 
+def gathered(groups: DataFrame) -> DataFrame:
+    """(key, doc_id, n): groups of slots (key, low, doc_id, n) that share documents, put together under one key.
+
+    A document names the least ``low`` of its groups, a group follows the least its documents name, and both once more.
+    Each group goes to one key whole, so its documents meet there, and slots of the same documents count once."""
+    named = groups.withColumn("to", F.col("low"))
+    for _ in range(ROUNDS):
+        named = named.withColumn("to", F.min("to").over(Window.partitionBy("doc_id"))).withColumn("to", F.min("to").over(Window.partitionBy("key")))
+    return named.groupBy(F.col("to").alias("key"), "doc_id").agg(F.max("n").alias("n"))
+
+
 def links_across(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     """(a, b): for each tile (rows of one key, low and high) links that connect all of its documents of different
     components that similar pairs connect; each document out of the tile's largest component is held against all."""
@@ -217,14 +235,29 @@ def links_across(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterat
             if len(names) < 2:
                 continue
             at = starts[low:high] - starts[low]
-            _, codes = np.unique(flat[starts[low] : starts[high]], return_inverse=True)
-            mark = np.zeros(int(codes.max()) + 1, np.int32)
+            _, codes, often = np.unique(flat[starts[low] : starts[high]], return_inverse=True, return_counts=True)
+            # prefix filter: of the rarest n - similarity * n + 1 shingles of each set, similar ones have one in common
+            of = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((codes, often[codes], of))
+            first = order[np.arange(len(codes)) - np.repeat(at, n) <= np.repeat(n - np.ceil(similarity * n - 1e-6), n)]
+            first = first[often[codes[first]] > 1]
+            shared, holders = codes[first], of[first]
+            by = np.argsort(shared, kind="stable")
+            begin, end = (np.searchsorted(shared[by], shared, side).tolist() for side in ("left", "right"))
+            own_first = np.searchsorted(holders, np.arange(len(n) + 1))
+            posted = holders[by]
+            mark = np.zeros(len(often), np.int32)
             for i in np.nonzero(own != names[sizes.argmax()])[0]:
-                mine = codes[at[i] : at[i] + n[i]]
+                met = [posted[begin[k] : end[k]] for k in range(own_first[i], own_first[i + 1])]
+                met = np.unique(np.concatenate(met)) if met else np.zeros(0, np.int64)
+                met = met[(own[met] != own[i]) & (similarity * np.maximum(n[met], n[i]) <= np.minimum(n[met], n[i]) + 1e-6)]
+                if not len(met):
+                    continue
+                mine, heads = codes[at[i] : at[i] + n[i]], np.cumsum(n[met]) - n[met]
                 mark[mine] = 1
-                common = np.add.reduceat(mark[codes], at)
+                common = np.add.reduceat(mark[codes[np.repeat(at[met] - heads, n[met]) + np.arange(n[met].sum())]], heads)
                 mark[mine] = 0
-                for j in np.nonzero((common >= similarity * (n + n[i] - common)) & (own != own[i]))[0]:
+                for j in met[common >= similarity * (n[met] + n[i] - common)]:
                     if own[j] != own[i]:
                         out_a.append(int(ids[low + i]))
                         out_b.append(int(ids[low + j]))

@@ -272,6 +272,56 @@ def test_groups_of_a_slot():
     assert len({r["key"] for r in got}) == sum(len(g) > 1 for g in groups.values())
 
 
+@pytest.mark.parametrize("block", [1_000_000, 2_000])
+def test_a_large_group_of_near_copies_is_held_once(spark, monkeypatch, block):
+    """Near copies on either side of the threshold share slot after slot; each is held once, not for each slot, whatever the tiles."""
+    rng, counts = random.Random(63), {}
+    base, texts = [f"w{i}" for i in range(60)], []
+    for _ in range(240):
+        words = list(base)
+        for at in rng.sample(range(5, 55), rng.choice([0, 1, 1, 2, 2, 3, 4])):
+            words[at] = f"x{rng.randrange(40)}"
+        texts.append(" ".join(words))
+    keep = simhash.written
+
+    def counted(df, name):
+        out = keep(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "written", counted)
+    monkeypatch.setattr(simhash, "SET_BLOCK", block)
+    sets = [{" ".join(t.split()[i : i + 5]) for i in range(56)} for t in texts]
+    want = components(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert {i: got.get(i, i) for i in range(len(texts))} == dict(enumerate(want))
+    assert 20 < len(set(want)) < 200 and counts["members"] <= 2 * len(texts) and counts["pairs"] <= 4 * len(texts)
+
+
+def test_links_of_a_tile():
+    """The prefix filter of a tile against all pairs: the same documents end up connected."""
+    import pyarrow as pa
+
+    rng, rows = random.Random(64), []
+    for tile, size in enumerate([2, 3, 30, 120]):
+        bases = [rng.sample(range(400), rng.randint(1, 40)) for _ in range(1 + size // 6)]
+        for i in range(size):
+            kept = sorted({x if rng.random() < 0.93 else rng.randrange(400) for x in rng.choice(bases)})
+            rows.append({"key": tile, "low": 0, "high": 1, "doc_id": 1000 * tile + i, "component": 1000 * tile + i - i % 2, "shingles": kept})
+    schema = pa.schema([(c, pa.int64()) for c in ("key", "low", "high", "doc_id", "component")] + [("shingles", pa.list_(pa.int64()))])
+    batch = pa.RecordBatch.from_pylist(rows, schema)
+    got = {(r["a"], r["b"]) for out in simhash.links_across((batch.slice(at, 50) for at in range(0, len(rows), 50)), 0.8) for r in out.to_pylist()}
+    ids = [r["doc_id"] for r in rows]
+
+    def similar(i, j):
+        a, b = set(rows[i]["shingles"]), set(rows[j]["shingles"])
+        return rows[i]["key"] == rows[j]["key"] and len(a & b) >= 0.8 * len(a | b)
+
+    same = lambda i, j: rows[i]["component"] == rows[j]["component"]
+    assert got and all(similar(ids.index(a), ids.index(b)) for a, b in got)
+    assert components(len(rows), lambda i, j: same(i, j) or (ids[i], ids[j]) in got or (ids[j], ids[i]) in got) == components(len(rows), lambda i, j: same(i, j) or similar(i, j))
+
+
 def test_short_similar_documents_meet(spark):
     """Pairs of four and five shingles, whose fingerprints differ by more bits than those of long texts."""
     rows = [(2 * k + side, " ".join(f"w{k}x{i}" for i in range(8 + side))) for k in range(300) for side in (0, 1)]
