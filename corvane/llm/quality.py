@@ -18,6 +18,8 @@ PAD, START, END, OTHER = "\x00", "\x02", "\x03", "\x1a"
 RESERVED = re.compile(f"[{PAD}{START}{END}]")
 #: Bytes of text that a worker takes apart at once, and of a block whose n-grams are looked up together.
 RUN_BYTES, BLOCK_BYTES = 4_000_000, 96_000_000
+#: Texts dealt out are most of the disk in use; up to this level zstd costs a worker few seconds a GB.
+ZSTD_LEVEL = 6
 #: Texts on their way to a block: runs of rows (doc_id, lang, text) in compressed Arrow streams.
 PACKED = pa.schema([pa.field("m", pa.int32(), False), pa.field("block", pa.int32(), False), pa.field("packed", pa.binary(), False)])
 #: A block's windows as they leave it.
@@ -171,7 +173,7 @@ def looked_up(codes: np.ndarray, known: np.ndarray, values: np.ndarray) -> np.nd
 
 def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(m, block, packed) of rows (doc_id, lang, text, m, block): each batch's rows of a block in runs, whole and in order."""
-    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=ZSTD_LEVEL))
     for batch in batches:
         places = np.stack([batch.column(k).to_numpy() for k in (3, 4)], axis=1)
         for m, block in np.unique(places, axis=0).tolist():

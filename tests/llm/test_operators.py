@@ -674,6 +674,22 @@ def test_texts_are_dealt_out_compressed(monkeypatch):
     assert sum(len(r["packed"]) for r in out.to_pylist()) < 0.6 * sum(len(r["text"].encode()) for r in rows)
 
 
+def test_texts_are_dealt_out_small():
+    """Runs of texts take at least a twelfth less than at the library's own level of compression."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(65)
+    words = np.array(["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 10))) for _ in range(20_000)])
+    phrases = np.array([" ".join(rng.choice(words, rng.integers(2, 6))) for _ in range(2_000)])
+    texts = [" ".join(rng.choice(phrases) if rng.random() < 0.7 else rng.choice(words) for _ in range(120)) for _ in range(600)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(600), pa.int64()), pa.array(["x"] * 600), pa.array(texts), pa.array([0] * 600, pa.int32()), pa.array([0] * 600, pa.int32())], ["doc_id", "lang", "text", "m", "block"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(rows)
+    got = sum(len(r) for out in quality.packed(iter([rows])) for r in out.column(2).to_pylist())
+    assert got <= 11 / 12 * sink.getvalue().size
+
+
 def test_quality_against_brute_force(spark):
     """Held-out folds, thresholds by language with ties, null languages, and what is kept."""
     rng = random.Random(9)
