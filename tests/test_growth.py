@@ -2,7 +2,7 @@
 
 import random
 
-from corvane.operators import resolve
+from corvane.operators import capability, resolve
 
 
 def joined_rows(df):
@@ -46,3 +46,36 @@ def test_calls_of_a_common_name(spark):
     got, most = joined_rows(resolve.best_targets(spark.createDataFrame(calls, "id long, file_id long, callee string, qualifier string, argument_count int, caller_owner string, caller long"), spark.createDataFrame(symbols, "id long, name string, file_id long, owner string, arity int, test boolean")))
     assert {r.id: (r.target, r.score) for r in got} == want
     assert most <= len(calls)
+
+
+def test_pairs_leave_no_block(spark):
+    """Scores and ranks against a plain loop over several blocks, and pairs that are formed are never dealt out."""
+    rng = random.Random(9)
+    ids = {k * 3: k % 4 for k in range(60)}
+    have = {(k, s): {rng.randrange(25) for _ in range(rng.randrange(7))} for k in ids for s in ("name", "events")}
+    rows = [(k, ids[k], s, str(e)) for (k, s), found in have.items() for e in found]
+    raws = {(a, b, s): len(have[a, s] & have[b, s]) / len(have[a, s] | have[b, s]) for a in ids for b in ids if a < b and ids[a] != ids[b] for s in ("name", "events") if have[a, s] & have[b, s]}
+    rank = {}
+    for k in ids:
+        for s in ("name", "events"):
+            for n, key in enumerate(sorted((x for x in raws if k in x[:2] and x[2] == s), key=lambda x: (-raws[x], x)), 1):
+                if n <= 5:
+                    rank[key] = min(n, rank.get(key, n))
+    total = sum(w / 61 for w in capability.WEIGHTS.values())
+    want = {}
+    for (a, b, s), _ in raws.items():
+        want[a, b] = want.get((a, b), 0) + (capability.WEIGHTS[s] / (60 + rank[a, b, s]) / total if (a, b, s) in rank else 0)
+    was, capability.BLOCK = capability.BLOCK, 7
+    try:
+        elements = spark.createDataFrame(rows, "id long, repository long, signal string, element string")
+        signatures = spark.createDataFrame([(k, r, "c") for k, r in ids.items()], "id long, repository long, context string")
+        scores = capability.similarities(elements)
+        plan = scores._jdf.queryExecution().executedPlan().toString()  # before it has run, so without stages
+        assert plan.count("Exchange ") == 1 and "Join" not in plan, plan  # of members
+        assert {(r.a, r.b, r.signal): r.raw for r in scores.collect()} == raws
+        found = {(r.a, r.b): r.final_score for r in capability.candidates(elements, signatures, most=5).collect()}
+        some = capability.candidates(elements, signatures, most=5, nodes=spark.createDataFrame([(k,) for k in (0, 9, 30, 63)], "id long")).collect()
+    finally:
+        capability.BLOCK = was
+    assert found.keys() == want.keys() and all(abs(found[p] - want[p]) < 1e-12 for p in want)
+    assert {(r.a, r.b): r.final_score for r in some} == {p: found[p] for p in found if {*p} <= {0, 9, 30, 63}}
