@@ -79,3 +79,19 @@ def test_pairs_leave_no_block(spark):
         capability.BLOCK = was
     assert found.keys() == want.keys() and all(abs(found[p] - want[p]) < 1e-12 for p in want)
     assert {(r.a, r.b): r.final_score for r in some} == {p: found[p] for p in found if {*p} <= {0, 9, 30, 63}}
+
+
+def test_declarations_of_a_common_name(spark):
+    rng = random.Random(3)
+    schema = "id string, name string, context string, contracts array<string>"
+    side = lambda mark, n: [(f"{mark}{k}", rng.choice(["pay", "log", None, f"{k}"]), rng.choice([None, "", "x", "y"]), [rng.choice("cde")]) for k in range(n)]
+    observed, declared = side("o", 120), side("d", 120)
+    fits = lambda o, d: o[1] is not None and o[1] == d[1] and (not o[2] or not d[2] or o[2] == d[2])
+    want = {}
+    for o in observed:
+        found = [d for d in declared if fits(o, d)]
+        want[o[0]] = ("observed_without_declaration", None) if not found else ("ambiguous_match", None) if len(found) > 1 else ("matched", found[0][0])
+    want |= {d[0]: ("declaration_without_observed", None) for d in declared if not any(fits(o, d) for o in observed)}
+    got, most = joined_rows(capability.declaration_drift(spark.createDataFrame(observed, schema), spark.createDataFrame(declared, schema)))
+    assert {r.id: (r.status, r.declaration) for r in got} == want
+    assert most <= 2 * len(observed)
