@@ -37,12 +37,18 @@ def package_counts(lines: DataFrame) -> DataFrame:
     return lines.agg(F.count_if(low.rlike(r"^(\+|add(ed)?|install(ed|ing)?)\b?")).alias("added"), F.count_if(low.rlike(r"^(-|remov(ed|ing)|uninstall)")).alias("removed"), F.count_if(low.rlike(r"^(~|chang(ed|ing)|updat(ed|ing)|upgrad)")).alias("changed"))
 
 
-def test_blocks(lines: DataFrame) -> DataFrame:
-    """(source, block, name, status, n_lines): a line that starts a test opens a block, and its worst mark is its status."""
+def test_blocks(lines: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(source, block, name, status, n_lines): a line that starts a test opens a block, and its worst mark is its status.
+
+    A task sorts the lines of its sources; ``tasks`` says over how many they are dealt, else the session does.
+    """
     w = Window.partitionBy("source").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     start = F.regexp_extract("line", r"^(?:\[ RUN      \]|=== RUN|test) +(\S+)", 1)
-    marked = lines.withColumn("name", start).withColumn("block", F.sum((F.col("name") != "").cast("int")).over(w)).where("block > 0")
-    bad = F.max(F.col("line").rlike(r"(?i)\bFAIL(ED)?\b").cast("int"))
+    # what a line says is read before lines are dealt out, so the texts stay where they are
+    said = lines.select("source", "n", start.alias("name"), F.col("line").rlike(r"(?i)\bFAIL(ED)?\b").cast("int").alias("bad"))
+    dealt = said.repartition(tasks, "source") if tasks else said
+    marked = dealt.withColumn("block", F.sum((F.col("name") != "").cast("int")).over(w)).where("block > 0")
+    bad = F.max("bad")
     return marked.groupBy("source", "block").agg(F.max("name").alias("name"), F.when(bad == 1, "failed").otherwise("passed").alias("status"), F.count("*").alias("n_lines"))
 
 

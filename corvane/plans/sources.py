@@ -212,6 +212,11 @@ def file_capsule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.by_files(rows.where("rank = 3"), rows.where("rank <> 3"), 4000)
 
 
+def order_tasks(spark: SparkSession, sf_dir: str) -> int:
+    """A task for every 100,000 orders, by a count that Parquet footers answer."""
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").count() // 100_000 + 1
+
+
 @query("SELECT o_orderkey AS source, CAST(b AS BIGINT) AS block, concat('Case', CAST(b AS VARCHAR)) AS name, CASE WHEN o_orderkey % (b + 1) = 0 THEN 'failed' ELSE 'passed' END AS status, 2 + CASE WHEN o_orderkey % (b + 1) = 0 THEN 1 ELSE 0 END AS n_lines FROM orders, (VALUES (1), (2), (3)) v(b)")
 def test_output_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order's output has three tests, of which some fail."""
@@ -221,7 +226,7 @@ def test_output_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.array(F.concat(F.lit("=== RUN Case"), F.col("b").cast("string")), F.lit("  step"), F.when(failed, "--- FAIL: it"))
     each = rows.select("source", "b", F.posexplode(F.array_compact(lines)).alias("k", "line"))
     intro = rows.where("b = 1").select("source", F.lit(0).alias("n"), F.lit("starting").alias("line"))
-    return logs.test_blocks(intro.unionByName(each.select("source", (F.col("b") * 10 + F.col("k")).alias("n"), "line")))
+    return logs.test_blocks(intro.unionByName(each.select("source", (F.col("b") * 10 + F.col("k")).alias("n"), "line")), order_tasks(spark, sf_dir))
 
 
 @query("SELECT doc_id AS id, sha256(concat(CAST(strlen(source) AS VARCHAR), ':', source, '|4:8000|2:e1|1:2|5:dense|')) AS key FROM documents WHERE doc_id % 2 = 1")

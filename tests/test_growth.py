@@ -3,6 +3,7 @@
 import random
 
 from corvane.operators import capability, resolve
+from corvane.plans import sources
 
 
 def joined_rows(df):
@@ -95,3 +96,13 @@ def test_declarations_of_a_common_name(spark):
     got, most = joined_rows(capability.declaration_drift(spark.createDataFrame(observed, schema), spark.createDataFrame(declared, schema)))
     assert {r.id: (r.status, r.declaration) for r in got} == want
     assert most <= 2 * len(observed)
+
+
+def dealt_over(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tasks_of_blocks_grow_with_orders(spark, tmp_path):
+    spark.range(250_000).withColumnRenamed("id", "o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    assert sources.order_tasks(spark, str(tmp_path)) == 3
+    assert ", 3)" in dealt_over(sources.test_output_blocks(spark, str(tmp_path)))
