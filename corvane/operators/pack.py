@@ -23,17 +23,20 @@ def capsule(rows: DataFrame, budget: int, k: int = 10) -> DataFrame:
     return run.where(F.col("used") <= limit).select("query", "id", "rank", F.when(body, "body").otherwise("signature").alias("form"), "tokens", "used")
 
 
-def symbol_capsule(rows: DataFrame) -> DataFrame:
+def symbol_capsule(rows: DataFrame, tasks: int | None = None) -> DataFrame:
     """B2: of (query, rank, role, budget, body_tokens, signature_tokens, skeleton_tokens), what a symbol capsule holds.
 
     Pivots are whole, their callers are signatures, support is skeletons, in that order and by rank within it. What
-    comes before counts first: a row is in while the sum with it stays within the query's budget.
+    comes before counts first: a row is in while the sum with it stays within the query's budget. A task sorts the rows of
+    its queries; ``tasks`` says over how many they are dealt, else the session does.
     """
     turn = F.when(F.col("role") == "pivot", 0).when(F.col("role") == "caller", 1).otherwise(2)
     form = F.element_at(F.array(F.lit("body"), F.lit("caller"), F.lit("skeleton")), F.col("turn") + 1)
     tokens = F.when(F.col("turn") == 0, F.col("body_tokens")).when(F.col("turn") == 1, F.col("signature_tokens")).otherwise(F.col("skeleton_tokens"))
     order = Window.partitionBy("query").orderBy("turn", "rank").rowsBetween(Window.unboundedPreceding, 0)
-    run = rows.withColumn("turn", turn).withColumn("tokens", tokens.cast("long")).withColumn("used", F.sum("tokens").over(order))
+    sized = rows.select("query", "rank", "budget", turn.alias("turn"), "body_tokens", "signature_tokens", "skeleton_tokens").select("query", "rank", "budget", "turn", tokens.cast("long").alias("tokens"))
+    dealt = sized.repartition(tasks, "query") if tasks else sized
+    run = dealt.withColumn("used", F.sum("tokens").over(order))
     return run.where(F.col("used") <= F.col("budget")).select("query", "rank", form.alias("form"), "tokens")
 
 

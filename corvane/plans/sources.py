@@ -282,7 +282,7 @@ def symbol_capsule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B2: two pivots, three callers, then the support that fits; budgets differ by order."""
     each = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("query"), F.explode(F.sequence(F.lit(1), F.lit(9))).alias("rank"), (F.lit(720) + F.col("o_orderkey") % 3 * 60).alias("budget"))
     role = F.when(F.col("rank") <= 2, "pivot").when(F.col("rank") <= 5, "caller").otherwise("support")
-    return pack.symbol_capsule(each.select("query", "rank", "budget", role.alias("role"), F.lit(300).alias("body_tokens"), F.lit(40).alias("signature_tokens"), F.lit(60).alias("skeleton_tokens")))
+    return pack.symbol_capsule(each.select("query", "rank", "budget", role.alias("role"), F.lit(300).alias("body_tokens"), F.lit(40).alias("signature_tokens"), F.lit(60).alias("skeleton_tokens")), order_tasks(spark, sf_dir))
 
 
 SECTIONS = {

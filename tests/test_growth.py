@@ -106,3 +106,8 @@ def test_tasks_of_blocks_grow_with_orders(spark, tmp_path):
     spark.range(250_000).withColumnRenamed("id", "o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
     assert sources.order_tasks(spark, str(tmp_path)) == 3
     assert ", 3)" in dealt_over(sources.test_output_blocks(spark, str(tmp_path)))
+
+
+def test_tasks_of_capsules_grow_with_orders(spark, tmp_path):
+    spark.range(250_000).withColumnRenamed("id", "o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    assert ", 3)" in dealt_over(sources.symbol_capsule(spark, str(tmp_path)))
